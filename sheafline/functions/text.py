@@ -9,10 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The characters that count as white space at the ends of a text.
-WHITE_SPACE = (
-    r"\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# The characters that count as white space at the ends of a text, as code ranges.
+WHITE_SPACE_RANGES = (
+    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029),
+    (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
 )
+WHITE_SPACE = "".join(chr(code) for low, high in WHITE_SPACE_RANGES for code in range(low, high + 1))
 
 # Longest text that is compared and shuffled as itself; longer ones travel as their digest.
 SHORT_TEXT = 64
@@ -20,7 +22,7 @@ SHORT_TEXT = 64
 
 def trim_blank(text: Column) -> Column:
     """Strip all leading and trailing white space, line ends included."""
-    return F.regexp_replace(text, f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def clean_text(text: Column) -> Column:

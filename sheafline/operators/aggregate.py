@@ -119,7 +119,7 @@ def describe(
     table known to be small the quartiles come from the same aggregate; for others they are
     counted separately (see ``quantiles``) and joined on.
     """
-    small = is_small(df, rows)
+    small = is_small(df, len(values), rows)
     slots = list(values.items())
 
     def stats(value: Column) -> list[Column]:

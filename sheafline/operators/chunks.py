@@ -65,7 +65,10 @@ def _numbered(pages_with_chunks: DataFrame, largest_page: int | None) -> DataFra
             .join(starts, ["document_id", "_block"])
             .withColumn("_start", F.col("_block_start") + F.col("_in_block"))
         )
-    rows = placed.select("document_id", "filename", "page", "_start", F.posexplode("chunks").alias("pos", "text"))
+    # The outer variant: the plain one makes Spark infer a filter on the array's size, push it to
+    # the scan and compute every chunk twice.
+    rows = placed.select("document_id", "filename", "page", "_start", F.posexplode_outer("chunks").alias("pos", "text"))
+    rows = rows.filter(F.col("pos").isNotNull())
     index = (F.col("_start") + F.col("pos")).cast("long")
     return rows.select(
         F.concat_ws(":", F.col("document_id").cast("string"), index.cast("string")).alias("chunk_id"),

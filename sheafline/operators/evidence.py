@@ -76,10 +76,9 @@ def synthesize(questions: DataFrame, facts: DataFrame, hits: DataFrame, findings
     )
     has_data, has_passages = F.size("data_facts") > 0, F.size(evidence) > 0
     bare = trim_blank(F.regexp_replace(trim_blank(F.col("_findings")), r"(?i)^📊\s*\**DATA FINDINGS\**\s*", ""))
+    has_text = F.coalesce(F.length(bare) > 0, F.lit(False))
     listed = _bullets(F.col("data_facts"), "• ")
-    data_section = F.when(
-        has_data | (F.length(bare) > 0), F.when(F.length(bare) > 0, bare).otherwise(listed)
-    ).otherwise(NO_DATA)
+    data_section = F.when(has_text, bare).when(has_data, listed).otherwise(NO_DATA)
     passage = F.transform(
         evidence,
         lambda h: F.concat(F.lit("• ["), citation(h["filename"], h["page"]), F.lit("]:\n  "), trim_blank(h["text"])),
@@ -99,7 +98,7 @@ def synthesize(questions: DataFrame, facts: DataFrame, hits: DataFrame, findings
     sections = [data_section, document_section, interpretation, citation_section]
     blocks = [F.concat(F.lit(heading + "\n"), body) for heading, body in zip(HEADINGS, sections)]
     warnings = F.array_compact(F.array(
-        F.when(~(has_data | (F.length(bare) > 0)), NO_DATA_WARNING), F.when(~has_passages, NO_PASSAGE_WARNING)
+        F.when(~(has_data | has_text), NO_DATA_WARNING), F.when(~has_passages, NO_PASSAGE_WARNING)
     ))
     return joined.select(
         *questions.columns, "data_facts", "document_evidence", "citations",

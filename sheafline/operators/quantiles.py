@@ -1,21 +1,23 @@
 """Exact quantiles that no single task has to hold.
 
-Spark's ``percentile`` keeps every distinct value of a group in one task. That is the quickest
-way for a table known to be small, and it is used behind a row-count check. Beyond it the target
-ranks are located by counting:
+For a table known to be small, the values of a group are collected and sorted: the quickest way,
+used only behind a check of the number of cells. Beyond it the target ranks are located by
+counting:
 
 1. count rows per bin of a fixed, order-preserving bin function, and find the bin of each rank;
 2. cut those bins into 65,536 equal parts, count again, and find the part of each rank;
 3. count the distinct values that are left and read the ranks off.
 
 Every step is a partial aggregate over bins, so a value, or a group, that holds a third of the
-table costs no more than any other. The result is exact: bins only decide which rows are looked
-at next.
+table costs no more than any other, and no row is shuffled as itself. The result is exact: bins
+only decide which rows are looked at next. Each metric is counted on its own, so a step reads one
+column per metric.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,56 +25,53 @@ from pyspark.sql import functions as F
 from sheafline.operators.columns import column
 from sheafline.session import cut_lineage
 
-# A table with at most this many rows may use ``percentile``.
-SMALL_TABLE_ROWS = 1_000_000
+# Rows times metrics up to which values may be collected and sorted: some 120 MB in one task.
+SMALL_CELLS = 5_000_000
 # Located bins are broadcast up to this many rows; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
-COARSE_BINS_PER_OCTAVE = 1024
-FINE_BINS = 65_536
+BINS_PER_OCTAVE = 1024
+# Above every finite number's bin; infinities go here.
+TOP_BIN = 2_000_000
+PARTS = 65_536
 
 
-def unpivot_values(df: DataFrame, values: Mapping[str, Column], by: Sequence[str]) -> DataFrame:
-    """Rows ``(*by, metric, value)`` of the non-missing values."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items()])
-    rows = df.select(*[column(b) for b in by], F.inline(pairs))
-    return rows.filter(F.col("value").isNotNull())
+def is_small(df: DataFrame, metrics: int, rows: int | None = None) -> bool:
+    """Whether the table is known to fit the in-task method (a column-free count when not told)."""
+    return (df.count() if rows is None else rows) * max(metrics, 1) <= SMALL_CELLS
 
 
-def quantile_key(index: int) -> str:
-    return f"_q{index}"
+def small_quantiles(value: Column, probabilities: Sequence[float]) -> Column:
+    """Aggregate: quantiles of a small group as an array, NULL for a group without values."""
+    return _read_off(F.sort_array(F.collect_list(value)), probabilities)
 
 
-def small_quantiles(value: Column, probabilities: Sequence[float]) -> Column:
-    return F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities]))
+def _read_off(ordered: Column, probabilities: Sequence[float]) -> Column:
+    count = F.size(ordered)
+    results = []
+    for p in probabilities:
+        position = F.lit(float(p)) * (count - 1)
+        low = F.get(ordered, F.floor(position).cast("int"))
+        high = F.get(ordered, F.ceil(position).cast("int"))
+        results.append(_between(low, high, position - F.floor(position)))
+    return F.when(count > 0, F.array(*results))
 
 
-def is_small(df: DataFrame, rows: int | None = None) -> bool:
-    """Whether the table is known to fit the in-task method (a column-free count when not told)."""
-    return (df.count() if rows is None else rows) <= SMALL_TABLE_ROWS
+def _between(low: Column, high: Column, fraction: Column) -> Column:
+    """Linear interpolation; equal neighbours, infinities included, give themselves."""
+    return F.when(low == high, low).otherwise(low * (1 - fraction) + high * fraction)
 
 
-def _coarse_bin(value: Column) -> Column:
-    size = F.log2(F.lit(1.0) + F.abs(value)) * COARSE_BINS_PER_OCTAVE
-    bin_of_size = F.when(size < 2.0e6, F.floor(size)).otherwise(F.lit(2_000_000)).cast("long")
+def _bin(value: Column) -> Column:
+    size = F.log2(F.lit(1.0) + F.abs(value)) * BINS_PER_OCTAVE
+    bin_of_size = F.when(size < TOP_BIN, F.floor(size)).otherwise(F.lit(TOP_BIN)).cast("long")
     return F.when(value < 0, -bin_of_size - 1).otherwise(bin_of_size)
 
 
-def _locate(bins: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The bin that holds each target rank: bins carry ``rows`` and ``_targets`` (rank, slot)."""
-    running = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = bins.withColumn("_upto", F.sum("rows").over(running))
-    inside = F.filter(
-        "_targets",
-        lambda t: (t["rank"] < F.col("_upto")) & (t["rank"] >= F.col("_upto") - F.col("rows")),
-    )
-    located = reached.withColumn("_targets", inside).filter(F.size("_targets") > 0)
-    shifted = F.transform(
-        "_targets",
-        lambda t: F.struct(
-            (t["rank"] - (F.col("_upto") - F.col("rows"))).alias("rank"), t["slot"].alias("slot")
-        ),
-    )
-    return located.withColumn("_targets", shifted).drop("_upto")
+def _part(value: Column, low: Column, high: Column) -> Column:
+    width = high - low
+    inside = F.floor((value - low) / width * F.lit(float(PARTS - 1)))
+    ends = F.when(value == low, F.lit(0)).otherwise(F.lit(PARTS - 1))
+    return F.when((width > 0) & (width < F.lit(float("inf"))), inside).otherwise(ends).cast("long")
 
 
 def _targets(total: Column, probabilities: Sequence[float]) -> Column:
@@ -85,15 +84,23 @@ def _targets(total: Column, probabilities: Sequence[float]) -> Column:
     return F.array(*wanted)
 
 
-def _narrow(rows: DataFrame, located: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (or counted values) of the located bins only."""
-    join_keys = [*keys, "_bin"]
-    if located.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(located), join_keys)
-    # Too many groups to broadcast: count equal values first, so that copies of one value do
-    # not travel, then join on group and bin.
-    counted = rows.groupBy(*join_keys, "value").agg(F.sum("_weight").alias("_weight"))
-    return counted.join(located, join_keys)
+def _locate(counted: DataFrame, groups: list[str], order: str) -> DataFrame:
+    """The rows of ``counted`` (``rows``, ``_targets``) that hold a target rank, ranks made relative."""
+    running = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = counted.withColumn("_before", F.sum("rows").over(running) - F.col("rows"))
+    inside = F.filter(
+        "_targets", lambda t: (t["rank"] >= F.col("_before")) & (t["rank"] < F.col("_before") + F.col("rows"))
+    )
+    located = reached.withColumn("_targets", inside).filter(F.size("_targets") > 0)
+    relative = F.transform(
+        "_targets", lambda t: F.struct((t["rank"] - F.col("_before")).alias("rank"), t["slot"].alias("slot"))
+    )
+    return located.withColumn("_targets", relative).drop("_before", "rows")
+
+
+def _same(keys: Sequence[str], right: DataFrame) -> Column:
+    """Equality of group keys, NULL keys included."""
+    return reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
 
 
 def counted_quantiles(
@@ -101,65 +108,102 @@ def counted_quantiles(
 ) -> DataFrame:
     """Exact quantiles by counting: rows ``(*by, metric, total, quantiles ARRAY<DOUBLE>)``."""
     names = [f"_k{i}" for i in range(len(by))]
-    renamed = df.select(
-        *[column(b).alias(n) for b, n in zip(by, names)], *[v.alias(f"_v{i}") for i, v in enumerate(values.values())]
-    )
-    rows = unpivot_values(renamed, {m: F.col(f"_v{i}") for i, m in enumerate(values)}, names)
-    # Group keys may be NULL, and equi-joins drop NULLs; a struct of the keys does not.
-    rows = rows.select(
-        F.struct(*names, "metric").alias("_group"), "value", _coarse_bin(F.col("value")).alias("_bin"),
-        F.lit(1).cast("long").alias("_weight"),
-    )
-    keys = ["_group"]
-
-    coarse = rows.groupBy("_group", "_bin").agg(
-        F.sum("_weight").alias("rows"), F.min("value").alias("_low"), F.max("value").alias("_high")
-    )
-    group = Window.partitionBy(*keys)
-    coarse = coarse.withColumn("_total", F.sum("rows").over(group))
-    coarse = coarse.withColumn("_targets", _targets(F.col("_total"), probabilities))
-    first = cut_lineage(_locate(coarse, keys, "_bin").drop("rows"))
-
-    part = F.when(
-        (F.col("_high") > F.col("_low")) & (F.col("_high") - F.col("_low") < F.lit(float("inf"))),
-        F.floor((F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low")) * F.lit(float(FINE_BINS - 1))),
-    ).otherwise(F.when(F.col("value") == F.col("_low"), 0).otherwise(FINE_BINS - 1)).cast("long")
-    bins = ["_group", "_bin"]
-    narrowed = _narrow(rows, first, keys).withColumn("_part", part)
-    fine = narrowed.groupBy(*bins, "_part").agg(
-        F.sum("_weight").alias("rows"),
-        F.min("value").alias("_from"),
-        F.max("value").alias("_to"),
-        F.first("_targets").alias("_targets"),
-        F.first("_total").alias("_total"),
-    )
-    second = cut_lineage(_locate(fine, bins, "_part").drop("rows"))
-
-    left = _narrow(rows, second, keys).filter(F.col("value").between(F.col("_from"), F.col("_to")))
-    counts = left.groupBy(*bins, "_part", "value").agg(
-        F.sum("_weight").alias("rows"), F.first("_targets").alias("_targets"), F.first("_total").alias("_total")
-    )
-    found = _locate(counts, [*bins, "_part"], "value")
-    slots = found.select("_group", "_total", "value", F.explode("_targets.slot").alias("slot"))
+    keys = [column(b).alias(n) for b, n in zip(by, names)]
+    bases = [df.select(*keys, v.alias("value")).filter(F.col("value").isNotNull()) for v in values.values()]
+    groups = ["_metric", *names]
+
+    def tagged(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [p.withColumn("_metric", F.lit(i)) for i, p in enumerate(parts)])
+
+    def narrowed(located: DataFrame, low: str, high: str, carried: list[str]) -> list[DataFrame]:
+        """Per metric, the values inside the located intervals beside the interval's columns."""
+        if not names:
+            # A few intervals per metric: constants of the scan's filter.
+            held = located.select("_metric", *dict.fromkeys([*carried, low, high])).collect()
+            return [_inside(base, [r for r in held if r["_metric"] == i], low, high, carried) for i, base in enumerate(bases)]
+        broadcast = located.count() <= BROADCAST_ROWS
+        results = []
+        for i, base in enumerate(bases):
+            mine = located.filter(F.col("_metric") == i).drop("_targets", "_total", "_metric")
+            rows = base.withColumn("_weight", F.lit(1).cast("long")).withColumn("_bin", _bin(F.col("value")))
+            if not broadcast:
+                # Too many groups to broadcast: count equal values first, so that the copies of
+                # one value do not travel.
+                rows = rows.groupBy(*names, "_bin", "value").agg(F.sum("_weight").alias("_weight"))
+            right = (F.broadcast(mine) if broadcast else mine).alias("r")
+            joined = rows.alias("l").join(right, _same([*names, "_bin"], mine))
+            kept = [F.col(f"l.{n}") for n in names] + [F.col("l.value"), F.col("l._weight")]
+            extra = [F.col(f"r.{c}") for c in dict.fromkeys([*carried, low, high])]
+            results.append(joined.select(*kept, *extra).filter(F.col("value").between(F.col(low), F.col(high))))
+        return results
+
+    spread = [
+        base.groupBy(*names, _bin(F.col("value")).alias("_bin")).agg(
+            F.count(F.lit(1)).alias("rows"), F.min("value").alias("_low"), F.max("value").alias("_high")
+        )
+        for base in bases
+    ]
+    total = F.sum("rows").over(Window.partitionBy(*groups))
+    coarse = tagged(spread).withColumn("_total", total).withColumn("_targets", _targets(F.col("_total"), probabilities))
+    first = cut_lineage(_locate(coarse, groups, "_bin"))
+
+    cut = [
+        rows.groupBy(*names, "_bin", _part(F.col("value"), F.col("_low"), F.col("_high")).alias("_part")).agg(
+            F.sum("_weight").alias("rows"), F.min("value").alias("_from"), F.max("value").alias("_to")
+        )
+        for rows in narrowed(first, "_low", "_high", ["_bin"])
+    ]
+    fine = _with_targets(tagged(cut), first, [*groups, "_bin"])
+    second = cut_lineage(_locate(fine, [*groups, "_bin"], "_part"))
+
+    singles = [
+        rows.groupBy(*names, "_bin", "_part", "value").agg(F.sum("_weight").alias("rows"))
+        for rows in narrowed(second, "_from", "_to", ["_bin", "_part"])
+    ]
+    last = [*groups, "_bin", "_part"]
+    found = _locate(_with_targets(tagged(singles), second, last), last, "value")
+    slots = found.select(*groups, "_total", "value", F.explode("_targets.slot").alias("slot"))
     # Two slots per probability: a handful of rows per group.
-    picked = slots.groupBy("_group").agg(
-        F.first("_total").alias("total"),
-        F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("_at"),
+    picked = slots.groupBy(*groups).agg(
+        F.first("_total").alias("total"), F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("_at")
     )
     results = []
     for i, p in enumerate(probabilities):
         position = F.lit(float(p)) * (F.col("total") - 1)
-        fraction = position - F.floor(position)
         low, high = F.element_at("_at", F.lit(2 * i)), F.element_at("_at", F.lit(2 * i + 1))
-        results.append(F.when(low == high, low).otherwise(low * (1 - fraction) + high * fraction))
+        results.append(_between(low, high, position - F.floor(position)))
     return picked.select(
-        *[F.col(f"_group.{n}").alias(b) for b, n in zip(by, names)],
-        F.col("_group.metric").alias("metric"),
+        *[F.col(n).alias(b) for b, n in zip(by, names)],
+        F.get(F.array(*[F.lit(m) for m in values]), F.col("_metric")).alias("metric"),
         "total",
         F.array(*results).alias("quantiles"),
     )
 
 
+def _inside(base: DataFrame, intervals: list, low: str, high: str, carried: list[str]) -> DataFrame:
+    """Rows of one metric inside constant intervals, with the columns of their interval."""
+    names = list(dict.fromkeys([*carried, low, high]))
+    case, anywhere = F.lit(None).cast(f"struct<{','.join(f'{n}:{_kind(n, low, high)}' for n in names)}>"), F.lit(False)
+    # Intervals are disjoint, so at most one holds a value.
+    for r in intervals:
+        holds = F.col("value").between(r[low], r[high])
+        case = F.when(holds, F.struct(*[F.lit(r[n]).cast(_kind(n, low, high)).alias(n) for n in names])).otherwise(case)
+        anywhere = anywhere | holds
+    inside = base.filter(anywhere).select("value", F.lit(1).cast("long").alias("_weight"), case.alias("_i"))
+    return inside.select("value", "_weight", "_i.*")
+
+
+def _kind(name: str, low: str, high: str) -> str:
+    return "double" if name in (low, high) else "bigint"
+
+
+def _with_targets(counted: DataFrame, located: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of located intervals beside the ranks wanted in them."""
+    wanted = located.select(*keys, "_targets", "_total").alias("r")
+    joined = counted.alias("l").join(wanted, _same(keys, located))
+    return joined.select("l.*", "r._targets", "r._total")
+
+
 def exact_quantiles(
     df: DataFrame,
     values: Mapping[str, Column],
@@ -171,15 +215,14 @@ def exact_quantiles(
 
     ``rows`` is the table's row count when the caller knows it; otherwise it is counted.
     """
-    if not is_small(df, rows):
+    if not is_small(df, len(values), rows):
         return counted_quantiles(df, values, probabilities, by)
     slots = list(values.items())
-    wide = df.groupBy(*[column(b) for b in by]).agg(
-        *[F.struct(F.count(v).alias("total"), small_quantiles(v, probabilities).alias("quantiles")).alias(f"_m{i}")
-          for i, (_, v) in enumerate(slots)]
-    )
+    keys = [column(b) for b in by]
+    wide = df.groupBy(*keys).agg(*[F.sort_array(F.collect_list(v)).alias(f"_m{i}") for i, (_, v) in enumerate(slots)])
     entries = F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(f"_m{i}.total").alias("total"), F.col(f"_m{i}.quantiles").alias("quantiles"))
+        F.struct(F.lit(m).alias("metric"), F.size(f"_m{i}").cast("long").alias("total"),
+                 _read_off(F.col(f"_m{i}"), probabilities).alias("quantiles"))
         for i, (m, _) in enumerate(slots)
     ])
-    return wide.select(*[column(b) for b in by], F.inline(entries)).filter(F.col("total") > 0)
+    return wide.select(*keys, F.inline(entries)).filter(F.col("total") > 0)
