@@ -906,11 +906,13 @@ def question_intent_conversations(spark, sf_dir):
 
 
 PARAMETERS_SQL = r"""
-SELECT question_id, CAST(coalesce(greatest(1, least(100, TRY_CAST(nullif(regexp_extract(q, '\btop\s+(\d+)\b', 1), '') AS INTEGER))), 5) AS INTEGER) AS top_limit,
-       CAST(coalesce(greatest(1, least(24, TRY_CAST(nullif(regexp_extract(q, '\bnext\s+(\d+)\s+(?:month|quarter|year|week|day)s?\b', 1), '') AS INTEGER))), 3) AS INTEGER) AS periods,
+SELECT question_id, CASE WHEN n IS NULL THEN 5 ELSE greatest(1, least(100, n)) END AS top_limit,
+       CASE WHEN p IS NULL THEN 3 ELSE greatest(1, least(24, p)) END AS periods,
        CASE WHEN contains(q, 'quarter') THEN 'quarterly' WHEN contains(q, 'month') THEN 'monthly' WHEN contains(q, 'year') THEN 'yearly'
             WHEN contains(q, 'week') THEN 'weekly' WHEN contains(q, 'day') THEN 'daily' END AS frequency
-FROM (SELECT question_id, lower(trim(question)) AS q FROM ({source}))"""
+FROM (SELECT question_id, q, TRY_CAST(nullif(regexp_extract(q, '\btop\s+(\d+)\b', 1), '') AS INTEGER) AS n,
+             TRY_CAST(nullif(regexp_extract(q, '\bnext\s+(\d+)\s+(?:month|quarter|year|week|day)s?\b', 1), '') AS INTEGER) AS p
+      FROM (SELECT question_id, lower(trim(question)) AS q FROM ({source})))"""
 
 
 @query("question_params", PARAMETERS_SQL.replace("{source}", EVENT_QUESTIONS_SQL))

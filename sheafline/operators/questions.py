@@ -153,9 +153,10 @@ def label_intents(questions: DataFrame, question: str = "question", assistant_na
 
 def _count_in(question: Column, pattern: str, default: int, most: int) -> Column:
     digits = F.regexp_extract(question, f"(?U){pattern}", 1)
-    # Digits beyond any INT are certainly above the maximum.
-    number = F.when(F.length(digits) > 9, F.lit(most)).otherwise(digits.try_cast("int"))
-    return F.coalesce(F.greatest(F.lit(1), F.least(number, F.lit(most))), F.lit(default))
+    # Digits beyond any INT are certainly above the maximum. (LEAST and GREATEST skip NULLs, so
+    # the default must not pass through them.)
+    number = F.when(F.length(digits) > 9, F.lit(most)).when(F.length(digits) > 0, digits.try_cast("int"))
+    return F.when(number.isNull(), F.lit(default)).otherwise(F.greatest(F.lit(1), F.least(number, F.lit(most))))
 
 
 def parameter_columns(question: Column) -> tuple[Column, Column, Column]:

@@ -35,6 +35,10 @@ def validate_documents(files: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Every file under ``path`` with its validation. Contents stay inside the scan's tasks."""
+    """Every file under ``path`` with its validation. Contents stay inside the scan's tasks.
+
+    Spark's binary source passes over files without a single byte, so those are absent here;
+    ``validate_documents`` reports them in tables that come from elsewhere.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     return validate_documents(files.select("path", "content"))

@@ -20,7 +20,6 @@ NULL_TOKENS = (
 )
 TRUE_TOKENS, FALSE_TOKENS = ("True", "TRUE", "true"), ("False", "FALSE", "false")
 INTEGER_PATTERN = r"^\s*[+-]?\d{1,19}\s*$"
-REPLACEMENT = "�"
 
 
 def normalize_headers(headers: Sequence[str]) -> list[str]:
@@ -93,7 +92,7 @@ def read_csv(
     """
     encoding = "UTF-8"
     raw = spark.read.text(path)
-    if not raw.filter(F.col("value").contains(REPLACEMENT)).isEmpty():
+    if not raw.filter(~F.is_valid_utf8("value")).isEmpty():
         encoding = "ISO-8859-1"
     first = _header_cells(spark, path, encoding, delimiter, 0)
     if header_row is None:
