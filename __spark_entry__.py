@@ -82,7 +82,7 @@ def _by_category(operation: str) -> Query:
 
 for _operation, _sql in {
     "sum": "round(coalesce(sum(o_totalprice), 0.0), 2)",
-    "mean": "round(round(avg(o_totalprice), 4), 2)",
+    "mean": "round(CAST(avg(o_totalprice) AS DECIMAL(38, 4)), 2)::DOUBLE",
     "min": "min(o_totalprice)",
     "max": "max(o_totalprice)",
 }.items():
@@ -229,7 +229,7 @@ def _trend(name: str, date: str, metric: str, operation: str, frequency: str) ->
 
 for _frequency, (_name, _date, _metric, _operation, _sql) in {
     "day": ("events", "ts", "value", "sum", "round(sum(value), 2)"),
-    "week": ("orders", "o_orderdate", "o_totalprice", "mean", "round(round(avg(o_totalprice), 4), 2)"),
+    "week": ("orders", "o_orderdate", "o_totalprice", "mean", "round(CAST(avg(o_totalprice) AS DECIMAL(38, 4)), 2)::DOUBLE"),
     "month": ("orders", "o_orderdate", "o_totalprice", "sum", "round(sum(o_totalprice), 2)"),
     "quarter": ("orders", "o_orderdate", "o_totalprice", "max", "max(o_totalprice)"),
     "year": ("lineitem", "l_shipdate", "l_extendedprice", "min", "min(l_extendedprice)"),
