@@ -12,7 +12,7 @@ from sheafline.errors import AnalyticsError, check_range
 from sheafline.functions.numbers import finite_or_null, half_even
 from sheafline.operators.columns import as_number, column, dtype_of, is_text, numeric_column, resolve_column
 from sheafline.operators.identifiers import identifier_columns
-from sheafline.operators.quantiles import counted_quantiles, is_small, small_quantiles
+from sheafline.operators.quantiles import SMALL_CELLS, exact_quantiles, is_small, small_quantiles_sql
 
 # The aggregations a caller may ask for, and the label of the missing category.
 AGGREGATIONS = ("sum", "mean", "count", "min", "max")
@@ -113,37 +113,30 @@ QUARTILES = (0.25, 0.5, 0.75)
 def describe(
     df: DataFrame, values: Mapping[str, Column], by: Sequence[str] = (), rows: int | None = None
 ) -> DataFrame:
-    """Exact descriptive statistics of several metrics in one pass over the table.
+    """Exact descriptive statistics of several metrics.
 
-    Rows ``(*by, metric, count, missing, min, max, mean, std, sum, q25, median, q75)``. For a
-    table known to be small the quartiles come from the same aggregate; for others they are
-    counted separately (see ``quantiles``) and joined on.
+    Rows ``(*by, metric, count, missing, min, max, mean, std, sum, q25, median, q75)``. All but
+    the quartiles take one pass over the table; for those see ``quantiles``.
     """
     small = is_small(df, len(values), rows)
-    slots = list(values.items())
-
-    def stats(value: Column) -> list[Column]:
-        parts = [
-            F.count(value).alias("count"),
-            F.count_if(value.isNull()).alias("missing"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
-            F.coalesce(F.sum(value), F.lit(0.0)).alias("sum"),
-        ]
-        return parts + ([small_quantiles(value, QUARTILES).alias("q")] if small else [])
-
-    fields = ["count", "missing", "min", "max", "mean", "std", "sum"] + (["q"] if small else [])
+    # A metric or two are sorted in the same aggregate; more of them beside each other.
+    together = small and len(values) <= 2
     keys = [column(b) for b in by]
-    wide = df.groupBy(*keys).agg(*[F.struct(*stats(v)).alias(f"_m{i}") for i, (_, v) in enumerate(slots)])
+    narrow = df.select(*keys, *[v.alias(f"_v{i}") for i, v in enumerate(values.values())])
+
+    def stats(v: str) -> str:
+        quartiles = f", {small_quantiles_sql(v, QUARTILES)} as q" if together else ""
+        return (f"struct(count({v}) as count, count_if({v} is null) as missing, min({v}) as min, max({v}) as max, avg({v}) as mean, "
+                f"stddev_samp({v}) as std, coalesce(sum({v}), 0D) as sum{quartiles})")
+
+    wide = narrow.groupBy(*keys).agg(*[F.expr(stats(f"_v{i}")).alias(f"_m{i}") for i in range(len(values))])
+    fields = ["count", "missing", "min", "max", "mean", "std", "sum"] + (["q"] if together else [])
     entries = F.array(*[
-        F.struct(F.lit(m).alias("metric"), *[F.col(f"_m{i}.{f}").alias(f) for f in fields])
-        for i, (m, _) in enumerate(slots)
+        F.struct(F.lit(m).alias("metric"), *[F.col(f"_m{i}.{f}") for f in fields]) for i, m in enumerate(values)
     ])
     long = wide.select(*keys, F.inline(entries))
-    if not small:
-        quartiles = counted_quantiles(df, values, QUARTILES, by)
+    if not together:
+        quartiles = exact_quantiles(df, values, QUARTILES, by, rows=0 if small else SMALL_CELLS + 1)
         quartiles = quartiles.select(
             *[column(b).alias(f"_b{i}") for i, b in enumerate(by)], F.col("metric").alias("_metric"),
             F.col("quantiles").alias("q"),

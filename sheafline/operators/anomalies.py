@@ -17,6 +17,8 @@ from sheafline.operators.cleanup import with_row_index
 FENCE = 1.5
 MIN_VALUES = 4
 MAX_LISTED = 1000
+# Tasks that share the rows of one group when its bounds are looked up.
+SALTS = 32
 ROUNDED = ("q1", "q3", "iqr", "lower_bound", "upper_bound")
 
 
@@ -57,12 +59,17 @@ def _with_bounds(df: DataFrame, value: Column, keys: list[str], bounds: DataFram
         # One row of bounds: evaluated once, then a constant in the filter.
         pair = bounds.select(F.struct(*fields)).scalar()
         return rows.withColumn("_bounds", pair)
-    named = bounds.select(*[column(b).alias(f"_b{i}") for i, b in enumerate(keys)], F.struct(*fields).alias("_bounds"))
-    same = F.lit(True)
+    # One group may hold much of the table: its rows are spread over SALTS tasks, and the bounds,
+    # one row per group, are repeated for each.
+    salt = F.pmod(F.xxhash64("_value"), F.lit(SALTS)).cast("int")
+    named = bounds.select(
+        *[column(b).alias(f"_b{i}") for i, b in enumerate(keys)], F.struct(*fields).alias("_bounds"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_slot"),
+    )
+    same = F.col("_salt") == F.col("_slot")
     for i, b in enumerate(keys):
-        matches = column(b).eqNullSafe(F.col(f"_b{i}"))
-        same = matches if i == 0 else same & matches
-    return rows.join(named, same).drop(*[f"_b{i}" for i in range(len(keys))])
+        same = same & column(b).eqNullSafe(F.col(f"_b{i}"))
+    return rows.withColumn("_salt", salt).join(named, same).drop("_salt", "_slot", *[f"_b{i}" for i in range(len(keys))])
 
 
 def flag_anomalies(

@@ -48,7 +48,9 @@ def new_documents(incoming: DataFrame, indexed: DataFrame, order: str = "documen
     """The documents to index: the first of each content that the catalog does not hold."""
     slim = incoming.select("document_id", "content_hash", *([order] if order != "document_id" else []))
     firsts = first_by_hash(slim, order)
-    fresh = firsts.join(indexed.select("content_hash"), "content_hash", "left_anti").select("document_id")
+    # Distinct first: copies of one content in the catalog would meet in one task.
+    known = indexed.select("content_hash").distinct()
+    fresh = firsts.join(known, "content_hash", "left_anti").select("document_id")
     return incoming.join(fresh, "document_id", "left_semi")
 
 

@@ -40,20 +40,19 @@ def is_small(df: DataFrame, metrics: int, rows: int | None = None) -> bool:
     return (df.count() if rows is None else rows) * max(metrics, 1) <= SMALL_CELLS
 
 
-def small_quantiles(value: Column, probabilities: Sequence[float]) -> Column:
-    """Aggregate: quantiles of a small group as an array, NULL for a group without values."""
-    return _read_off(F.sort_array(F.collect_list(value)), probabilities)
+def small_quantiles_sql(name: str, probabilities: Sequence[float]) -> str:
+    """Aggregate, as SQL: quantiles of a small group's column, NULL for a group without values.
 
-
-def _read_off(ordered: Column, probabilities: Sequence[float]) -> Column:
-    count = F.size(ordered)
+    Bound to a lambda variable, the values are sorted once however often they are read.
+    """
     results = []
     for p in probabilities:
-        position = F.lit(float(p)) * (count - 1)
-        low = F.get(ordered, F.floor(position).cast("int"))
-        high = F.get(ordered, F.ceil(position).cast("int"))
-        results.append(_between(low, high, position - F.floor(position)))
-    return F.when(count > 0, F.array(*results))
+        position = f"{float(p)}D * (size(s) - 1)"
+        low, high = (f"get(s, cast({side}({position}) as int))" for side in ("floor", "ceil"))
+        fraction = f"({position} - floor({position}))"
+        results.append(f"if({low} = {high}, {low}, {low} * (1 - {fraction}) + {high} * {fraction})")
+    read = f"if(size(s) > 0, array({', '.join(results)}), null)"
+    return f"transform(array(sort_array(collect_list({name}))), s -> {read})[0]"
 
 
 def _between(low: Column, high: Column, fraction: Column) -> Column:
@@ -217,12 +216,12 @@ def exact_quantiles(
     """
     if not is_small(df, len(values), rows):
         return counted_quantiles(df, values, probabilities, by)
-    slots = list(values.items())
     keys = [column(b) for b in by]
-    wide = df.groupBy(*keys).agg(*[F.sort_array(F.collect_list(v)).alias(f"_m{i}") for i, (_, v) in enumerate(slots)])
-    entries = F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.size(f"_m{i}").cast("long").alias("total"),
-                 _read_off(F.col(f"_m{i}"), probabilities).alias("quantiles"))
-        for i, (m, _) in enumerate(slots)
-    ])
-    return wide.select(*keys, F.inline(entries)).filter(F.col("total") > 0)
+    # One branch per metric: each reads one column, and the branches are sorted side by side.
+    parts = [
+        df.select(*keys, v.alias("_v")).groupBy(*keys)
+        .agg(F.expr("count(_v)").alias("total"), F.expr(small_quantiles_sql("_v", probabilities)).alias("quantiles"))
+        .select(*keys, F.lit(m).alias("metric"), "total", "quantiles")
+        for m, v in values.items()
+    ]
+    return reduce(DataFrame.unionByName, parts).filter(F.col("total") > 0)

@@ -124,31 +124,34 @@ def lowered(question: Column) -> Column:
     return F.lower(F.trim(question))
 
 
-def intent_columns(question: Column, assistant_name: str | None = None) -> tuple[Column, Column, Column]:
-    """``(intent, confidence, reason)`` of a question column.
+def label_intents(questions: DataFrame, question: str = "question", assistant_name: str | None = None) -> DataFrame:
+    """``questions`` with ``intent, confidence, reason``; projections only, no shuffle.
 
     ``assistant_name`` makes "what is <name>" a general question.
     """
-    q = lowered(question)
+    q = F.col("_q")
     patterns = list(GREETING_PATTERNS)
     if assistant_name:
         patterns.append(rf"\bwhat is {re.escape(assistant_name.lower())}\b")
-    greeting = q.rlike(_one_of(patterns)) & ~_says(q, BUSINESS_WORDS)
-    has_data, has_docs = _mentions(q, DATA_KEYWORDS), _mentions(q, DOCS_KEYWORDS)
-    hybrid = q.rlike(_one_of(HYBRID_PATTERNS)) | (has_data & has_docs)
-    case = F.when(greeting, "greeting").when(hybrid, "HYBRID").when(has_data, "DATA").when(has_docs, "DOCS").otherwise("unknown")
+    # Staged, so that each pattern is matched once per question.
+    staged = questions.withColumn("_q", lowered(F.col(question))).withColumns({
+        "_greeting": q.rlike(_one_of(patterns)) & ~_says(q, BUSINESS_WORDS),
+        "_data": _mentions(q, DATA_KEYWORDS),
+        "_docs": _mentions(q, DOCS_KEYWORDS),
+    })
+    hybrid = (F.col("_data") & F.col("_docs")) | q.rlike(_one_of(HYBRID_PATTERNS))
+    case = (
+        F.when(F.col("_greeting"), "greeting").when(hybrid, "HYBRID").when(F.col("_data"), "DATA")
+        .when(F.col("_docs"), "DOCS").otherwise("unknown")
+    )
 
     def by_case(values: dict) -> Column:
-        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[case]
-
-    intent = F.when(case.isin("greeting", "unknown"), "GENERAL").otherwise(case)
-    return intent, by_case(CONFIDENCE), by_case(REASONS)
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("_case")]
 
-
-def label_intents(questions: DataFrame, question: str = "question", assistant_name: str | None = None) -> DataFrame:
-    """``questions`` with ``intent, confidence, reason``; one projection, no shuffle."""
-    intent, confidence, reason = intent_columns(F.col(question), assistant_name)
-    return questions.select("*", intent.alias("intent"), confidence.alias("confidence"), reason.alias("reason"))
+    intent = F.when(F.col("_case").isin("greeting", "unknown"), "GENERAL").otherwise(F.col("_case"))
+    return staged.withColumn("_case", case).select(
+        *questions.columns, intent.alias("intent"), by_case(CONFIDENCE).alias("confidence"), by_case(REASONS).alias("reason")
+    )
 
 
 def _count_in(question: Column, pattern: str, default: int, most: int) -> Column:
@@ -160,8 +163,8 @@ def _count_in(question: Column, pattern: str, default: int, most: int) -> Column
 
 
 def parameter_columns(question: Column) -> tuple[Column, Column, Column]:
-    """``(limit, periods, frequency)`` asked for in a question."""
-    q = lowered(question)
+    """``(limit, periods, frequency)`` asked for in a lowered question."""
+    q = question
     frequency = reduce(lambda case, pair: case.when(q.contains(pair[0]), pair[1]), FREQUENCY_WORDS[1:],
                        F.when(q.contains(FREQUENCY_WORDS[0][0]), FREQUENCY_WORDS[0][1]))
     return (
@@ -173,8 +176,9 @@ def parameter_columns(question: Column) -> tuple[Column, Column, Column]:
 
 def label_parameters(questions: DataFrame, question: str = "question") -> DataFrame:
     """``questions`` with ``top_limit, periods, frequency``."""
-    limit, periods, frequency = parameter_columns(F.col(question))
-    return questions.select("*", limit.alias("top_limit"), periods.alias("periods"), frequency.alias("frequency"))
+    limit, periods, frequency = parameter_columns(F.col("_q"))
+    staged = questions.withColumn("_q", lowered(F.col(question)))
+    return staged.select(*questions.columns, limit.alias("top_limit"), periods.alias("periods"), frequency.alias("frequency"))
 
 
 class Roles(NamedTuple):
@@ -235,8 +239,8 @@ def _matches(pairs: list[tuple[str, Column]]) -> Column:
 
 
 def mention_columns(question: Column, roles: Roles) -> tuple[Column, Column, Column]:
-    """``(metrics, dimensions, dates)``: the columns a question mentions, in column order."""
-    q = lowered(question)
+    """``(metrics, dimensions, dates)``: the columns a lowered question mentions, in column order."""
+    q = question
     metrics = [(c, _any([_named(q, c), _synonym(q, c, METRIC_SYNONYMS)])) for c in roles.metrics]
 
     def plural(name: str) -> Column | None:
@@ -254,8 +258,9 @@ def match_columns(questions: DataFrame, columns: DataFrame, question: str = "que
 
     The profile becomes constants of the projection, so the questions are neither joined nor moved.
     """
-    metrics, dimensions, dates = mention_columns(F.col(question), roles_of(columns))
-    return questions.select("*", metrics.alias("metrics"), dimensions.alias("dimensions"), dates.alias("dates"))
+    metrics, dimensions, dates = mention_columns(F.col("_q"), roles_of(columns))
+    staged = questions.withColumn("_q", lowered(F.col(question)))
+    return staged.select(*questions.columns, metrics.alias("metrics"), dimensions.alias("dimensions"), dates.alias("dates"))
 
 
 # What is said when a question cannot be answered.
@@ -281,9 +286,9 @@ def label_operations(questions: DataFrame, columns: DataFrame, question: str = "
     without a mentioned metric only a table's single metric is used.
     """
     roles = roles_of(columns)
-    q = lowered(F.col(question))
-    metrics, dimensions, dates = mention_columns(F.col(question), roles)
-    asked_limit, asked_periods, asked_frequency = parameter_columns(F.col(question))
+    q = F.col("_q")
+    metrics, dimensions, dates = mention_columns(q, roles)
+    asked_limit, asked_periods, asked_frequency = parameter_columns(q)
 
     wanted = (
         F.when(_says(q, ANOMALY_WORDS), "anomaly")
@@ -292,7 +297,7 @@ def label_operations(questions: DataFrame, columns: DataFrame, question: str = "
         .when(_says(q, TOP_WORDS) | _says(q, BREAKDOWN_WORDS) | q.rlike(f"(?U){BREAKDOWN_PATTERN}"), "top")
         .otherwise("kpis")
     )
-    staged = questions.withColumns({
+    staged = questions.withColumn("_q", lowered(F.col(question))).withColumns({
         "_wanted": wanted, "_metric": F.get(metrics, F.lit(0)), "_dimension": F.get(dimensions, F.lit(0)),
         "_date": F.get(dates, F.lit(0)),
     })

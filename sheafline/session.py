@@ -15,6 +15,8 @@ def build_session(app: str = "sheafline", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Call-site capture doubles the driver's work on wide expressions.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Arrow batches of long texts: bound the batch in bytes, not only in rows.
         "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
         **{key.replace("__", "."): value for key, value in conf.items()},
