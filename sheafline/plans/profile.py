@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.operators.profile import profile_columns
@@ -26,6 +26,7 @@ def profile_table(
     uploaded_at: str | None = None,
     file_type: str = "parquet",
     file_size: int | None = None,
+    location: str | None = None,
     approx: bool = False,
     sample: int | None = None,
 ) -> Profile:
@@ -35,6 +36,7 @@ def profile_table(
         F.lit(filename).alias("original_filename"),
         F.lit(file_type).alias("file_type"),
         F.lit(file_size).cast("long").alias("file_size"),
+        F.lit(location).cast("string").alias("location"),
         "row_count",
         F.lit(len(df.columns)).cast("long").alias("column_count"),
         stamp.alias("upload_timestamp"),
@@ -49,7 +51,7 @@ def table_summary(profile: Profile) -> DataFrame:
     """
     kind = F.col("semantic_type")
 
-    def names(condition) -> F.Column:
+    def names(condition) -> Column:
         held = F.collect_list(F.when(condition, F.struct("ordinal", "name")))
         return F.transform(F.array_sort(held), lambda c: c["name"])
 

@@ -6,15 +6,17 @@ each dataset.
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.errors import AnalyticsError
 from sheafline.plans.profile import Profile
+from sheafline.sources.tables import normalize_columns, read_csv, read_json
 
 DEFAULT_SCORE = 100.0
 ENTRY = (
-    "dataset_id string, original_filename string, file_type string, file_size long, row_count long, "
+    "dataset_id string, original_filename string, file_type string, file_size long, location string, row_count long, "
     "column_count long, upload_timestamp string, quality_score double, missing_percentage double, "
     "profile_json string, deleted boolean, logged_at timestamp"
 )
@@ -25,8 +27,8 @@ def registry_entry(profile: Profile) -> DataFrame:
     quality = profile.quality.select(F.struct("*").alias("q")).scalar()
     columns = profile.columns.agg(F.array_sort(F.collect_list(F.struct("*"))).alias("c")).scalar()
     return profile.dataset.withColumn("_q", quality).select(
-        "dataset_id", "original_filename", "file_type", "file_size", "row_count", "column_count", "upload_timestamp",
-        F.col("_q.score").alias("quality_score"), F.col("_q.missing_percentage").alias("missing_percentage"),
+        "dataset_id", "original_filename", "file_type", "file_size", "location", "row_count", "column_count",
+        "upload_timestamp", F.col("_q.score").alias("quality_score"), F.col("_q.missing_percentage").alias("missing_percentage"),
         F.to_json(F.struct(F.col("_q").alias("quality"), columns.alias("columns"))).alias("profile_json"),
         F.lit(False).alias("deleted"), F.current_timestamp().alias("logged_at"),
     )
@@ -65,6 +67,24 @@ def find_dataset(registry: DataFrame, dataset_id: str) -> DataFrame:
     return found
 
 
+def load_dataset(registry: DataFrame, dataset_id: str) -> DataFrame:
+    """The table of a registered dataset, with normalised headers.
+
+    Fails with ``DATASET_NOT_FOUND`` for an unknown id, ``DATASET_LOAD_ERROR`` for an entry
+    without a location, and ``DATASET_READ_ERROR`` when its files cannot be read.
+    """
+    entry, spark = find_dataset(registry, dataset_id).first(), registry.sparkSession
+    location, kind = entry["location"], entry["file_type"]
+    if not location or kind not in ("csv", "json", "parquet"):
+        raise AnalyticsError("DATASET_LOAD_ERROR", f"Dataset {dataset_id!r} has no readable location.")
+    try:
+        if kind == "csv":
+            return read_csv(spark, location)
+        return normalize_columns(read_json(spark, location) if kind == "json" else spark.read.parquet(location))
+    except PySparkException as error:
+        raise AnalyticsError("DATASET_READ_ERROR", f"Dataset {dataset_id!r} cannot be read: {error}") from error
+
+
 def latest_dataset(registry: DataFrame) -> DataFrame:
     """One row ``(dataset_id)``: the newest dataset, NULL in an empty registry."""
     return registry.agg(F.max_by("dataset_id", F.struct("upload_timestamp", "dataset_id")).alias("dataset_id"))

@@ -168,5 +168,14 @@ def test_registry(spark, tmp_path):
     assert registry.delete_dataset(spark, path, "two") is True
     assert registry.delete_dataset(spark, path, "two") is False
     assert [r["dataset_id"] for r in registry.list_datasets(registry.read_registry(spark, path)).collect()] == ["one"]
+    for name, code in (("three", "DATASET_NOT_FOUND"), ("one", "DATASET_LOAD_ERROR")):
+        with pytest.raises(AnalyticsError, match=code):
+            registry.load_dataset(held, name)
+    gone = held.withColumn("location", F.lit(str(tmp_path / "gone.csv"))).withColumn("file_type", F.lit("csv"))
+    with pytest.raises(AnalyticsError, match="DATASET_READ_ERROR"):
+        registry.load_dataset(gone, "one")
+    (tmp_path / "kept.csv").write_text("a,a\n1,x\n")
+    kept = gone.withColumn("location", F.lit(str(tmp_path / "kept.csv")))
+    assert registry.load_dataset(kept, "one").columns == ["a", "a_1"]
     unscored = held.withColumn("quality_score", F.lit(None).cast("double")).withColumn("missing_percentage", F.lit(None).cast("double"))
     assert {(r["quality_score"], r["missing_percentage"]) for r in registry.list_datasets(unscored).collect()} == {(100.0, 0.0)}
