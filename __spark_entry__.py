@@ -1161,7 +1161,7 @@ SELECT question_id, interpretation, concat_ws(concat(chr(10), chr(10)), '⚡ **H
   concat('### 📊 DATA FINDINGS', chr(10), coalesce(listed, 'No active structured dataset is available (No active structured dataset found.).')),
   concat('### 📄 DOCUMENT EVIDENCE', chr(10), coalesce(passages, 'No matching document evidence found.')),
   concat('### ⚡ AI INTERPRETATION', chr(10), interpretation),
-  concat('### 🔗 CITATIONS', chr(10), coalesce(concat('**Sources:**', chr(10), cited), 'No document citations available.'))) AS answer FROM a""")
+  concat('### 🔗 CITATIONS', chr(10), CASE WHEN cited IS NULL THEN 'No document citations available.' ELSE concat('**Sources:**', chr(10), cited) END)) AS answer FROM a""")
 def evidence_answers(spark, sf_dir):
     return _answers(spark, sf_dir).select("question_id", "interpretation", "answer")
 
