@@ -396,7 +396,8 @@ def iqr_anomalies_row_index(spark, sf_dir):
 
 
 @query("anomaly_summary", f"""
-SELECT event_type, 'value' AS "column", 'IQR' AS method, {', '.join(f'round({c}, 2) AS {c}' for c in BOUND_NAMES)},
+SELECT event_type, 'value' AS "column", 'IQR' AS method,
+       {', '.join(f'round(round_even(CAST({c} AS DECIMAL(38, 10)), 4), 2)::DOUBLE AS {c}' for c in BOUND_NAMES)},
        a AS anomaly_count, round(100.0 * a / valid_count, 2) AS anomaly_percentage, valid_count - a AS normal_count
 FROM (SELECT b.*, (SELECT count(*) FROM events e WHERE e.event_type = b.event_type
                    AND (value < lower_bound OR value > upper_bound)) AS a
