@@ -15,7 +15,6 @@ from sheafline.operators import (
     charts,
     chunks,
     cleanup,
-    columns,
     evidence,
     facts,
     identifiers,
@@ -560,9 +559,37 @@ def _orders_profile(spark, sf_dir):
     return profiles.profile_table(table(spark, sf_dir, "orders"), "orders", "orders.parquet", uploaded_at="2024-01-01T00:00:00Z")
 
 
-@query("column_profile")
+def _column_profile_sql() -> str:
+    """The profile of ``orders``, one SELECT per column."""
+    kinds = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+             "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+    figures = {"min": "CAST(min({c}) AS DOUBLE)", "max": "CAST(max({c}) AS DOUBLE)", "mean": "round(avg({c}), 4)",
+               "median": "round(CAST(quantile_cont({c}, 0.5) AS DOUBLE), 4)", "std": "round(stddev_samp({c}), 4)",
+               "q25": "round(CAST(quantile_cont({c}, 0.25) AS DOUBLE), 4)", "q75": "round(CAST(quantile_cont({c}, 0.75) AS DOUBLE), 4)"}
+    iso = "strftime({x}, '%Y-%m-%dT%H:%M:%S')"
+    parts = []
+    for i, (c, kind) in enumerate(kinds.items()):
+        number, text_kind, is_date = kind in ("bigint", "double"), kind == "string", c == "o_orderdate"
+        shown = iso.format(x=c) if is_date else f"CAST({c} AS VARCHAR)"
+        tops = (f"(SELECT string_agg(concat({c}, '=', n), '; ' ORDER BY n DESC, {c}) FROM "
+                f"(SELECT {c}, count(*) AS n FROM orders GROUP BY {c} ORDER BY n DESC, {c} LIMIT 5))")
+        parts.append(f"""
+SELECT CAST({i} AS INTEGER) AS ordinal, '{c}' AS name, '{kind}' AS dtype,
+  '{"numeric" if number else "datetime" if is_date else "categorical"}' AS semantic_type, {str(c == "o_orderkey").lower()} AS is_identifier,
+  count(*) - count({c}) AS null_count, 0.0::DOUBLE AS null_percentage, count(DISTINCT {c}) AS unique_count,
+  (SELECT string_agg(v, '; ') FROM (SELECT {shown} AS v FROM orders WHERE {c} IS NOT NULL LIMIT 5)) AS sample_values,
+  {', '.join(f"{(e.format(c=c) if number else 'CAST(NULL AS DOUBLE)')} AS {n}" for n, e in figures.items())},
+  {', '.join(f"{iso.format(x=f'{f}({c})') if is_date else 'CAST(NULL AS VARCHAR)'} AS {f}_date" for f in ('min', 'max'))},
+  {DAYS_SQL.format(ts=c) if is_date else 'CAST(NULL AS BIGINT)'} AS range_days, {tops if text_kind else 'CAST(NULL AS VARCHAR)'} AS top_values
+FROM orders""")
+    return " UNION ALL ".join(parts)
+
+
+@query("column_profile", _column_profile_sql())
 def column_profile(spark, sf_dir):
-    return _orders_profile(spark, sf_dir).columns
+    columns = _orders_profile(spark, sf_dir).columns
+    pairs = F.transform("top_values", lambda v: F.concat(v["value"], F.lit("="), v["count"].cast("string")))
+    return columns.withColumns({"top_values": F.array_join(pairs, "; "), "sample_values": F.array_join("sample_values", "; ")})
 
 
 @query("dataset_summary", """
@@ -692,6 +719,22 @@ def chunk_recursive(spark, sf_dir):
     return chunks.chunk_pages(chunks.clean_pages(_pages(spark, sf_dir)), largest_page=1)
 
 
+@query("chunk_invariants", f"""
+SELECT doc_id AS document_id, true AS fits, true AS starts, true AS ends, true AS covers FROM ({CLEANED_SQL}) WHERE length(text) > 0""")
+def chunk_invariants(spark, sf_dir):
+    """Chunks fit the size, start and end where their document does, and lose no character."""
+    def visible(value):
+        return F.length(F.regexp_replace(value, r"\s", ""))
+
+    pieces = chunk_recursive(spark, sf_dir).groupBy("document_id").agg(
+        F.max(F.length("text")).alias("longest"), F.min_by("text", "chunk_index").alias("first"),
+        F.max_by("text", "chunk_index").alias("last"), F.sum(visible(F.col("text"))).alias("seen"))
+    whole = chunks.clean_pages(_pages(spark, sf_dir)).select("document_id", "text")
+    return whole.join(pieces, "document_id").select(
+        "document_id", (F.col("longest") <= 1000).alias("fits"), F.startswith("text", "first").alias("starts"),
+        F.endswith("text", "last").alias("ends"), (F.col("seen") >= visible(F.col("text"))).alias("covers"))
+
+
 @query("chunk_by_page")
 def chunk_by_page(spark, sf_dir):
     """Paragraph pages, numbered across each document."""

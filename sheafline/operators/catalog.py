@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheafline.functions.text import content_hash
 from sheafline.operators.skew import lookup_by_key
+from sheafline.session import cut_lineage
 
 
 def with_hash(documents: DataFrame, content: str = "content") -> DataFrame:
@@ -18,10 +19,9 @@ def first_by_hash(documents: DataFrame, order: str) -> DataFrame:
 
     A partial aggregate: a million copies of one text leave each task as one row.
     """
-    return documents.groupBy("content_hash").agg(
-        F.min_by("document_id", F.struct(order, "document_id")).alias("document_id"),
-        F.count(F.lit(1)).alias("copies"),
-    )
+    # A plain minimum aggregates by hash; a minimum by another column has to sort.
+    first = F.min("document_id") if order == "document_id" else F.min_by("document_id", F.struct(order, "document_id"))
+    return documents.groupBy("content_hash").agg(first.alias("document_id"), F.count(F.lit(1)).alias("copies"))
 
 
 def resolve_duplicates(incoming: DataFrame, indexed: DataFrame | None = None, order: str = "document_id") -> DataFrame:
@@ -30,9 +30,10 @@ def resolve_duplicates(incoming: DataFrame, indexed: DataFrame | None = None, or
 
     ``incoming`` has ``document_id``, ``content_hash`` and the ``order`` column; ``indexed`` is the
     catalog so far. Content that is already indexed resolves to the indexed document, whatever its
-    file name; otherwise the first of the batch wins. Texts are not needed here and do not travel.
+    file name; otherwise the first of the batch wins. Texts are read once: ids and hashes are
+    checkpointed, and everything else works on those.
     """
-    slim = incoming.select("document_id", "content_hash", *([order] if order != "document_id" else []))
+    slim = cut_lineage(incoming.select("document_id", "content_hash", *([order] if order != "document_id" else [])))
     known = first_by_hash(slim, order)
     if indexed is not None:
         old = indexed.groupBy("content_hash").agg(F.min("document_id").alias("_known"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheafline.errors import AnalyticsError
 from sheafline.functions.dates import iso_text, whole_days
 from sheafline.functions.numbers import finite_or_null, half_even, is_numeric, share_percent
-from sheafline.functions.text import identity_key
+from sheafline.functions.text import SHORT_TEXT, identity_key
 from sheafline.operators.aggregate import describe
 from sheafline.operators.cleanup import json_safe_value
 from sheafline.operators.columns import (
@@ -216,20 +216,20 @@ def top_values(df: DataFrame, names: list[str], count: int = TOP_VALUES) -> Data
         counted = clean.filter(column(c).isNotNull()).groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("count"))
         best = counted.orderBy(F.desc("count"), "k").limit(count)
         if is_text(types[c]):
-            # At most ``count`` digests: find their texts, one row per digest.
-            wanted = best.filter(F.length("k") > 64).select("k")
+            # At most ``count`` digests: find their texts, one row per digest. DISTINCT aggregates
+            # by hash, so the copies of a text collapse in each task without being sorted.
+            wanted = best.filter(F.length("k") > SHORT_TEXT).select("k")
             texts = (
-                clean.filter(F.length(column(c)) > 64).select(key.alias("k"), shown.alias("value"))
-                .join(F.broadcast(wanted), "k").groupBy("k").agg(F.any_value("value").alias("long_value"))
+                clean.filter(F.length(column(c)) > SHORT_TEXT).select(key.alias("k"), shown.alias("long_value"))
+                .join(F.broadcast(wanted), "k").distinct()
             )
             best = best.join(F.broadcast(texts), "k", "left").select(
                 "k", "count", F.coalesce("long_value", "k").alias("value")
             )
         else:
-            best = best.select("k", "count", F.col("k").cast("string").alias("value") if not isinstance(types[c], T.BooleanType)
-                               else F.initcap(F.col("k").cast("string")).alias("value"))
-        from pyspark.sql import Window
-
+            as_text = F.col("k").cast("string")
+            shown_key = F.initcap(as_text) if isinstance(types[c], T.BooleanType) else as_text
+            best = best.select("k", "count", shown_key.alias("value"))
         # At most ``count`` rows are numbered.
         rank = F.row_number().over(Window.orderBy(F.desc("count"), "k")).cast("long")
         parts.append(best.select(F.lit(c).alias("name"), rank.alias("rank"), "value", "count"))
