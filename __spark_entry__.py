@@ -1161,25 +1161,24 @@ def quality_facts(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    """One question per label; labels below 8 have hits, and even labels have facts."""
+    """One question per label, each with the ranking's facts and its own hits."""
     asked = _centroids(spark, sf_dir).select(F.col("query_id").alias("question_id"))
-    hits = _hits(spark, sf_dir).withColumnRenamed("query_id", "question_id").filter(F.col("question_id") < 8)
+    hits = _hits(spark, sf_dir).withColumnRenamed("query_id", "question_id")
     found = top_facts(spark, sf_dir)
-    even = asked.filter(F.col("question_id") % 2 == 0).withColumn("k", F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))
-    # The fact list is at most a hundred rows; each question picks it up by position.
-    told = even.select("question_id", F.explode("k").alias("ord")).join(F.broadcast(found), "ord")
+    wanted = asked.withColumn("k", F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))
+    # Five categories make six facts; each question picks them up by position.
+    told = wanted.select("question_id", F.explode("k").alias("ord")).join(F.broadcast(found), "ord")
     return evidence.synthesize(asked, told.select("question_id", "ord", "fact"), hits)
 
 
 @query("evidence", f"""
 WITH q AS (SELECT DISTINCT label AS question_id FROM embeddings),
 c AS (SELECT query_id, string_agg(c, '; ' ORDER BY r) AS citations FROM (
-  SELECT query_id, concat(filename, ' (Page ', page, ')') AS c, min(rank) AS r FROM ({HITS_SQL}) WHERE query_id < 8 GROUP BY 1, 2) GROUP BY 1),
+  SELECT query_id, concat(filename, ' (Page ', page, ')') AS c, min(rank) AS r FROM ({HITS_SQL}) GROUP BY 1, 2) GROUP BY 1),
 f AS (SELECT string_agg(fact, ' | ' ORDER BY ord) AS data_facts FROM ({TOP_FACTS_SQL}))
-SELECT question_id, CASE WHEN question_id % 2 = 0 THEN (SELECT data_facts FROM f) ELSE '' END AS data_facts,
+SELECT question_id, (SELECT data_facts FROM f) AS data_facts,
        coalesce(citations, '') AS citations,
-       concat_ws('|', CASE WHEN question_id % 2 = 1 THEN 'No active structured dataset available.' END,
-                 CASE WHEN citations IS NULL THEN 'No matching document passages found.' END) AS warnings
+       CASE WHEN citations IS NULL THEN 'No matching document passages found.' ELSE '' END AS warnings
 FROM q LEFT JOIN c ON query_id = question_id""")
 def evidence_query(spark, sf_dir):
     return _answers(spark, sf_dir).select(
@@ -1188,18 +1187,16 @@ def evidence_query(spark, sf_dir):
 
 
 @query("evidence_answers", f"""
-WITH h AS (SELECT * FROM ({HITS_SQL}) WHERE query_id < 8),
+WITH h AS (SELECT * FROM ({HITS_SQL})),
 c AS (SELECT query_id, string_agg(concat('- ', c), chr(10) ORDER BY r) AS cited FROM (
   SELECT query_id, concat(filename, ' (Page ', page, ')') AS c, min(rank) AS r FROM h GROUP BY 1, 2) GROUP BY 1),
 p AS (SELECT query_id, arg_min(concat(filename, ' (Page ', page, ')'), rank) AS source, string_agg(concat('• [', filename, ' (Page ', page, ')]:', chr(10), '  ',
   regexp_replace(text, '^{BLANKS}+|{BLANKS}+$', '', 'g')), concat(chr(10), chr(10)) ORDER BY rank) AS passages FROM h GROUP BY 1),
 f AS (SELECT string_agg(concat('• ', fact), chr(10) ORDER BY ord) AS listed, string_agg(fact, '; ' ORDER BY ord) FILTER (ord < 3) AS short FROM ({TOP_FACTS_SQL})),
-a AS (SELECT question_id, cited, passages, CASE WHEN question_id % 2 = 0 THEN listed END AS listed, CASE
-    WHEN question_id % 2 = 0 AND source IS NOT NULL THEN concat('Based on the structured dataset, ', short, '. According to ', source,
+a AS (SELECT question_id, cited, passages, listed, CASE
+    WHEN source IS NOT NULL THEN concat('Based on the structured dataset, ', short, '. According to ', source,
       ', the policy/guidelines outline specific operational requirements. No causal link is asserted between the quantitative metrics and document policies without explicit supporting evidence.')
-    WHEN question_id % 2 = 0 THEN concat('Structured data findings (', short, ') were successfully calculated from the dataset, but no matching document evidence was found to provide policy or procedural context.')
-    WHEN source IS NOT NULL THEN concat('Document evidence was retrieved from ', source, ', but no active structured dataset was available to cross-reference quantitative findings.')
-    ELSE 'Neither structured dataset metrics nor document evidence were available to perform hybrid synthesis.' END AS interpretation
+    ELSE concat('Structured data findings (', short, ') were successfully calculated from the dataset, but no matching document evidence was found to provide policy or procedural context.') END AS interpretation
   FROM (SELECT DISTINCT label AS question_id FROM embeddings) LEFT JOIN c ON c.query_id = question_id LEFT JOIN p ON p.query_id = question_id, f)
 SELECT question_id, interpretation, concat_ws(concat(chr(10), chr(10)), '⚡ **Hybrid Synthesis:**',
   concat('### 📊 DATA FINDINGS', chr(10), coalesce(listed, 'No active structured dataset is available (No active structured dataset found.).')),
@@ -1213,9 +1210,8 @@ def evidence_answers(spark, sf_dir):
 @query("answer_sections", f"""
 WITH f AS (SELECT string_agg(concat('• ', fact), chr(10) ORDER BY ord) AS data_facts FROM ({TOP_FACTS_SQL})), n AS (
   SELECT query_id, string_agg(concat('- ', c), chr(10) ORDER BY r) AS citations FROM (
-    SELECT query_id, concat(filename, ' (Page ', page, ')') AS c, min(rank) AS r FROM ({HITS_SQL}) WHERE query_id < 8 GROUP BY 1, 2) GROUP BY 1)
-SELECT label AS question_id, CASE WHEN label % 2 = 0 THEN (SELECT data_facts FROM f)
-         ELSE 'No active structured dataset is available (No active structured dataset found.).' END AS data_findings,
+    SELECT query_id, concat(filename, ' (Page ', page, ')') AS c, min(rank) AS r FROM ({HITS_SQL}) GROUP BY 1, 2) GROUP BY 1)
+SELECT label AS question_id, (SELECT data_facts FROM f) AS data_findings,
        CASE WHEN citations IS NULL THEN 'No document citations available.' ELSE concat('**Sources:**', chr(10), citations) END AS citations,
        false AS is_forecast, false AS is_anomaly
 FROM (SELECT DISTINCT label FROM embeddings) LEFT JOIN n ON query_id = label""")
