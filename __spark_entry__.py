@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1416,6 +1417,27 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(held).select("document_id", "content_hash", "size")
 
 
+# --- operators on training text, where that part of the library is installed ------------------
+
+
+def _add_training_text() -> None:
+    parts = ("sheafline.llm", "sheafline.llm.queries", "corpus_pipeline")
+    try:
+        held, pipeline = (importlib.import_module(name) for name in parts[1:])
+    except ModuleNotFoundError as missing:
+        if missing.name not in parts:
+            raise
+        return
+    QUERIES.update(held.QUERIES)
+    ORACLE.update(held.ORACLE)
+    QUERIES["pipeline"] = pipeline.run
+    if pipeline.ORACLE_SQL:
+        ORACLE["pipeline"] = pipeline.ORACLE_SQL
+
+
+_add_training_text()
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: which order priorities bring the most revenue?"""
     return _top_priorities(spark, "/root/testdata/sf0.001")
