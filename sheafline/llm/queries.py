@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import pieces, simhash, tokens, topk
+from sheafline.llm import language, pieces, simhash, tokens, topk, toxicity
+from sheafline.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out)
+    return toxicity.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query("op4_pieces")
 def op4_pieces(spark, sf_dir):
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -54,6 +62,12 @@ def op7_topk(spark, sf_dir):
     return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+@query("op8_language")
+def op8_language(spark, sf_dir):
+    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 4) == 2
+    return language.identify(docs, language.fit(docs, held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op10_tokens")
 def op10_tokens(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
