@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import language, pieces, simhash, tokens, topk, toxicity
+from sheafline.llm import language, pieces, secrets, simhash, spans, tokens, topk, toxicity
 from sheafline.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _digest(column: str) -> Column:
+    return F.sha2(spans.written(F.col(column)).cast("binary"), 256)
+
+
+def _number(column: str, kind: str, name: str) -> Column:
+    return F.size(F.filter(column, lambda s: s["kind"] == kind)).cast("long").alias(name)
+
+
+@query("op1_secrets")
+def op1_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secrets.fit(docs))
+    counts = [_number("base", kind, f"n_{kind}") for kind in secrets.KINDS]
+    return found.select("doc_id", *counts, _digest("base").alias("base_sha256"), spans.written(F.col("spans")).alias("spans"))
+
+
 @query("op2_toxicity")
 def op2_toxicity(spark, sf_dir):
     docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
