@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import language, pieces, secrets, simhash, spans, tokens, topk, toxicity
+from sheafline.llm import language, pieces, pii, secrets, simhash, spans, tokens, topk, toxicity
 from sheafline.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,14 @@ def op4_pieces(spark, sf_dir):
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op5_personal_data")
+def op5_personal_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal_data(docs, pii.fit(docs))
+    counts = [_number("base", kind, f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, _digest("base").alias("base_sha256"), spans.written(F.col("spans")).alias("spans"))
+
+
 @query("op6_simhash")
 def op6_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
