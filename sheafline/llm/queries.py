@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import language, pieces, pii, secrets, simhash, spans, tokens, topk, toxicity
+from sheafline.llm import decontaminate, language, pieces, pii, secrets, simhash, spans, tokens, topk, toxicity
 from sheafline.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,12 @@ def op8_language(spark, sf_dir):
     return language.identify(docs, language.fit(docs, held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op9_decontamination")
+def op9_decontamination(spark, sf_dir):
+    found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "window", "start")
+
+
 @query("op10_tokens")
 def op10_tokens(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
