@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import decontaminate, language, pieces, pii, secrets, simhash, spans, tokens, topk, toxicity
+from sheafline.llm import decontaminate, language, pieces, pii, secrets, simhash, spans, substrings, tokens, topk, toxicity
 from sheafline.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,20 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("op3_substrings", r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i FROM words),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM starts JOIN words USING (doc_id)),
+later AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS least FROM windows) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM later),
+removed AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, k: ps IS NULL OR NOT list_contains(ps, k)), ' ')) AS kept_sha256
+FROM words LEFT JOIN removed USING (doc_id)""")
+def op3_substrings(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op4_pieces")
 def op4_pieces(spark, sf_dir):
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
