@@ -13,6 +13,8 @@ the members however many of them a bucket holds.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,7 @@ from sheafline.llm.common import stored, texts
 from sheafline.llm.components import connected_components
 
 BITS, RADIUS = 64, 2
+NO_ID = 2**63 - 1
 SEED = 42
 # Shingle hashes whose bits are unpacked at once.
 BLOCK = 1 << 16
@@ -61,9 +64,10 @@ def fingerprint(text: Column, words_per_shingle: int = 3) -> Column:
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
-    """The masks, as unsigned numbers; bit vectors are dealt to the bits in turn."""
+    """The masks, as unsigned numbers; vectors are dealt to the bits in turn, or spread out where there are more of them."""
     vectors = 2 ** (radius + 1) - 1
-    return [sum(1 << i for i in range(bits) if bin((i % vectors + 1) & v).count("1") % 2) for v in range(1, vectors + 1)]
+    step = 1 if vectors <= bits else next(s for s in range(vectors * 5 // 8, vectors) if math.gcd(s, vectors) == 1)
+    return [sum(1 << i for i in range(bits) if bin((i * step % vectors + 1) & v).count("1") % 2) for v in range(1, vectors + 1)]
 
 
 def _signed(value: int) -> int:
@@ -105,6 +109,101 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, id_column: str
     return rows.join(shared, "fingerprint", "left").select("doc_id", "fingerprint", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+# --- groups of similar documents: a wider radius, and similarity of five-word shingles ------------------
+
+
+# The radius that candidates are found in, words of a shingle, and bits of the fingerprint that judges candidates.
+WIDE_RADIUS, SHINGLE, WIDE = 5, 5, 256
+# Sets of equal size and Jaccard similarity 0.8 have the cosine 8/9, and so 38.6 of 256 bits apart; a standard deviation of
+# that number is added, so that most pairs just above the limit are linked.
+SIMILARITY = 0.8
+_TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
+
+
+def wide_limit(similarity: float = SIMILARITY) -> int:
+    """Bits of ``WIDE`` that two texts of this Jaccard similarity may differ in."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(WIDE * share + math.sqrt(WIDE * share * (1 - share)))
+
+
+def _majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
+    """The bits set in over half of the weight, as a signed number."""
+    weights = np.ones(len(hashes), dtype=np.float32) if weights is None else weights.astype(np.float32)
+    ones = np.zeros(BITS, dtype=np.float64)
+    for at in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[at:at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += weights[at:at + BLOCK] @ bits.astype(np.float32)
+    return int(np.packbits(2 * ones > weights.sum(dtype=np.float64), bitorder="little").view("<i8")[0])
+
+
+def prints_of(text: str) -> tuple[int, list[int]]:
+    """Two fingerprints: of the words (64 bits, a word counts ``1 + ln`` of its occurrences), which changes little with single words,
+    and of the distinct five-word shingles (256 bits), which stands for their Jaccard similarity."""
+    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not words:
+        return 0, [0] * len(_TURNS)
+    counted = Counter(words)
+    of_words = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counted), dtype="<u8")
+    weights = 1 + np.log(np.fromiter(counted.values(), dtype=np.float64))
+    shingles = set(map(b" ".join, zip(*(words[k:] for k in range(SHINGLE))))) or {b" ".join(words)}
+    hashes = np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype="<u8"))
+    wide = []
+    for turn in _TURNS:
+        mixed = (hashes ^ turn) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        wide.append(_majority(mixed ^ (mixed >> np.uint64(31))))
+    return _majority(of_words, weights), wide
+
+
+def _prints(text: Column) -> Column:
+    @F.pandas_udf("narrow long, wide array<long>")
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            both = [prints_of(t) for t in batch]
+            yield pd.DataFrame({"narrow": np.array([n for n, _ in both], dtype=np.int64), "wide": pd.Series([w for _, w in both], dtype=object)})
+
+    return made(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def similar_groups(rows: DataFrame, limit: int) -> DataFrame:
+    """``node, group`` for those nodes of ``rows`` (``node, narrow, wide``, distinct) that are linked to others.
+
+    Nodes that agree under a covering mask of ``WIDE_RADIUS`` meet in a bucket; each is compared there with the bucket's smallest
+    node, and linked to it if their wide fingerprints differ in at most ``limit`` bits. Work is linear in the nodes, whatever a
+    bucket holds; nodes of one group lead different buckets, and links over several steps join them."""
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("mask")) for t, m in enumerate(covering_masks(WIDE_RADIUS))])
+    dealt = rows.select("node", "narrow", F.explode(tables).alias("x")).select(
+        "node", "x.t", F.col("narrow").bitwiseAND(F.col("x.mask")).alias("bucket"))
+    met = dealt.groupBy("t", "bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
+    pairs = dealt.join(met, ["t", "bucket"]).where("node > a").select("a", F.col("node").alias("b")).distinct()
+    first = rows.select(F.col("node").alias("a"), F.col("wide").alias("wide_a"))
+    second = rows.select(F.col("node").alias("b"), F.col("wide").alias("wide_b"))
+    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    links = pairs.join(first, "a").join(second, "b").where(apart <= limit).select("a", "b")
+    return connected_components(links).withColumnRenamed("component", "group")
+
+
+def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of documents with similar five-word shingles, the one with the smallest id; all columns
+    as they are.
+
+    Equal texts are one group, null and empty texts too. A null id counts as larger than all others; of several rows equal in
+    id and text one stays. An empty table stays empty; texts are taken whole.
+    """
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    hash_ = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(id_.alias("id"), hash_.alias("hash"), _prints(F.col("text")).alias("p")).select(
+        "id", "hash", "p.narrow", "p.wide", F.xxhash64("p.narrow", "p.wide").alias("node"))
+    rows = stored(rows, "prints")
+    nodes = stored(rows.select("node", "narrow", "wide").distinct(), "nodes")
+    found = similar_groups(nodes, wide_limit(similarity))
+    grouped = rows.select("id", "hash", "node").join(found, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    first = grouped.groupBy("group").agg(F.min(F.struct("id", "hash")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.hash").alias("_hash"))
+    # The frame's own columns move into one struct, so that no name of theirs can clash.
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), id_.alias("_id"), hash_.alias("_hash"))
+    return whole.join(first, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).select("row.*")
+
+
 def as_hex(column: str) -> Column:
     """A bigint as 16 lowercase hexadecimal digits."""
     return F.lpad(F.lower(F.hex(column)), 16, "0")
