@@ -112,8 +112,10 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, id_column: str
 # --- groups of similar documents: a wider radius, and similarity of five-word shingles ------------------
 
 
-# The radius that candidates are found in, words of a shingle, and bits of the fingerprint that judges candidates.
-WIDE_RADIUS, SHINGLE, WIDE = 5, 5, 256
+# Fingerprints of 64 bits that candidates are found by, the radius of each, words of a shingle, and bits of the fingerprint that
+# judges candidates. Texts with Jaccard similarity 0.8 of five-word shingles share 98 of 100 words, about 4 of 64 bits; three
+# fingerprints of their own hashes leave few such pairs outside the radius in all of them.
+NARROW, NARROW_RADIUS, SHINGLE, WIDE = 3, 4, 5, 256
 # Sets of equal size and Jaccard similarity 0.8 have the cosine 8/9, and so 38.6 of 256 bits apart; a standard deviation of
 # that number is added, so that most pairs just above the limit are linked.
 SIMILARITY = 0.8
@@ -136,31 +138,32 @@ def _majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
     return int(np.packbits(2 * ones > weights.sum(dtype=np.float64), bitorder="little").view("<i8")[0])
 
 
-def prints_of(text: str) -> tuple[int, list[int]]:
-    """Two fingerprints: of the words (64 bits, a word counts ``1 + ln`` of its occurrences), which changes little with single words,
-    and of the distinct five-word shingles (256 bits), which stands for their Jaccard similarity."""
+def _turned(hashes: np.ndarray, turn: np.uint64) -> np.ndarray:
+    mixed = (hashes ^ turn) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return mixed ^ (mixed >> np.uint64(31))
+
+
+def prints_of(text: str) -> tuple[list[int], list[int]]:
+    """Fingerprints of the words (``NARROW`` of 64 bits; a word counts ``1 + ln`` of its occurrences), which change little with
+    single words, and of the distinct five-word shingles (256 bits), which stands for their Jaccard similarity."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return 0, [0] * len(_TURNS)
+        return [0] * NARROW, [0] * len(_TURNS)
     counted = Counter(words)
     of_words = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counted), dtype="<u8")
     weights = 1 + np.log(np.fromiter(counted.values(), dtype=np.float64))
     shingles = set(map(b" ".join, zip(*(words[k:] for k in range(SHINGLE))))) or {b" ".join(words)}
     hashes = np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype="<u8"))
-    wide = []
-    for turn in _TURNS:
-        mixed = (hashes ^ turn) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        wide.append(_majority(mixed ^ (mixed >> np.uint64(31))))
-    return _majority(of_words, weights), wide
+    return [_majority(_turned(of_words, t), weights) for t in _TURNS[:NARROW]], [_majority(_turned(hashes, t)) for t in _TURNS]
 
 
 def _prints(text: Column) -> Column:
-    @F.pandas_udf("narrow long, wide array<long>")
+    @F.pandas_udf("narrow array<long>, wide array<long>")
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             both = [prints_of(t) for t in batch]
-            yield pd.DataFrame({"narrow": np.array([n for n, _ in both], dtype=np.int64), "wide": pd.Series([w for _, w in both], dtype=object)})
+            yield pd.DataFrame({"narrow": pd.Series([n for n, _ in both], dtype=object), "wide": pd.Series([w for _, w in both], dtype=object)})
 
     return made(F.coalesce(text.cast("string"), F.lit("")))
 
@@ -168,12 +171,13 @@ def _prints(text: Column) -> Column:
 def similar_groups(rows: DataFrame, limit: int) -> DataFrame:
     """``node, group`` for those nodes of ``rows`` (``node, narrow, wide``, distinct) that are linked to others.
 
-    Nodes that agree under a covering mask of ``WIDE_RADIUS`` meet in a bucket; each is compared there with the bucket's smallest
-    node, and linked to it if their wide fingerprints differ in at most ``limit`` bits. Work is linear in the nodes, whatever a
-    bucket holds; nodes of one group lead different buckets, and links over several steps join them."""
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("mask")) for t, m in enumerate(covering_masks(WIDE_RADIUS))])
-    dealt = rows.select("node", "narrow", F.explode(tables).alias("x")).select(
-        "node", "x.t", F.col("narrow").bitwiseAND(F.col("x.mask")).alias("bucket"))
+    Nodes of which one narrow fingerprint agrees under a covering mask of ``NARROW_RADIUS`` meet in a bucket; each is compared
+    there with the bucket's smallest node, and linked to it if their wide fingerprints differ in at most ``limit`` bits. Work is linear
+    in the nodes, whatever a bucket holds; nodes of one group lead different buckets, and links over several steps join them."""
+    masks = covering_masks(NARROW_RADIUS)
+    tables = F.array(*[F.struct(F.lit(p * len(masks) + t).alias("t"), F.get("narrow", F.lit(p)).bitwiseAND(F.lit(_signed(m))).alias("bucket"))
+                       for p in range(NARROW) for t, m in enumerate(masks)])
+    dealt = rows.select("node", F.explode(tables).alias("x")).select("node", "x.t", "x.bucket")
     met = dealt.groupBy("t", "bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
     pairs = dealt.join(met, ["t", "bucket"]).where("node > a").select("a", F.col("node").alias("b")).distinct()
     first = rows.select(F.col("node").alias("a"), F.col("wide").alias("wide_a"))
