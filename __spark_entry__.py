@@ -711,13 +711,13 @@ SELECT concat(doc_id, ':', chunk_index) AS chunk_id, chunk_index, doc_id AS docu
 
 @query("chunk_fixed", FIXED_SQL)
 def chunk_fixed(spark, sf_dir):
-    windows = chunks.chunk_fixed(chunks.clean_pages(_pages(spark, sf_dir)), largest_page=1)
+    windows = chunks.chunk_fixed(chunks.clean_pages(_pages(spark, sf_dir)))
     return windows.select("chunk_id", "chunk_index", "document_id", "text")
 
 
 @query("chunk_recursive")
 def chunk_recursive(spark, sf_dir):
-    return chunks.chunk_pages(chunks.clean_pages(_pages(spark, sf_dir)), largest_page=1)
+    return chunks.chunk_pages(chunks.clean_pages(_pages(spark, sf_dir)))
 
 
 @query("chunk_invariants", f"""
@@ -745,7 +745,7 @@ def chunk_by_page(spark, sf_dir):
 @query("chunk_words")
 def chunk_words(spark, sf_dir):
     """The full re-index, which never cuts inside a word."""
-    return chunks.chunk_pages(chunks.clean_pages(_pages(spark, sf_dir)), separators=chunks.WORD_SEPARATORS, largest_page=1)
+    return chunks.chunk_pages(chunks.clean_pages(_pages(spark, sf_dir)), separators=chunks.WORD_SEPARATORS)
 
 
 @query("chunk_coverage", f"""
@@ -767,7 +767,7 @@ def _catalog(spark, sf_dir):
         F.octet_length("text").cast("long").alias("size"), text.content_hash(F.col("text")).alias("content_hash"),
     )
     stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("document_id")), "yyyy-MM-dd'T'HH:mm:ss")
-    return catalog.document_metadata(described, pages, chunks.chunk_fixed(pages, largest_page=1), stamp)
+    return catalog.document_metadata(described, pages, chunks.chunk_fixed(pages), stamp)
 
 
 CATALOG_SQL = f"""

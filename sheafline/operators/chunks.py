@@ -12,12 +12,13 @@ from pyspark.sql import types as T
 from sheafline.errors import AnalyticsError
 from sheafline.functions.splitting import SEPARATORS, split_text
 from sheafline.functions.text import clean_text, trim_blank
+from sheafline.session import written
 
 DEFAULT_SIZE = 1000
 DEFAULT_OVERLAP = 200
 # Separators of the older full re-index, which never cuts inside a word.
 WORD_SEPARATORS = SEPARATORS[:-1]
-# Pages of one document that may be numbered by a single task.
+# Page numbers of one document that are summed in one task.
 PAGES_PER_BLOCK = 4096
 
 
@@ -40,35 +41,28 @@ def documents_without_text(pages: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(pages_with_chunks: DataFrame, largest_page: int | None) -> DataFrame:
+def _numbered(pages_with_chunks: DataFrame) -> DataFrame:
     """One row per chunk with its document-wide index.
 
-    Pages carry their chunks as an array, so numbering needs one running total per document, over
-    pages. A document with more pages than one task should number is split into blocks of pages:
-    totals per block first, then totals inside a block.
+    Pages are written once with a row number of their own. Numbering works on ``(document, page, number of chunks)`` alone: totals per
+    block of pages first, then running totals inside a block, so no task holds a whole document. The start comes back to
+    each page by its row number, a key that no two rows share. Pages without a number come first; rows without a
+    document id are numbered together.
     """
-    counted = pages_with_chunks.withColumn("_n", F.size("chunks"))
+    held = written(pages_with_chunks.withColumn("_row", F.monotonically_increasing_id()), "pages")
+    block = F.floor(F.col("page") / PAGES_PER_BLOCK)
+    counted = held.select("document_id", "page", "_row", block.alias("_block"), F.size("chunks").alias("_n"))
+    blocks = counted.groupBy("document_id", "_block").agg(F.sum("_n").alias("_block_n"))
     before = (Window.unboundedPreceding, -1)
-    if largest_page is not None and largest_page <= PAGES_PER_BLOCK:
-        inside = Window.partitionBy("document_id").orderBy("page").rowsBetween(*before)
-        placed = counted.withColumn("_start", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    else:
-        counted = counted.withColumn("_block", F.floor(F.col("page") / PAGES_PER_BLOCK))
-        blocks = counted.groupBy("document_id", "_block").agg(F.sum("_n").alias("_block_n"))
-        across = Window.partitionBy("document_id").orderBy("_block").rowsBetween(*before)
-        starts = blocks.select(
-            "document_id", "_block", F.coalesce(F.sum("_block_n").over(across), F.lit(0)).alias("_block_start")
-        )
-        inside = Window.partitionBy("document_id", "_block").orderBy("page").rowsBetween(*before)
-        placed = (
-            counted.withColumn("_in_block", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-            .join(starts, ["document_id", "_block"])
-            .withColumn("_start", F.col("_block_start") + F.col("_in_block"))
-        )
-    # The outer variant: the plain one makes Spark infer a filter on the array's size, push it to
-    # the scan and compute every chunk twice.
-    rows = placed.select("document_id", "filename", "page", "_start", F.posexplode_outer("chunks").alias("pos", "text"))
-    rows = rows.filter(F.col("pos").isNotNull())
+    across = Window.partitionBy("document_id").orderBy("_block").rowsBetween(*before)
+    starts = blocks.select(
+        F.col("document_id").alias("_d"), F.col("_block").alias("_b"), F.coalesce(F.sum("_block_n").over(across), F.lit(0)).alias("_block_start")
+    )
+    inside = Window.partitionBy("document_id", "_block").orderBy("page", "_row").rowsBetween(*before)
+    placed = counted.withColumn("_in_block", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
+        starts, F.col("document_id").eqNullSafe(F.col("_d")) & F.col("_block").eqNullSafe(F.col("_b"))
+    ).select("_row", (F.col("_block_start") + F.col("_in_block")).alias("_start"))
+    rows = held.join(placed, "_row").select("document_id", "filename", "page", "_start", F.posexplode("chunks").alias("pos", "text"))
     index = (F.col("_start") + F.col("pos")).cast("long")
     return rows.select(
         F.concat_ws(":", F.col("document_id").cast("string"), index.cast("string")).alias("chunk_id"),
@@ -76,24 +70,16 @@ def _numbered(pages_with_chunks: DataFrame, largest_page: int | None) -> DataFra
     )
 
 
-def _largest_page(pages: DataFrame, largest_page: int | None) -> int:
-    if largest_page is None:
-        largest_page = pages.agg(F.coalesce(F.max("page"), F.lit(0))).first()[0]
-    return int(largest_page)
-
-
 def chunk_pages(
     pages: DataFrame,
     size: int = DEFAULT_SIZE,
     overlap: int = DEFAULT_OVERLAP,
     separators: Sequence[str] = SEPARATORS,
-    largest_page: int | None = None,
 ) -> DataFrame:
     """Split ``(document_id, filename, page, text)`` into
     ``(chunk_id, chunk_index, document_id, filename, page, text)``.
 
-    Chunks never cross pages; blank ones are dropped. ``largest_page`` is looked up (one small
-    aggregate) unless given; it decides whether one task may number a whole document.
+    Chunks never cross pages; blank ones are dropped.
     """
     _check_window(size, overlap)
     chosen = tuple(separators)
@@ -102,16 +88,14 @@ def chunk_pages(
     def split_pages(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: split_text(text, size, overlap, chosen) if text else [])
 
-    # The Python function is expensive and pure, but Spark must not run it once per use.
+    # The Python function is expensive, and Spark must not run it once per use.
     with_chunks = pages.select(
         "document_id", "filename", "page", split_pages.asNondeterministic()("text").alias("chunks")
     )
-    return _numbered(with_chunks, _largest_page(pages, largest_page))
+    return _numbered(with_chunks)
 
 
-def chunk_fixed(
-    pages: DataFrame, size: int = DEFAULT_SIZE, overlap: int = DEFAULT_OVERLAP, largest_page: int | None = None
-) -> DataFrame:
+def chunk_fixed(pages: DataFrame, size: int = DEFAULT_SIZE, overlap: int = DEFAULT_OVERLAP) -> DataFrame:
     """The same table with plain character windows, entirely in built-in functions."""
     _check_window(size, overlap)
     length, step = F.length("text"), size - overlap
@@ -123,4 +107,4 @@ def chunk_fixed(
         lambda c: F.length(trim_blank(c)) > 0,
     )
     with_chunks = pages.select("document_id", "filename", "page", present.alias("chunks"))
-    return _numbered(with_chunks, _largest_page(pages, largest_page))
+    return _numbered(with_chunks)

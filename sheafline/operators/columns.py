@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +33,6 @@ DATE_SHAPES = (
     (r"\d{8}", "yyyyMMdd"),
     (r"\d{4}", "yyyy"),
 )
-ANY_DATE_SHAPE = "^(?:" + "|".join(shape for shape, _ in DATE_SHAPES) + ")$"
 
 
 def column(name: str) -> Column:
@@ -97,23 +96,57 @@ def numeric_column(df: DataFrame, name: str, min_parse_ratio: float = 0.7) -> tu
     return name, value
 
 
-def date_format_of(sample: str) -> str | None:
-    """Format of the first recognised spelling that matches a sample value."""
-    for shape, fmt in DATE_SHAPES:
-        if re.fullmatch(shape, sample.strip()):
-            return fmt
-    return None
+def _date_choices(seen: list[int]) -> list[int]:
+    """Numbers of the shapes a column is read by, in order, from how many values fit each shape.
 
-
-def parse_date(text: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(F.trim(text), F.lit(fmt))
+    A date with slashes (or dashes) is read month first where every such value of the column can be; where one cannot,
+    the day comes first for all, and the month only where the day cannot.
+    """
+    formats = [fmt for _, fmt in DATE_SHAPES]
+    chosen = [i for i, n in enumerate(seen) if n]
+    for month_first, day_first in (("M/d/yyyy", "d/M/yyyy"), ("M-d-yyyy", "d-M-yyyy")):
+        m, d = formats.index(month_first), formats.index(day_first)
+        if seen[m] and seen[m] == seen[d]:
+            chosen.remove(d)
+        elif seen[m]:
+            first, second = chosen.index(m), chosen.index(d)
+            chosen[first], chosen[second] = d, m
+    return chosen
+
+
+def read_dates(text: Column, choices: Sequence[int]) -> Column:
+    """Timestamp of a text by the chosen shapes, NULL where none fits."""
+    trimmed = F.trim(text)
+    if len(choices) == 1:
+        return F.try_to_timestamp(trimmed, F.lit(DATE_SHAPES[choices[0]][1]))
+    tries = [F.when(trimmed.rlike(f"^(?:{shape})$"), F.try_to_timestamp(trimmed, F.lit(fmt)))
+             for shape, fmt in (DATE_SHAPES[i] for i in choices)]
+    return F.coalesce(*tries)
+
+
+def date_readings(df: DataFrame, names: Sequence[str]) -> dict[str, Column]:
+    """For each text column in which some value looks like a date, the expression that reads it (one aggregate over whole
+    columns, so the reading does not depend on which rows come first)."""
+    if not names:
+        return {}
+    fits = [F.array(*[F.count_if(F.trim(column(c)).rlike(f"^(?:{shape})$")) for shape, _ in DATE_SHAPES]).alias(f"c{i}")
+            for i, c in enumerate(names)]
+    counted = df.agg(*fits).first()
+    return {c: read_dates(column(c), _date_choices(list(seen))) for c, seen in zip(names, counted) if any(seen)}
+
+
+def date_counts(df: DataFrame, name: str) -> DataFrame:
+    """One row ``(present, read, unread)``: how many values of a date column there are and can be read."""
+    name, when = datetime_column(df, name)
+    present, read = F.count(column(name)), F.count(when)
+    return df.agg(present.alias("present"), read.alias("read"), (present - read).alias("unread"))
 
 
 def datetime_column(df: DataFrame, name: str) -> tuple[str, Column]:
     """Resolved name and timestamp expression of a date column.
 
-    A text column takes the format of its first recognisable value; values in another format are
-    NULL. Numbers are never dates.
+    A text column is read by every spelling that occurs in it (see ``date_readings``); values in no known spelling are NULL
+    and counted by ``date_counts``. Numbers are never dates.
     """
     name = resolve_column(df, name)
     dtype = dtype_of(df, name)
@@ -122,10 +155,9 @@ def datetime_column(df: DataFrame, name: str) -> tuple[str, Column]:
     if is_timestamp(dtype):
         return name, column(name)
     if is_text(dtype):
-        text = column(name)
-        found = df.select(F.trim(text).alias("v")).filter(F.col("v").rlike(ANY_DATE_SHAPE)).take(1)
+        found = date_readings(df, [name])
         if found:
-            return name, parse_date(text, date_format_of(found[0]["v"]))
-        if df.filter(text.isNotNull()).isEmpty():
+            return name, found[name]
+        if df.filter(column(name).isNotNull()).isEmpty():
             return name, F.lit(None).cast("timestamp")
     raise AnalyticsError("INVALID_DATETIME_COLUMN", f"Column {name!r} cannot be read as dates.")

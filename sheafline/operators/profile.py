@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,19 +15,16 @@ from sheafline.functions.text import SHORT_TEXT, identity_key
 from sheafline.operators.aggregate import describe
 from sheafline.operators.cleanup import json_safe_value
 from sheafline.operators.columns import (
-    ANY_DATE_SHAPE,
     column,
-    date_format_of,
+    date_readings,
     is_text,
     is_timestamp,
     missing_as_null,
-    parse_date,
 )
 from sheafline.operators.identifiers import identifier_columns
 
 # Name parts that hint at a date, and the thresholds of the semantic types.
 DATE_HINTS = ("date", "time", "timestamp", "year", "month", "day", "created", "updated")
-DATE_SAMPLE = 15
 DATE_PARSE_RATIO = 0.8
 MAX_CATEGORIES = 50
 MAX_CATEGORY_RATIO = 0.25
@@ -84,36 +81,21 @@ def sample_values(df: DataFrame, count: int = SAMPLE_VALUES) -> dict[str, list[s
     return samples
 
 
-def hinted_date_formats(df: DataFrame) -> dict[str, str]:
-    """Text columns with a date-like name, and the format of their first recognisable value."""
-    formats = {}
-    for c, t in _field_types(df).items():
-        if is_text(t) and any(hint in c.lower() for hint in DATE_HINTS):
-            text = F.trim(column(c))
-            found = df.select(text.alias("v")).filter(F.col("v").rlike(ANY_DATE_SHAPE)).take(1)
-            if found:
-                formats[c] = date_format_of(found[0]["v"])
-    return formats
+def hinted_dates(df: DataFrame) -> dict[str, Column]:
+    """Text columns with a date-like name in which values look like dates, and the expression that reads them."""
+    hinted = [c for c, t in _field_types(df).items() if is_text(t) and any(hint in c.lower() for hint in DATE_HINTS)]
+    return date_readings(df, hinted)
 
 
-def _sampled_date_share(df: DataFrame, name: str, fmt: str, sample: int) -> float:
-    text = column(name)
-    head = df.select(text.alias("v")).filter(F.col("v").isNotNull()).limit(sample)
-    parsed, total = head.agg(F.count(parse_date(F.col("v"), fmt)), F.count("v")).first()
-    return parsed / total if total else 0.0
-
-
-def column_facts(df: DataFrame, approx: bool = False, sample: int | None = None) -> DataFrame:
+def column_facts(df: DataFrame, approx: bool = False) -> DataFrame:
     """Per column: ``ordinal, name, dtype, rows, null_count, null_percentage, unique_count,
     semantic_type, zeros, ones, first_date, last_date``.
 
     A numeric column whose values are all 0 or 1 is boolean. A text column is a date when its
-    name hints at one and 80 % of its values parse: over the whole column by default, over the
-    first ``sample`` values when given. Other texts are categories when few or mostly repeated.
+    name hints at one and 80 % of its values can be read as dates. Other texts are categories when few or mostly repeated.
     """
     clean, types = missing_as_null(df), _field_types(df)
-    formats = hinted_date_formats(df)
-    shares = {c: _sampled_date_share(df, c, f, sample) for c, f in formats.items()} if sample else {}
+    readings = hinted_dates(df)
     null_long, null_text = F.lit(None).cast("long"), F.lit(None).cast("string")
 
     parts = []
@@ -129,7 +111,7 @@ def column_facts(df: DataFrame, approx: bool = False, sample: int | None = None)
         if is_timestamp(t):
             when = cell.cast("timestamp_ntz") if isinstance(t, T.DateType) else cell
         else:
-            when = parse_date(cell, formats[c]) if c in formats else None
+            when = readings.get(c)
         parts.append(F.struct(
             F.count(cell).alias("present"),
             other.alias("other"), zeros.alias("zeros"), ones.alias("ones"),
@@ -144,15 +126,14 @@ def column_facts(df: DataFrame, approx: bool = False, sample: int | None = None)
     entries = F.array(*[
         F.struct(
             F.lit(i).alias("ordinal"), F.lit(c).alias("name"), F.lit(types[c].simpleString()).alias("dtype"),
-            F.lit(kinds[c]).alias("stored_kind"), F.lit(shares.get(c)).cast("double").alias("sampled_share"),
-            F.col(f"c{i}").alias("f"),
+            F.lit(kinds[c]).alias("stored_kind"), F.col(f"c{i}").alias("f"),
         )
         for i, c in enumerate(types)
     ])
     facts = wide.select("rows", F.inline(entries)).select("*", "f.*").drop("f")
     # A handful of rows on either side: one per column of the table.
     facts = facts.join(F.broadcast(distinct_counts(df, approx)), "name")
-    share = F.coalesce(F.col("sampled_share"), F.col("dates") / F.nullif(F.col("present"), F.lit(0)))
+    share = F.col("dates") / F.nullif(F.col("present"), F.lit(0))
     few = (F.col("unique_count") <= MAX_CATEGORIES) | (F.col("unique_count") / F.col("present") < MAX_CATEGORY_RATIO)
     kind = F.col("stored_kind")
     semantic = (
@@ -237,7 +218,7 @@ def top_values(df: DataFrame, names: list[str], count: int = TOP_VALUES) -> Data
 
 
 def profile_columns(
-    df: DataFrame, approx: bool = False, sample: int | None = None, samples: bool = True, rows: int | None = None
+    df: DataFrame, approx: bool = False, samples: bool = True, rows: int | None = None
 ) -> DataFrame:
     """One row per column: type, missing and distinct counts, samples and the figures of its type.
 
@@ -246,7 +227,7 @@ def profile_columns(
     if not df.columns:
         raise AnalyticsError("EMPTY_DATASET", "The table has no columns.")
     types = _field_types(df)
-    facts = column_facts(df, approx, sample)
+    facts = column_facts(df, approx)
     numbers = numeric_profile(df, rows=rows)
     texts = [c for c, t in types.items() if is_text(t)]
     tops = top_values(df, texts).groupBy("name").agg(

@@ -28,7 +28,6 @@ def profile_table(
     file_size: int | None = None,
     location: str | None = None,
     approx: bool = False,
-    sample: int | None = None,
 ) -> Profile:
     stamp = F.lit(uploaded_at) if uploaded_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     dataset = df.agg(F.count(F.lit(1)).alias("row_count")).select(
@@ -41,7 +40,7 @@ def profile_table(
         F.lit(len(df.columns)).cast("long").alias("column_count"),
         stamp.alias("upload_timestamp"),
     )
-    return Profile(dataset, table_quality(df), profile_columns(df, approx, sample))
+    return Profile(dataset, table_quality(df), profile_columns(df, approx))
 
 
 def table_summary(profile: Profile) -> DataFrame:

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sheafline.errors import AnalyticsError
+
 
 def build_session(app: str = "sheafline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library is written for; ``conf`` overrides them."""
@@ -32,7 +34,8 @@ def build_session(app: str = "sheafline", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a local test) is a temporary folder used instead.
+    Where none is set a session on one machine uses a temporary folder; on a cluster that would be a folder the executors
+    cannot see, so it is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -40,6 +43,8 @@ def shared_folder(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise AnalyticsError("NO_SHARED_FOLDER", "Set spark.checkpoint.dir to a folder that all executors reach.")
     folder = tempfile.mkdtemp(prefix="sheafline-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -56,3 +61,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, survives lost executors, read by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -69,6 +69,15 @@ def _header_cells(spark: SparkSession, path: str, encoding: str, delimiter: str,
     return cells
 
 
+def _without_first_record(df: DataFrame) -> DataFrame:
+    """Rows of a file source but the first of each file: the one with the least row number in the file's first split."""
+    placed = df.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.file_block_start"),
+                             "_row": F.monotonically_increasing_id()})
+    first = placed.filter(F.col("_at") == 0).groupBy(F.col("_file").alias("_f")).agg(F.min("_row").alias("_r"))
+    kept = placed.join(first, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")), "left_anti")
+    return kept.drop("_file", "_at", "_row")
+
+
 def infer_column(text: Column, tokens: Sequence[str] = NULL_TOKENS) -> Column:
     return F.when(~text.isin(*tokens), text)
 
@@ -79,7 +88,7 @@ def read_csv(
     delimiter: str = ",",
     infer: bool = True,
     header_row: int | None = None,
-    multiline: bool = False,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """A CSV table with normalised headers and inferred column types.
 
@@ -87,13 +96,15 @@ def read_csv(
     the whole table be read as Latin-1. A column is BOOLEAN, LONG or DOUBLE when every present
     cell is; otherwise it stays text (dates are recognised where they are used).
     ``header_row=1`` takes the second line as header; by default it is taken when the first line
-    has a cell that starts with ``Unnamed``. ``multiline`` allows line ends inside quotes, at the
-    price of one task per file.
+    has a cell that starts with ``Unnamed``; it is taken out of each file by its place, so data rows
+    equal to it stay. Line ends inside quotes belong to the cell: a line with an odd number of quotes shows that
+    there are some, and then each file is read by one task; ``multiline`` says so beforehand.
     """
-    encoding = "UTF-8"
     raw = spark.read.text(path)
-    if not raw.filter(~F.is_valid_utf8("value")).isEmpty():
-        encoding = "ISO-8859-1"
+    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+    broken, open_ = raw.agg(F.count_if(~F.is_valid_utf8("value")), F.count_if(quotes % 2 == 1)).first()
+    encoding = "ISO-8859-1" if broken else "UTF-8"
+    multiline = bool(open_) if multiline is None else multiline
     first = _header_cells(spark, path, encoding, delimiter, 0)
     if header_row is None:
         promoted = any("Unnamed" in (cell or "") for cell in first) and len(raw.take(2)) > 1
@@ -108,11 +119,7 @@ def read_csv(
     reader = _reader(spark, encoding).schema(schema).options(sep=delimiter, multiLine=multiline)
     df = reader.option("header", True).option("enforceSchema", True).csv(path)
     if header_row:
-        # The promoted header is still the first row of its file: drop the row equal to it.
-        is_header = F.lit(True)
-        for i, cell in enumerate(cells):
-            is_header = is_header & F.coalesce(F.col(f"c{i}"), F.lit("")).eqNullSafe(F.lit(cell or ""))
-        df = df.filter(~is_header)
+        df = _without_first_record(df)
     df = df.select([infer_column(F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
     return infer_types(df) if infer else df
 

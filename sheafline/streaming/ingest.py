@@ -38,7 +38,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, catalog_path: str, chunks_path
         table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
     pages = clean_pages(fresh.select("document_id", "filename", F.lit(1).alias("page"), "text"))
-    chunks = chunk_pages(pages, size, overlap, largest_page=1)
+    chunks = chunk_pages(pages, size, overlap)
     write(chunks.withColumn("batch_id", F.lit(batch_id).cast("long")), chunks_path)
     write(fresh.select("document_id", "filename", "content_hash", F.octet_length("text").cast("long").alias("size"), "batch_id"),
           catalog_path)

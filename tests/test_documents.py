@@ -169,3 +169,15 @@ def test_citations_and_context(frame):
     row = search.context(hits).filter("query_id = 1").first()
     assert row["context"] == "[Source: a.pdf (Page 1)]\none\n\n---\n\n[Source: b.pdf (Page 4)]\ntwo\n\n---\n\n[Source: a.pdf (Page 1)]\nthree"
     assert row["sources"] == ["a.pdf (Page 1)", "b.pdf (Page 4)"]
+
+
+def test_pages_without_number_or_document_keep_their_chunks(frame):
+    pages = frame([("a", "f", 1, "one"), ("a", "f", None, "two"), (None, "f", 2, "three"), (None, "f", None, "four"), ("a", "f", 9000, "five"),
+                   ("a", "f", 9000, "six"), ("b", "f", 1, ""), ("b", "f", 2, None)],
+                  "document_id string, filename string, page int, text string").repartition(3)
+    for made in (chunks.chunk_pages(pages), chunks.chunk_fixed(pages)):
+        rows = made.collect()
+        assert sorted(r["text"] for r in rows) == ["five", "four", "one", "six", "three", "two"]
+        assert sorted((r["chunk_index"], r["text"] in ("five", "six")) for r in rows if r["document_id"] == "a") == [
+            (0, False), (1, False), (2, True), (3, True)]
+        assert sorted(r["chunk_index"] for r in rows if r["document_id"] is None) == [0, 1]

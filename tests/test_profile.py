@@ -63,8 +63,6 @@ def test_semantic_types(frame):
     types = {n: r["semantic_type"] for n, r in by_name(profile.column_facts(df)).items()}
     assert types == {"flag": "boolean", "bit": "boolean", "num": "numeric", "created": "datetime", "cat": "categorical", "txt": "text",
                      "none": "unknown", "at": "datetime", "some_day": "categorical"}
-    sampled = by_name(profile.column_facts(df.coalesce(1), sample=15))
-    assert sampled["some_day"]["semantic_type"] == "categorical" and sampled["created"]["semantic_type"] == "datetime"
 
 
 def test_category_thresholds(frame):

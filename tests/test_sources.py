@@ -179,3 +179,20 @@ def test_registry(spark, tmp_path):
     assert registry.load_dataset(kept, "one").columns == ["a", "a_1"]
     unscored = held.withColumn("quality_score", F.lit(None).cast("double")).withColumn("missing_percentage", F.lit(None).cast("double"))
     assert {(r["quality_score"], r["missing_percentage"]) for r in registry.list_datasets(unscored).collect()} == {(100.0, 0.0)}
+
+
+def test_line_ends_inside_quotes_belong_to_the_cell(spark, write):
+    df = tables.read_csv(spark, write('id,note\n1,"x\ny"\n2,z\n3,"say ""hi"", then\nleave"\n'))
+    assert sorted(map(tuple, df.collect())) == [(1, "x\ny"), (2, "z"), (3, 'say "hi", then\nleave')]
+
+
+def test_rows_equal_to_a_promoted_header_stay(spark, write):
+    df = tables.read_csv(spark, write("Unnamed: 0,Unnamed: 1\nCity,People\nRome,3\nCity,People\nCity,People\n"))
+    assert sorted(map(tuple, df.collect())) == [("City", "People"), ("City", "People"), ("Rome", "3")]
+
+
+def test_a_promoted_header_goes_from_every_file(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"part{i}.csv").write_text("Unnamed: 0,b\nk,v\n" + "".join(f"{i},{j}\n" for j in range(i)))
+    df = tables.read_csv(spark, str(tmp_path))
+    assert df.columns == ["k", "v"] and df.count() == 10

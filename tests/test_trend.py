@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from sheafline.errors import AnalyticsError
-from sheafline.operators import trend
+from sheafline.operators import columns, trend
 from test_aggregate import SALES, SALES_SCHEMA
 
 SERIES = "Date string, v double"
@@ -35,9 +35,22 @@ def test_span_counts_whole_days(frame):
     assert trend.trend_summary(df, "t").first()["span_days"] == 0
 
 
-def test_dates_are_read_month_first_and_other_formats_are_missing(frame):
-    df = frame([("01/06/2026", 1.0), ("13/06/2026", 2.0), (None, 3.0)], "d string, v double")
-    assert labels(trend.time_trend(df, "d", "v", frequency="day")) == {"2026-01-06": 1.0}
+def test_dates_are_read_month_first_where_every_value_can_be(frame):
+    df = frame([("01/06/2026", 1.0), ("02/13/2026", 2.0), (None, 3.0)], "d string, v double")
+    assert labels(trend.time_trend(df, "d", "v", frequency="day")) == {"2026-01-06": 1.0, "2026-02-13": 2.0}
+
+
+def test_one_day_first_value_makes_the_column_day_first(frame):
+    for rows in ([("01/06/2026", 1.0), ("13/06/2026", 2.0)], [("13/06/2026", 2.0), ("01/06/2026", 1.0)]):
+        df = frame([*rows, ("04/25/2026", 4.0), (None, 3.0)], "d string, v double")
+        assert labels(trend.time_trend(df, "d", "v", frequency="day")) == {"2026-06-01": 1.0, "2026-06-13": 2.0, "2026-04-25": 4.0}
+
+
+def test_spellings_mix_in_one_column(frame):
+    rows = [("03/04/2024", 1.0), ("25/04/2024", 2.0), ("2024-05-01", 4.0), (" 2024-05-02 10:30 ", 8.0), ("Jun 7, 2024", 16.0), ("never", 32.0)]
+    df = frame(rows, "d string, v double")
+    assert labels(trend.time_trend(df, "d", "v", frequency="month")) == {"2024-04": 3.0, "2024-05": 12.0, "2024-06": 16.0}
+    assert tuple(columns.date_counts(df, "d").first()) == (6, 5, 1)
 
 
 def test_missing_metric_sums_to_zero_and_infinity_stays_out_of_the_answer(frame):
