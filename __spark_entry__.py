@@ -850,6 +850,14 @@ def search_lsh(spark, sf_dir):
     return search.search_approximate(_vectors(spark, sf_dir), _centroids(spark, sf_dir))
 
 
+@query("search_lsh_pairs")
+def search_lsh_pairs(spark, sf_dir):
+    """How many pairs of query and vector the approximate search scores, beside all there are."""
+    vectors, queries = _vectors(spark, sf_dir), _centroids(spark, sf_dir)
+    met = search.approximate_candidates(vectors, queries).groupBy("query_id").agg(F.count("*").alias("scored"))
+    return met.select("query_id", "scored", vectors.agg(F.count("*")).scalar().alias("vectors"))
+
+
 @query("search_lsh_recall")
 def search_lsh_recall(spark, sf_dir):
     return search.recall(search_topk(spark, sf_dir), search_lsh(spark, sf_dir))
@@ -1233,6 +1241,42 @@ def csv_round_trip(spark, sf_dir):
     return tables.read_csv(spark, path)
 
 
+@query("csv_quoted_lines", r"""
+SELECT doc_id, text FROM documents WHERE text NOT IN ('', '#N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')""")
+def csv_quoted_lines(spark, sf_dir):
+    """Whole documents, line ends and quotes included, through a CSV file."""
+    path = scratch_path(spark, "csv")
+    tables.write_csv(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return tables.read_csv(spark, path)
+
+
+@query("csv_promoted_header", """
+SELECT k, v FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_orderpriority AS v FROM orders
+                  UNION ALL SELECT 'k', 'v' FROM orders WHERE o_orderkey % 10 = 0)""")
+def csv_promoted_header(spark, sf_dir):
+    """A title line above the header, and data rows that equal the header."""
+    orders, path = table(spark, sf_dir, "orders"), scratch_path(spark, "csv")
+    cells = orders.select(F.col("o_orderkey").cast("string").alias("k"), F.col("o_orderpriority").alias("v")).unionAll(
+        orders.filter("o_orderkey % 10 = 0").select(F.lit("k"), F.lit("v")))
+    # Each task of the writer makes one file; the first column of its first row opens the title and the header.
+    rows = cells.select(F.concat("k", F.lit(","), "v").alias("value"), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
+    first = rows.groupBy("_p").agg(F.min("_i").alias("_i"))
+    head = F.when(F.col("_f").isNotNull(), F.concat(F.lit("Unnamed: 0,Unnamed: 1\nk,v\n"), "value")).otherwise(F.col("value"))
+    rows.join(F.broadcast(first.select(F.col("_i").alias("_f"))), F.col("_i") == F.col("_f"), "left").select(head).write.text(path)
+    return tables.read_csv(spark, path, infer=False)
+
+
+@query("mixed_dates", """
+SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS value FROM orders GROUP BY 1""")
+def mixed_dates(spark, sf_dir):
+    """Order dates in four spellings in one text column."""
+    date, way = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    spelled = F.when(way == 0, F.date_format(date, "yyyy-MM-dd")).when(way == 1, F.date_format(date, "dd/MM/yyyy")).when(
+        way == 2, F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(date, "MMM d, yyyy"))
+    rows = table(spark, sf_dir, "orders").select(spelled.alias("d"))
+    return trend.time_trend(rows, "d", None, "count", frequency="month").withColumn("value", F.col("value").cast("long"))
+
+
 @query("json_flatten", """
 SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS "props.k", event_type AS "who.type", user_id AS "who.user" FROM events""")
 def json_flatten(spark, sf_dir):

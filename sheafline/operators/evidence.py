@@ -11,7 +11,7 @@ from sheafline.operators.search import citation
 # The layout of an answer and the sentences for missing evidence.
 TITLE = "⚡ **Hybrid Synthesis:**"
 HEADINGS = ("### 📊 DATA FINDINGS", "### 📄 DOCUMENT EVIDENCE", "### ⚡ AI INTERPRETATION", "### 🔗 CITATIONS")
-NO_DATA = "No active structured dataset is available ({}).".format("No active structured dataset found.")
+NO_DATA = "No active structured dataset is available (No active structured dataset found.)."
 NO_DATA_WARNING = "No active structured dataset available."
 NO_PASSAGE = "No matching document evidence found."
 NO_PASSAGE_WARNING = "No matching document passages found."

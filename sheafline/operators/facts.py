@@ -5,8 +5,6 @@ The sentence patterns are fixed values: consumers match on them.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,9 +134,3 @@ def quality_facts(quality: DataFrame, filename: str) -> DataFrame:
         _sentence("Missing cells: {} ({}%).", F.col("missing_cells"), plain_number(F.col("missing_percentage"))),
         _sentence("Duplicate rows: {} ({}%).", F.col("duplicate_rows"), plain_number(F.col("duplicate_percentage"))),
     )
-
-
-def for_questions(facts_by_question: dict[str, DataFrame]) -> DataFrame:
-    """Fact tables of several questions as one table ``(question_id, ord, fact)``."""
-    parts = [facts.select(F.lit(q).alias("question_id"), "ord", "fact") for q, facts in facts_by_question.items()]
-    return reduce(DataFrame.unionByName, parts)

@@ -112,7 +112,7 @@ def _one_of(patterns: Iterable[str], whole_word: bool = False) -> str:
 
 def _says(question: Column, words: Iterable[str]) -> Column:
     """Whether any of the words occurs anywhere in the question."""
-    return question.rlike(_one_of(map(re.escape, words)))
+    return reduce(lambda a, b: a | b, [F.contains(question, F.lit(w)) for w in words])
 
 
 def _mentions(question: Column, words: Iterable[str]) -> Column:

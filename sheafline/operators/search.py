@@ -26,6 +26,8 @@ DEFAULT_TOP_K = 5
 QUERIES_PER_PASS = 1024
 METRICS = ("cosine", "l2_relevance")
 CANDIDATES_SALT = 64
+# Hash tables, planes of each, buckets probed in each, and the seed of the planes.
+TABLES, BITS, PROBES, SEED = 24, 12, 64, 17
 
 
 def dot_product(a: Column, b: Column) -> Column:
@@ -34,10 +36,6 @@ def dot_product(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
-def cosine_similarity(a: Column, b: Column) -> Column:
-    return dot_product(a, b) / F.sqrt(dot_product(a, a) * dot_product(b, b))
-
-
 def _check(top_k: int, metric: str) -> None:
     check_range(top_k, 1, MAX_TOP_K, "INVALID_TOP_K", "top_k")
     if metric not in METRICS:
@@ -93,10 +91,8 @@ def _query_passes(queries: DataFrame, query_id: str, vector: str):
 
 
 def _candidates(vectors: DataFrame, query_ids: list, query_matrix: np.ndarray, vector_id: str, vector: str,
-                id_types: tuple[T.DataType, T.DataType], top_k: int, metric: str, lsh: tuple[int, int, int] | None) -> DataFrame:
+                id_types: tuple[T.DataType, T.DataType], top_k: int, metric: str) -> DataFrame:
     """Best ``top_k`` per query of each task: ``(query_id, vector_id, raw_score)``."""
-    query_codes = _codes(query_matrix, *lsh) if lsh else None
-
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
@@ -104,12 +100,8 @@ def _candidates(vectors: DataFrame, query_ids: list, query_matrix: np.ndarray, v
                 continue
             ids, matrix = batch["id"].to_numpy(), _matrix(batch["v"])
             scores = _scores(query_matrix, matrix, metric)
-            codes = _codes(matrix, *lsh) if lsh else None
             for q in range(len(query_ids)):
                 line, known = scores[q], ids
-                if codes is not None:
-                    same = (codes == query_codes[q]).any(axis=1)
-                    line, known = line[same], ids[same]
                 if q in best:
                     line, known = np.concatenate([best[q][0], line]), np.concatenate([best[q][1], known])
                 keep = _best(line, known, top_k)
@@ -136,7 +128,7 @@ def _ranked(found: DataFrame, top_k: int) -> DataFrame:
 
 
 def _search(vectors: DataFrame, queries: DataFrame, vector_id: str, vector: str, query_id: str, query_vector: str,
-            top_k: int, min_score: float, metric: str, lsh: tuple[int, int, int] | None) -> DataFrame:
+            top_k: int, min_score: float, metric: str) -> DataFrame:
     _check(top_k, metric)
     id_types = dtype_of(queries, query_id), dtype_of(vectors, vector_id)
     passes = _query_passes(queries, query_id, query_vector)
@@ -145,7 +137,7 @@ def _search(vectors: DataFrame, queries: DataFrame, vector_id: str, vector: str,
         raise AnalyticsError("EMPTY_QUERY", "There is no query vector to search with.")
     following, stored = next(passes, None), None
     while True:
-        found = _candidates(vectors, *held, vector_id, vector, id_types, top_k, metric, lsh)
+        found = _candidates(vectors, *held, vector_id, vector, id_types, top_k, metric)
         if following is None and stored is None:
             break
         # Many queries: each pass is finished and written before the next queries are read, so
@@ -178,7 +170,64 @@ def search_topk(
     four places. To restrict a search to a document, filter ``vectors`` first: the filter reaches
     the scan. Queries are read in passes of 1,024.
     """
-    return _search(vectors, queries, vector_id, vector, query_id, query_vector, top_k, min_score, metric, None)
+    return _search(vectors, queries, vector_id, vector, query_id, query_vector, top_k, min_score, metric)
+
+
+def _slim(df: DataFrame, id_name: str, vector: str) -> DataFrame:
+    return df.select(column(id_name).alias("id"), column(vector).alias("v")).filter(F.col("v").isNotNull())
+
+
+def with_buckets(vectors: DataFrame, vector: str = "embedding", tables: int = TABLES, bits: int = BITS, seed: int = SEED) -> DataFrame:
+    """``vectors`` with ``buckets ARRAY<INT>``: the bucket in each table, to store an index by them."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def codes(values: pd.Series) -> pd.Series:
+        present = values.dropna()
+        found = pd.Series([None] * len(values), index=values.index, dtype=object)
+        if len(present):
+            found[present.index] = list(_codes(_matrix(present), tables, bits, seed).astype("int32"))
+        return found
+
+    return vectors.withColumn("buckets", codes(column(vector)))
+
+
+def probed_buckets(vector: np.ndarray, tables: int, bits: int, seed: int, probes: int) -> list[tuple[int, int]]:
+    """``(table, bucket)`` of the ``probes`` buckets of each table that lie nearest to a vector: those reached by crossing the
+    planes with the least sum of squared distances."""
+    distance = (_hyperplanes(len(vector), tables, bits, seed) @ vector).reshape(tables, bits)
+    crossed = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
+    own = (distance >= 0) @ (1 << np.arange(bits))
+    cost = distance**2 @ crossed.T
+    nearest = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+    return [(t, int(own[t]) ^ int(x)) for t in range(tables) for x in nearest[t]]
+
+
+def approximate_candidates(vectors: DataFrame, queries: DataFrame, vector_id: str = "vector_id", vector: str = "embedding",
+                           query_id: str = "query_id", query_vector: str = "embedding", tables: int = TABLES, bits: int = BITS,
+                           probes: int = PROBES, seed: int = SEED) -> DataFrame:
+    """Distinct ``(query_id, vector_id)`` that meet in a bucket: the pairs that ``search_approximate`` scores.
+
+    Every vector is indexed in every table. Buckets are joined on ``(table, bucket)``; a bucket that holds a third of the
+    vectors is met by the queries that probe it, never by other vectors.
+    """
+
+    @F.pandas_udf("array<struct<t:int,b:int>>")
+    def probe(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: [{"t": t, "b": b} for t, b in probed_buckets(np.asarray(v, dtype=np.float64), tables, bits, seed, probes)])
+
+    asked = _slim(queries, query_id, query_vector).select(F.col("id").alias("query_id"), F.explode(probe("v")).alias("p")).select(
+        "query_id", F.col("p.t").alias("t"), F.col("p.b").alias("b"))
+    index = with_buckets(_slim(vectors, vector_id, vector), "v", tables, bits, seed).select(
+        F.col("id").alias("vector_id"), F.posexplode("buckets").alias("t", "b"))
+    return asked.join(index, ["t", "b"]).select("query_id", "vector_id").distinct()
+
+
+def _pair_score(a: Column, b: Column, metric: str) -> Column:
+    if metric == "cosine":
+        length = F.sqrt(dot_product(a, a) * dot_product(b, b))
+        return F.when(length == 0, 0.0).otherwise(dot_product(a, b) / length)
+    apart = F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2.0))
+    return 1.0 - F.aggregate(apart, F.lit(0.0), lambda total, x: total + x) / F.sqrt(F.lit(2.0))
 
 
 def search_approximate(
@@ -191,31 +240,23 @@ def search_approximate(
     top_k: int = DEFAULT_TOP_K,
     min_score: float = 0.0,
     metric: str = "cosine",
-    tables: int = 8,
-    bits: int = 6,
-    seed: int = 17,
+    tables: int = TABLES,
+    bits: int = BITS,
+    probes: int = PROBES,
+    seed: int = SEED,
 ) -> DataFrame:
-    """Search among the vectors that share a hash bucket with the query in one of ``tables``.
+    """Search by random-hyperplane hashing: only vectors in a bucket that a query probes are scored.
 
-    A query meets the members of its buckets; members of a bucket are never paired with each other,
-    so a bucket that holds a third of the vectors is just scored in full.
+    Same columns as ``search_topk``. More ``probes`` or ``tables`` find more and score more.
     """
-    lsh = (tables, bits, seed)
-    return _search(vectors, queries, vector_id, vector, query_id, query_vector, top_k, min_score, metric, lsh)
-
-
-def with_buckets(vectors: DataFrame, vector: str = "embedding", tables: int = 8, bits: int = 6, seed: int = 17) -> DataFrame:
-    """``vectors`` with ``buckets ARRAY<INT>``: to store an index partitioned by one of its buckets."""
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def codes(values: pd.Series) -> pd.Series:
-        present = values.dropna()
-        found = pd.Series([None] * len(values), index=values.index, dtype=object)
-        if len(present):
-            found[present.index] = list(_codes(_matrix(present), tables, bits, seed).astype("int32"))
-        return found
-
-    return vectors.withColumn("buckets", codes(column(vector)))
+    _check(top_k, metric)
+    pairs = approximate_candidates(vectors, queries, vector_id, vector, query_id, query_vector, tables, bits, probes, seed)
+    held = _slim(vectors, vector_id, vector).select(F.col("id").alias("vector_id"), F.col("v").alias("_v"))
+    asked = _slim(queries, query_id, query_vector).select(F.col("id").alias("query_id"), F.col("v").alias("_q"))
+    scored = pairs.join(held, "vector_id").join(asked, "query_id").select(
+        "query_id", "vector_id", _pair_score(F.col("_q"), F.col("_v"), metric).alias("raw_score"))
+    score = half_even(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw_score"))), 4)
+    return _ranked(scored.filter(F.col("raw_score") >= min_score), top_k).select("query_id", "rank", "vector_id", score.alias("score"))
 
 
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:

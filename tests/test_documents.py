@@ -149,15 +149,33 @@ def test_search_refusals(vectors, queries):
 
 def test_approximate_search(vectors, queries):
     exact = search.search_topk(vectors, queries, top_k=5)
-    close = search.search_approximate(vectors, queries, top_k=5, tables=24, bits=4)
+    close = search.search_approximate(vectors, queries, top_k=5)
     row = search.recall(exact, close).first()
-    assert row["expected"] == 35 and row["recall"] >= 0.8
+    assert row["expected"] == 35 and row["recall"] >= 0.9
+    met = search.approximate_candidates(vectors, queries)
+    assert met.count() < 0.6 * vectors.count() * queries.count() and met.distinct().count() == met.count()
+    every = search.search_approximate(vectors, queries, top_k=5, tables=1, bits=3, probes=8)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+    assert search.search_approximate(vectors, queries.limit(0)).count() == 0
+
+
+def test_probes_go_from_near_to_far_and_reach_every_bucket():
+    rnd = np.random.default_rng(0)
+    for _ in range(20):
+        v = rnd.standard_normal(8)
+        order = search.probed_buckets(v, 2, 4, 3, 16)
+        for t in range(2):
+            mine = [b for table, b in order if table == t]
+            assert sorted(mine) == list(range(16)) and mine[0] == search._codes(v[None, :], 2, 4, 3)[0, t]
+
+
+def test_buckets(vectors):
     held = search.with_buckets(vectors, tables=4, bits=3).filter("vector_id in (10, 20)").collect()
     assert held[0]["buckets"] == held[1]["buckets"] and len(held[0]["buckets"]) == 4 and max(held[0]["buckets"]) < 8
 
 
 def test_vector_expressions(vectors):
-    one = vectors.filter("vector_id = 3").select(search.cosine_similarity(F.col("embedding"), F.col("embedding"))).first()[0]
+    one = vectors.filter("vector_id = 3").select(search._pair_score(F.col("embedding"), F.col("embedding"), "cosine")).first()[0]
     assert one == pytest.approx(1.0)
 
 
