@@ -106,35 +106,51 @@ def _full(letters: Letters, now: np.ndarray, n: int) -> np.ndarray:
     return (now > 0) & (letters.place > 0) & ((letters.place == n - 1) | (n == ORDER))
 
 
+def _distinct(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Parts of several columns laid together, one row for each value of the first."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    _, at = np.unique(columns[0], return_index=True)
+    return tuple(c[at] for c in columns)
+
+
 def count_grams(words: list[str], counts: np.ndarray) -> ToxicityModel:
-    """Gram tables from words and their counts per class (columns ordinary, toxic)."""
-    model, letters = ToxicityModel(), Letters.of(words)
-    weight = counts.astype(np.float64)[letters.owner]
-    model.alphabet += len(np.unique(letters.codes))
-    before, now = np.zeros(len(letters.codes), dtype=np.uint64), letters.grams(1)
+    """Gram tables from distinct words and their counts per class (columns ordinary, toxic), a block of words at a time."""
+    kinds: dict[int, list] = {n: [] for n in range(1, ORDER + 1)}  # grams with the shorter grams they end and begin with
+    whole: dict[int, list] = {n: [] for n in range(1, ORDER + 1)}  # full grams with their counts
+    codes = {START, END}
+    for at in range(0, len(words), LEARNED_AT_ONCE):
+        letters = Letters.of(words[at:at + LEARNED_AT_ONCE])
+        weight = counts[at:at + LEARNED_AT_ONCE].astype(np.float64)[letters.owner]
+        codes.update(np.unique(letters.codes).tolist())
+        shorter, now = np.zeros(len(letters.codes), dtype=np.uint64), letters.grams(1)
+        for n in range(1, ORDER + 1):
+            there, full = (now > 0) & (letters.place > 0), _full(letters, now, n)  # the start mark is never predicted
+            begin = np.concatenate([np.zeros(1, dtype=np.uint64), shorter[:-1]])
+            kinds[n].append(_distinct([(now[there], shorter[there], begin[there])]))
+            held = Counts(now[full], weight[full])
+            context = begin[full][np.unique(now[full], return_index=True)[1]]
+            whole[n].append((held.keys, held.values, context))
+            shorter, now = now, letters.grams(n + 1) if n < ORDER else now
+    model = ToxicityModel(alphabet=256 + len(codes))
     keys, values, contexts = [], [], []
+    merged = {n: _distinct(parts) for n, parts in kinds.items()}
     for n in range(1, ORDER + 1):
-        longer = letters.grams(n + 1) if n < ORDER else np.zeros(len(now), dtype=np.uint64)
-        there, full = (now > 0) & (letters.place > 0), _full(letters, now, n)  # the start mark is never predicted
+        full_keys, full_values, full_contexts = (np.concatenate(c) for c in zip(*whole[n]))
         # Continuation counts: how many different grams, one character longer, end in this one. Full grams have none longer
         # and keep their plain counts.
-        _, at = np.unique(longer[longer > 0], return_index=True)
-        inner = now[longer > 0][at]
-        model.grams[n] = Counts(np.concatenate([inner, now[full]]), np.concatenate([np.ones(len(inner)), weight[full].sum(axis=1)])[:, None])
-        before_it = np.concatenate([np.zeros(1, dtype=np.uint64), before[:-1]])
+        ends = merged[n + 1][1] if n < ORDER else np.zeros(0, dtype=np.uint64)
+        model.grams[n] = Counts(np.concatenate([ends, full_keys]), np.concatenate([np.ones(len(ends)), full_values.sum(axis=1)])[:, None])
         if n > 1:
-            _, at = np.unique(now[there], return_index=True)
-            held = model.grams[n](now[there][at])
-            model.contexts[n] = Counts(before_it[there][at], np.concatenate([held, held > 0], axis=1))
-            keys.append(now[full])
-            values.append(weight[full])
-            contexts.append(before_it[full])
-        before, now = now, longer
+            held = model.grams[n](merged[n][0])
+            model.contexts[n] = Counts(merged[n][2], np.concatenate([held, held > 0], axis=1))
+            keys.append(full_keys)
+            values.append(full_values)
+            contexts.append(full_contexts)
     keys, contexts = np.concatenate(keys), np.concatenate(contexts)
     model.class_grams = Counts(keys, np.concatenate(values))
-    _, at = np.unique(keys, return_index=True)
-    held = model.class_grams(keys[at])
-    model.class_contexts = Counts(contexts[at], np.concatenate([held, held > 0], axis=1))
+    keys, contexts = _distinct([(keys, contexts)])
+    held = model.class_grams(keys)
+    model.class_contexts = Counts(contexts, np.concatenate([held, held > 0], axis=1))
     return model
 
 
