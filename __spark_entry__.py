@@ -444,9 +444,44 @@ def quality_score(spark, sf_dir):
     return df.withColumn("columns_with_missing", F.array_join("columns_with_missing", ","))
 
 
-@query("quality_score_clean", """
-SELECT count(*) AS rows, CAST(6 AS BIGINT) AS columns, CAST(0 AS BIGINT) AS missing_cells, 0.0::DOUBLE AS missing_percentage,
-       CAST(0 AS BIGINT) AS duplicate_rows, 100.0::DOUBLE AS score FROM orders""")
+ORDERS_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+def _quality_sql(t: str, columns) -> str:
+    """Quality figures of a table, counted from its cells: ``r, cells, missing, mp, duplicates, dp, score``."""
+    missing = " + ".join(f"count(*) - count({c})" for c in columns)
+    nothing = " AND ".join(f"{c} IS NULL" for c in columns)
+    single = " + ".join(f"coalesce(min({c}) = max({c}), false)::INT" for c in columns)
+    empty = " + ".join(f"(count({c}) = 0)::INT" for c in columns)
+    return f"""
+SELECT *, greatest(0.0, least(100.0, round(100 - (0.4 * mp + 0.4 * dp + 5.0 * empty + 5.0 * blank + 2.0 * single), 1)))::DOUBLE AS score FROM (
+  SELECT *, round(100.0 * missing / greatest(cells, 1), 2)::DOUBLE AS mp, coalesce(round(100.0 * duplicates / nullif(r, 0), 2), 0)::DOUBLE AS dp FROM (
+    SELECT count(*) AS r, CAST({len(columns)} * count(*) AS BIGINT) AS cells, CAST({missing} AS BIGINT) AS missing,
+      count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(columns)} FROM {t})) AS duplicates,
+      count_if({nothing}) AS blank, {single} AS single, {empty} AS empty FROM {t}))"""
+
+
+def _column_facts_sql(t: str, columns) -> str:
+    """Semantic type and identifier flag of each column, from names, types and values: ``ordinal, name, kind, is_identifier``."""
+    return " UNION ALL ".join(f"""
+SELECT CAST({i} AS INTEGER) AS ordinal, '{c}' AS name,
+  CASE WHEN typeof(any_value({c})) IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT') THEN
+         CASE WHEN count({c}) > 0 AND count_if(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) NOT IN (0, 1)) = 0 THEN 'boolean' ELSE 'numeric' END
+       WHEN typeof(any_value({c})) LIKE 'TIMESTAMP%' OR typeof(any_value({c})) = 'DATE' THEN 'datetime' WHEN count({c}) = 0 THEN 'unknown'
+       WHEN count(DISTINCT {c}) <= 50 OR count(DISTINCT {c}) / count({c}) < 0.25 THEN 'categorical' ELSE 'text' END AS kind,
+  regexp_matches('{c}', '^id$|^id[_ ]|[_ ]id$|identifier|uuid|guid|^pk$|index|row[_ ]?num')
+    OR (typeof(any_value({c})) IN ('BIGINT', 'INTEGER') AND count(*) >= 5 AND count({c}) = count(*) AND count(DISTINCT {c}) = count(*)
+        AND max(TRY_CAST(CAST({c} AS VARCHAR) AS BIGINT)) - min(TRY_CAST(CAST({c} AS VARCHAR) AS BIGINT)) + 1 = count(*)) AS is_identifier
+FROM {t}""" for i, c in enumerate(columns))
+
+
+ORDERS_QUALITY_SQL = _quality_sql("orders", ORDERS_COLUMNS)
+ORDERS_FACTS_SQL = _column_facts_sql("orders", ORDERS_COLUMNS)
+
+
+@query("quality_score_clean", f"""
+SELECT r AS rows, CAST(cells // r AS BIGINT) AS columns, missing AS missing_cells, mp AS missing_percentage, duplicates AS duplicate_rows, score
+FROM ({ORDERS_QUALITY_SQL})""")
 def quality_score_clean(spark, sf_dir):
     return quality.table_quality(table(spark, sf_dir, "orders")).select(
         "rows", "columns", "missing_cells", "missing_percentage", "duplicate_rows", "score"
@@ -576,14 +611,14 @@ def _column_profile_sql() -> str:
                 f"(SELECT {c}, count(*) AS n FROM orders GROUP BY {c} ORDER BY n DESC, {c} LIMIT 5))")
         parts.append(f"""
 SELECT CAST({i} AS INTEGER) AS ordinal, '{c}' AS name, '{kind}' AS dtype,
-  '{"numeric" if number else "datetime" if is_date else "categorical"}' AS semantic_type, {str(c == "o_orderkey").lower()} AS is_identifier,
-  count(*) - count({c}) AS null_count, 0.0::DOUBLE AS null_percentage, count(DISTINCT {c}) AS unique_count,
+  (SELECT kind FROM f WHERE name = '{c}') AS semantic_type, (SELECT is_identifier FROM f WHERE name = '{c}') AS is_identifier,
+  count(*) - count({c}) AS null_count, round(100.0 * (count(*) - count({c})) / count(*), 2)::DOUBLE AS null_percentage, count(DISTINCT {c}) AS unique_count,
   (SELECT string_agg(v, '; ') FROM (SELECT {shown} AS v FROM orders WHERE {c} IS NOT NULL LIMIT 5)) AS sample_values,
   {', '.join(f"{(e.format(c=c) if number else 'CAST(NULL AS DOUBLE)')} AS {n}" for n, e in figures.items())},
   {', '.join(f"{iso.format(x=f'{f}({c})') if is_date else 'CAST(NULL AS VARCHAR)'} AS {f}_date" for f in ('min', 'max'))},
   {DAYS_SQL.format(ts=c) if is_date else 'CAST(NULL AS BIGINT)'} AS range_days, {tops if text_kind else 'CAST(NULL AS VARCHAR)'} AS top_values
 FROM orders""")
-    return " UNION ALL ".join(parts)
+    return f"WITH f AS ({ORDERS_FACTS_SQL}) {' UNION ALL '.join(parts)}"
 
 
 @query("column_profile", _column_profile_sql())
@@ -593,28 +628,37 @@ def column_profile(spark, sf_dir):
     return columns.withColumns({"top_values": F.array_join(pairs, "; "), "sample_values": F.array_join("sample_values", "; ")})
 
 
-@query("dataset_summary", """
-SELECT 'orders' AS dataset_id, 'orders.parquet' AS original_filename, count(*) AS row_count, CAST(6 AS BIGINT) AS column_count,
-       'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS columns,
-       'o_orderkey,o_custkey,o_totalprice' AS numeric_columns, 'o_orderstatus,o_orderpriority' AS categorical_columns,
-       'o_orderdate' AS datetime_columns, '' AS text_columns, CAST(0 AS BIGINT) AS missing_cells,
-       0.0::DOUBLE AS missing_percentage, CAST(0 AS BIGINT) AS duplicate_rows, 0.0::DOUBLE AS duplicate_percentage,
-       100.0::DOUBLE AS quality_score FROM orders""")
+def _names_sql(condition: str) -> str:
+    return f"coalesce(string_agg(name, ',' ORDER BY ordinal) FILTER ({condition}), '')"
+
+
+@query("dataset_summary", f"""
+WITH f AS ({ORDERS_FACTS_SQL}), c AS (
+  SELECT count(*) AS column_count, {_names_sql("true")} AS columns, {_names_sql("kind = 'numeric'")} AS numeric_columns,
+    {_names_sql("kind = 'categorical'")} AS categorical_columns, {_names_sql("kind = 'datetime'")} AS datetime_columns,
+    {_names_sql("kind NOT IN ('numeric', 'categorical', 'datetime')")} AS text_columns FROM f)
+SELECT 'orders' AS dataset_id, 'orders.parquet' AS original_filename, r AS row_count, c.*, missing AS missing_cells, mp AS missing_percentage,
+       duplicates AS duplicate_rows, dp AS duplicate_percentage, score AS quality_score FROM ({ORDERS_QUALITY_SQL}), c""")
 def dataset_summary(spark, sf_dir):
     df = profiles.table_summary(_orders_profile(spark, sf_dir))
     lists = [c for c in df.columns if c == "columns" or c.endswith("_columns")]
     return df.withColumns({c: F.array_join(c, ",") for c in lists})
 
 
-@query("business_metrics", """
-SELECT CAST(1 AS INTEGER) AS ordinal, 'o_custkey' AS name FROM orders HAVING count(*) > 0
-UNION ALL SELECT 3, 'o_totalprice' FROM orders HAVING count(*) > 0""")
+BUSINESS_SQL = f"""
+SELECT ordinal, name FROM ({ORDERS_FACTS_SQL}) WHERE kind = 'numeric'
+  AND (NOT is_identifier OR NOT EXISTS (SELECT 1 FROM ({ORDERS_FACTS_SQL}) WHERE kind = 'numeric' AND NOT is_identifier))"""
+
+
+@query("business_metrics", BUSINESS_SQL)
 def business_metrics(spark, sf_dir):
     return profiles.business_metrics(_orders_profile(spark, sf_dir).columns)
 
 
-@query("default_columns", """
-SELECT 'o_custkey' AS metric, 'o_orderstatus' AS category, 'o_orderdate' AS date FROM orders HAVING count(*) > 0""")
+@query("default_columns", f"""
+SELECT (SELECT arg_min(name, ordinal) FROM ({BUSINESS_SQL})) AS metric,
+       arg_min(name, ordinal) FILTER (kind = 'categorical') AS category, arg_min(name, ordinal) FILTER (kind = 'datetime') AS date
+FROM ({ORDERS_FACTS_SQL})""")
 def default_columns(spark, sf_dir):
     return profiles.default_columns(_orders_profile(spark, sf_dir).columns)
 
@@ -984,10 +1028,14 @@ def _sales_columns(spark, sf_dir):
     return profile.column_facts(sales).select("ordinal", "name", "semantic_type", "dtype")
 
 
-@query("column_roles", """
-SELECT CAST(i AS INTEGER) AS ordinal, n AS name, r AS role FROM (VALUES (0, 'Date', 'date'), (1, 'Product', 'dimension'),
-  (2, 'Category', 'dimension'), (3, 'Units', 'metric'), (4, 'Revenue', 'metric'), (5, 'order_id', 'row_id')) AS v(i, n, r)
-WHERE (SELECT count(*) FROM lineitem) > 0""")
+SALES_SQL = """(SELECT l_shipdate AS Date, l_returnflag AS Product, l_linestatus AS Category, l_quantity AS Units, l_extendedprice AS Revenue,
+  l_orderkey AS order_id FROM lineitem)"""
+
+
+@query("column_roles", f"""
+SELECT ordinal, name, CASE WHEN regexp_matches(lower(name), 'date|time') OR kind = 'datetime' THEN 'date'
+    WHEN kind = 'numeric' AND regexp_matches(lower(name), '_id|id$|^id') THEN 'row_id' WHEN kind = 'numeric' THEN 'metric' ELSE 'dimension' END AS role
+FROM ({_column_facts_sql(SALES_SQL, ("Date", "Product", "Category", "Units", "Revenue", "order_id"))})""")
 def column_roles(spark, sf_dir):
     return questions.column_roles(_sales_columns(spark, sf_dir))
 
@@ -1129,16 +1177,21 @@ WITH b AS ({BOUNDS_SQL.format(keys="", v="value", t="events", group="")}),
 a AS (SELECT e.*, upper_bound, lower_bound FROM events e, b WHERE value < lower_bound OR value > upper_bound),
 t AS (SELECT *, row_number() OVER (ORDER BY greatest(value - upper_bound, lower_bound - value) DESC, event_id) AS r FROM a),
 c AS (SELECT b.*, (SELECT count(*) FROM a) AS n FROM b)
-SELECT CAST(ord AS BIGINT) AS ord, fact FROM (
-  SELECT 0 AS ord, concat('Detected ', n, ' statistical anomalies in value (', CAST(round(100.0 * n / valid_count, 2) AS DOUBLE), '% of ', valid_count, ' observations).') AS fact FROM c
+SELECT CAST(ord AS BIGINT) AS ord, fact, {', '.join(f"CASE WHEN ord = 1 THEN round(round(CAST({e} AS DOUBLE), 2), 1) END AS {n}" for e, n in (
+    ("lower_bound", "low"), ("upper_bound", "high"), ("q1", "first"), ("q3", "third"), ("iqr", "spread")))} FROM (
+  SELECT 1 AS ord, 'IQR bounds for value: lower bound = x, upper bound = x (Q1 = x, Q3 = x, IQR = x).' AS fact
+  UNION ALL SELECT 0 AS ord, concat('Detected ', n, ' statistical anomalies in value (', CAST(round(100.0 * n / valid_count, 2) AS DOUBLE), '% of ', valid_count, ' observations).') AS fact FROM c
   UNION ALL SELECT r + 1, concat('Row ', event_id, ': ', CASE WHEN value > upper_bound THEN 'High' ELSE 'Low' END, ' outlier in value: ', {_number_sql('value')},
-    ' (Date: ', strftime(ts, '%Y-%m-%d'), ', Category: ', event_type, ')') FROM t WHERE r <= 20)""")
+    ' (Date: ', strftime(ts, '%Y-%m-%d'), ', Category: ', event_type, ')') FROM t WHERE r <= 20), b""")
 def anomaly_facts(spark, sf_dir):
-    """All sentences but the one about the bounds, whose two decimals may tie."""
     events = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     summary = anomalies.anomaly_summary(events, "value")
     said = facts.anomaly_facts(summary, anomalies.detect_anomalies(events, "value", "day", "event_type", key="event_id"), "value")
-    return said.filter(F.col("ord") != 1)
+    # The figures of the sentence about the bounds stand beside it as numbers: the last printed decimal may tie.
+    figure = lambda i: F.regexp_extract_all("fact", F.lit(r"= (-?[0-9.,]+[0-9])"), F.lit(1))[i]
+    number = lambda i: F.round(F.regexp_replace(figure(i), ",", "").cast("double"), 1)
+    return said.select("ord", F.when(F.col("ord") != 1, F.col("fact")).otherwise(F.regexp_replace("fact", r"= -?[0-9.,]+[0-9]", "= x")).alias("fact"),
+                       *[F.when(F.col("ord") == 1, number(i)).alias(c) for i, c in enumerate(("low", "high", "first", "third", "spread"))])
 
 
 @query("kpi_facts", """
@@ -1161,10 +1214,11 @@ def overview_facts(spark, sf_dir):
         quality.table_quality(customers), kpis_without_identifiers(spark, sf_dir), "customer", "What is the c_acctbal like?")
 
 
-@query("quality_facts", """
-SELECT CAST(0 AS BIGINT) AS ord, 'Dataset ''orders'' overall health score is 100.0%.' AS fact FROM orders HAVING count(*) > 0
-UNION ALL SELECT 1, 'Missing cells: 0 (0.0%).' FROM orders HAVING count(*) > 0
-UNION ALL SELECT 2, 'Duplicate rows: 0 (0.0%).' FROM orders HAVING count(*) = count(DISTINCT o_orderkey)""")
+@query("quality_facts", f"""
+WITH q AS ({ORDERS_QUALITY_SQL})
+SELECT CAST(0 AS BIGINT) AS ord, concat('Dataset ''orders'' overall health score is ', score, '%.') AS fact FROM q
+UNION ALL SELECT 1, concat('Missing cells: ', missing, ' (', mp, '%).') FROM q
+UNION ALL SELECT 2, concat('Duplicate rows: ', duplicates, ' (', dp, '%).') FROM q""")
 def quality_facts(spark, sf_dir):
     return facts.quality_facts(quality.table_quality(table(spark, sf_dir, "orders")), "orders")
 
@@ -1195,7 +1249,7 @@ def evidence_query(spark, sf_dir):
         F.array_join("citations", "; ").alias("citations"), F.array_join("warnings", "|").alias("warnings"))
 
 
-@query("evidence_answers", f"""
+ANSWERS_CTE = f"""
 WITH h AS (SELECT * FROM ({HITS_SQL})),
 c AS (SELECT query_id, string_agg(concat('- ', c), chr(10) ORDER BY r) AS cited FROM (
   SELECT query_id, concat(filename, ' (Page ', page, ')') AS c, min(rank) AS r FROM h GROUP BY 1, 2) GROUP BY 1),
@@ -1207,6 +1261,10 @@ a AS (SELECT question_id, cited, passages, listed, CASE
       ', the policy/guidelines outline specific operational requirements. No causal link is asserted between the quantitative metrics and document policies without explicit supporting evidence.')
     ELSE concat('Structured data findings (', short, ') were successfully calculated from the dataset, but no matching document evidence was found to provide policy or procedural context.') END AS interpretation
   FROM (SELECT DISTINCT label AS question_id FROM embeddings) LEFT JOIN c ON c.query_id = question_id LEFT JOIN p ON p.query_id = question_id, f)
+"""
+
+
+@query("evidence_answers", ANSWERS_CTE + """
 SELECT question_id, interpretation, concat_ws(concat(chr(10), chr(10)), '⚡ **Hybrid Synthesis:**',
   concat('### 📊 DATA FINDINGS', chr(10), coalesce(listed, 'No active structured dataset is available (No active structured dataset found.).')),
   concat('### 📄 DOCUMENT EVIDENCE', chr(10), coalesce(passages, 'No matching document evidence found.')),
@@ -1216,18 +1274,15 @@ def evidence_answers(spark, sf_dir):
     return _answers(spark, sf_dir).select("question_id", "interpretation", "answer")
 
 
-@query("answer_sections", f"""
-WITH f AS (SELECT string_agg(concat('• ', fact), chr(10) ORDER BY ord) AS data_facts FROM ({TOP_FACTS_SQL})), n AS (
-  SELECT query_id, string_agg(concat('- ', c), chr(10) ORDER BY r) AS citations FROM (
-    SELECT query_id, concat(filename, ' (Page ', page, ')') AS c, min(rank) AS r FROM ({HITS_SQL}) GROUP BY 1, 2) GROUP BY 1)
-SELECT label AS question_id, (SELECT data_facts FROM f) AS data_findings,
-       CASE WHEN citations IS NULL THEN 'No document citations available.' ELSE concat('**Sources:**', chr(10), citations) END AS citations,
-       false AS is_forecast, false AS is_anomaly
-FROM (SELECT DISTINCT label FROM embeddings) LEFT JOIN n ON query_id = label""")
+@query("answer_sections", ANSWERS_CTE + f"""
+SELECT question_id, listed AS data_findings,
+       coalesce(regexp_replace(passages, '^{BLANKS}+|{BLANKS}+$', '', 'g'), 'No matching document evidence found.') AS document_evidence, interpretation,
+       CASE WHEN cited IS NULL THEN 'No document citations available.' ELSE concat('**Sources:**', chr(10), cited) END AS citations,
+       false AS is_forecast, false AS is_anomaly FROM a""")
 def answer_sections(spark, sf_dir):
     sections = text.answer_sections(F.col("answer"))
     return _answers(spark, sf_dir).select(
-        "question_id", *[sections[c].alias(c) for c in ("data_findings", "citations", "is_forecast", "is_anomaly")])
+        "question_id", *[column.alias(name) for name, column in sections.items()])
 
 
 # --- sources, sinks, clean-up -----------------------------------------------------------------
