@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheafline.functions import dates, numbers, text, urls
@@ -1285,6 +1285,29 @@ def answer_sections(spark, sf_dir):
         "question_id", *[column.alias(name) for name, column in sections.items()])
 
 
+@query("argument_text", """
+SELECT event_id, nullif(trim(lower(CASE WHEN event_id % 3 = 0 THEN '  ' ELSE concat(' ', event_type, ' ') END)), '') AS argument FROM events""")
+def argument_text(spark, sf_dir):
+    """Event types as arguments with blanks around them; every third is blank."""
+    given = F.when(F.col("event_id") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "event_type", F.lit(" ")))
+    return table(spark, sf_dir, "events").select("event_id", text.argument_text(given).alias("argument"))
+
+
+@query("iqr_bounds_of_few", """
+WITH v AS (SELECT c_nationkey AS nation, c_acctbal AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer),
+g AS (SELECT nation, count(*) AS n, min(x) AS a, max(x) AS b, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3
+      FROM v WHERE i <= nation % 6 + 1 GROUP BY nation)
+SELECT nation, n AS valid_count, round(CASE WHEN n < 4 THEN a ELSE q1 - 1.5 * (q3 - q1) END, 6) AS lower_bound,
+       round(CASE WHEN n < 4 THEN b ELSE q3 + 1.5 * (q3 - q1) END, 6) AS upper_bound FROM g""")
+def iqr_bounds_of_few(spark, sf_dir):
+    """Bounds of groups of one to six values; fewer than four have none but their own ends."""
+    customers = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "nation")
+    place = F.row_number().over(Window.partitionBy("nation").orderBy("c_custkey"))
+    few = customers.withColumn("_i", place).filter(F.col("_i") <= F.col("nation") % 6 + 1)
+    found = anomalies.iqr_bounds(few, "c_acctbal", ["nation"])
+    return rounded(found.select("nation", "valid_count", "lower_bound", "upper_bound"), 6, "lower_bound", "upper_bound")
+
+
 # --- sources, sinks, clean-up -----------------------------------------------------------------
 
 

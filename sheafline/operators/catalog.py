@@ -24,16 +24,22 @@ def first_by_hash(documents: DataFrame, order: str) -> DataFrame:
     return documents.groupBy("content_hash").agg(first.alias("document_id"), F.count(F.lit(1)).alias("copies"))
 
 
+def documents_without_content(documents: DataFrame) -> DataFrame:
+    """Documents whose content is NULL, so that nothing can be compared: ``(document_id, reject_reason)``."""
+    return documents.filter(F.col("content_hash").isNull()).select("document_id", F.lit("no content").alias("reject_reason"))
+
+
 def resolve_duplicates(incoming: DataFrame, indexed: DataFrame | None = None, order: str = "document_id") -> DataFrame:
     """Which document each incoming one resolves to: ``(document_id, content_hash,
     resolved_id, is_duplicate)``.
 
     ``incoming`` has ``document_id``, ``content_hash`` and the ``order`` column; ``indexed`` is the
     catalog so far. Content that is already indexed resolves to the indexed document, whatever its
-    file name; otherwise the first of the batch wins. Texts are read once: ids and hashes are
+    file name; otherwise the first of the batch wins. Documents without content are no duplicates of anything and are left to
+    ``documents_without_content``. Texts are read once: ids and hashes are
     checkpointed, and everything else works on those.
     """
-    slim = cut_lineage(incoming.select("document_id", "content_hash", *([order] if order != "document_id" else [])))
+    slim = cut_lineage(incoming.filter(F.col("content_hash").isNotNull()).select("document_id", "content_hash", *([order] if order != "document_id" else [])))
     known = first_by_hash(slim, order)
     if indexed is not None:
         old = indexed.groupBy("content_hash").agg(F.min("document_id").alias("_known"))
@@ -46,8 +52,8 @@ def resolve_duplicates(incoming: DataFrame, indexed: DataFrame | None = None, or
 
 
 def new_documents(incoming: DataFrame, indexed: DataFrame, order: str = "document_id") -> DataFrame:
-    """The documents to index: the first of each content that the catalog does not hold."""
-    slim = incoming.select("document_id", "content_hash", *([order] if order != "document_id" else []))
+    """The documents to index: the first of each content that the catalog does not hold; none without content."""
+    slim = incoming.filter(F.col("content_hash").isNotNull()).select("document_id", "content_hash", *([order] if order != "document_id" else []))
     firsts = first_by_hash(slim, order)
     # Distinct first: copies of one content in the catalog would meet in one task.
     known = indexed.select("content_hash").distinct()

@@ -53,7 +53,7 @@ def time_trend(
     by: Sequence[str] = (),
     week_year: str = "calendar",
 ) -> DataFrame:
-    """Rows ``(*by, period, value)``: one per period that has a dated row; gaps stay gaps.
+    """Rows ``(*by, period, value)`` in order: one per period that has a dated row; gaps stay gaps.
 
     Periods are grouped by label, so with the default week labels the last days of December fall
     in week 1 of their own calendar year.
@@ -65,7 +65,7 @@ def time_trend(
     grouped = rows.groupBy(*[column(b) for b in by], label.alias("period")).agg(
         aggregate_value(F.col("v"), operation).alias("value")
     )
-    return grouped.withColumn("value", finite_or_null(F.col("value")))
+    return grouped.withColumn("value", finite_or_null(F.col("value"))).orderBy(*[column(b) for b in by], "period")
 
 
 def trend_summary(df: DataFrame, date: str, frequency: str = "auto", week_year: str = "calendar") -> DataFrame:
@@ -182,7 +182,7 @@ def forecast_metric(
         "frequency",
         "historical_count",
         F.when(enough, "ok").otherwise("INSUFFICIENT_DATA").alias("status"),
-    )
+    ).orderBy(*[column(b) for b in keys], "step")
 
 
 def forecast_chart(forecast: DataFrame, by: Sequence[str] = ()) -> DataFrame:

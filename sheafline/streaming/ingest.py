@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sheafline.functions.text import content_hash
 from sheafline.operators.catalog import new_documents
 from sheafline.operators.chunks import DEFAULT_OVERLAP, DEFAULT_SIZE, chunk_pages, clean_pages
+from sheafline.session import written
 
 CATALOG = "document_id long, filename string, content_hash string, size long, batch_id long"
 
@@ -32,7 +33,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, catalog_path: str, chunks_path
     spark = batch.sparkSession
     earlier = _index(spark, catalog_path).filter(F.col("batch_id") != batch_id)
     hashed = batch.withColumn("content_hash", content_hash(F.col("text")))
-    fresh = new_documents(hashed, earlier).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    # Written once: both tables below come from it, and the batch is read and hashed a single time.
+    fresh = written(new_documents(hashed, earlier).withColumn("batch_id", F.lit(batch_id).cast("long")), "batch")
 
     def write(table: DataFrame, path: str) -> None:
         table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)

@@ -199,3 +199,11 @@ def test_pages_without_number_or_document_keep_their_chunks(frame):
         assert sorted((r["chunk_index"], r["text"] in ("five", "six")) for r in rows if r["document_id"] == "a") == [
             (0, False), (1, False), (2, True), (3, True)]
         assert sorted(r["chunk_index"] for r in rows if r["document_id"] is None) == [0, 1]
+
+
+def test_documents_without_content_are_no_duplicates(frame):
+    rows = frame([(1, None), (2, None), (3, "h"), (4, "h"), (5, "k")], "document_id long, content_hash string")
+    assert sorted(map(tuple, catalog.resolve_duplicates(rows).collect())) == [(3, "h", 3, False), (4, "h", 3, True), (5, "k", 5, False)]
+    indexed = frame([(9, "k"), (8, None)], "document_id long, content_hash string")
+    assert [r["document_id"] for r in catalog.new_documents(rows, indexed).collect()] == [3]
+    assert sorted(r["document_id"] for r in catalog.documents_without_content(rows).collect()) == [1, 2]

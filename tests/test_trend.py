@@ -168,3 +168,12 @@ def test_residuals_of_the_line_cancel_out(frame):
     slope, after = df.first()["slope"], projected(df)[0][1]
     line = [after - slope * (6 - i) for i in range(6)]
     assert sum(v - y for v, y in zip(numbers, line)) == pytest.approx(0, abs=1e-2)
+
+
+def test_periods_come_in_order(frame):
+    rows = [(f"2024-{m:02d}-{d:02d}", k, 1.0) for m in (7, 2, 11) for d in (3, 1) for k in ("b", "a")]
+    df = frame(rows, "d string, k string, v double").repartition(4)
+    got = [(r["k"], r["period"]) for r in trend.time_trend(df, "d", "v", frequency="month", by=["k"]).collect()]
+    assert got == sorted(got) and len(got) == 6
+    steps = [(r["k"], r["step"]) for r in trend.forecast_metric(df, "v", "d", by=["k"]).collect()]
+    assert steps == sorted(steps)
