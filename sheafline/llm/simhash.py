@@ -201,8 +201,10 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     rows = stored(rows, "prints")
     nodes = stored(rows.select("node", "narrow", "wide").distinct(), "nodes")
     found = similar_groups(nodes, wide_limit(similarity))
-    grouped = rows.select("id", "hash", "node").join(found, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    first = grouped.groupBy("group").agg(F.min(F.struct("id", "hash")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.hash").alias("_hash"))
+    # Copies meet in their node before anything is joined, so no key of the join has more than one row.
+    firsts = rows.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("k"))
+    grouped = firsts.join(found, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    first = grouped.groupBy("group").agg(F.min("k").alias("k")).select(F.col("k.id").alias("_id"), F.col("k.hash").alias("_hash"))
     # The frame's own columns move into one struct, so that no name of theirs can clash.
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), id_.alias("_id"), hash_.alias("_hash"))
     return whole.join(first, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).select("row.*")
