@@ -168,8 +168,8 @@ SELECT l_returnflag, metric, count(v) AS total, round(quantile_cont(v, 0.25), 4)
 FROM (SELECT l_returnflag, 'price' AS metric, l_extendedprice AS v FROM lineitem
       UNION ALL SELECT l_returnflag, 'quantity', l_quantity FROM lineitem) GROUP BY ALL""")
 def counted_quantiles(spark, sf_dir):
-    """The quantile method for tables of any size, forced here on a small one."""
-    found = quantiles.counted_quantiles(
+    """Quantiles of two metrics by group."""
+    found = quantiles.exact_quantiles(
         table(spark, sf_dir, "lineitem"), {"price": F.col("l_extendedprice"), "quantity": F.col("l_quantity")},
         (0.25, 0.5, 0.75), ["l_returnflag"],
     )

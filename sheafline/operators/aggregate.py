@@ -12,7 +12,7 @@ from sheafline.errors import AnalyticsError, check_range
 from sheafline.functions.numbers import finite_or_null, half_even
 from sheafline.operators.columns import as_number, column, dtype_of, is_text, numeric_column, resolve_column
 from sheafline.operators.identifiers import identifier_columns
-from sheafline.operators.quantiles import SMALL_CELLS, exact_quantiles, is_small, small_quantiles_sql
+from sheafline.operators.quantiles import exact_quantiles
 
 # The aggregations a caller may ask for, and the label of the missing category.
 AGGREGATIONS = ("sum", "mean", "count", "min", "max")
@@ -110,41 +110,32 @@ def bottom_categories(
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def describe(
-    df: DataFrame, values: Mapping[str, Column], by: Sequence[str] = (), rows: int | None = None
-) -> DataFrame:
+def describe(df: DataFrame, values: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """Exact descriptive statistics of several metrics.
 
     Rows ``(*by, metric, count, missing, min, max, mean, std, sum, q25, median, q75)``. All but
     the quartiles take one pass over the table; for those see ``quantiles``.
     """
-    small = is_small(df, len(values), rows)
-    # A metric or two are sorted in the same aggregate; more of them beside each other.
-    together = small and len(values) <= 2
     keys = [column(b) for b in by]
     narrow = df.select(*keys, *[v.alias(f"_v{i}") for i, v in enumerate(values.values())])
 
     def stats(v: str) -> str:
-        quartiles = f", {small_quantiles_sql(v, QUARTILES)} as q" if together else ""
         return (f"struct(count({v}) as count, count_if({v} is null) as missing, min({v}) as min, max({v}) as max, avg({v}) as mean, "
-                f"stddev_samp({v}) as std, coalesce(sum({v}), 0D) as sum{quartiles})")
+                f"stddev_samp({v}) as std, coalesce(sum({v}), 0D) as sum)")
 
     wide = narrow.groupBy(*keys).agg(*[F.expr(stats(f"_v{i}")).alias(f"_m{i}") for i in range(len(values))])
-    fields = ["count", "missing", "min", "max", "mean", "std", "sum"] + (["q"] if together else [])
+    fields = ["count", "missing", "min", "max", "mean", "std", "sum"]
     entries = F.array(*[
         F.struct(F.lit(m).alias("metric"), *[F.col(f"_m{i}.{f}") for f in fields]) for i, m in enumerate(values)
     ])
     long = wide.select(*keys, F.inline(entries))
-    if not together:
-        quartiles = exact_quantiles(df, values, QUARTILES, by, rows=0 if small else SMALL_CELLS + 1)
-        quartiles = quartiles.select(
-            *[column(b).alias(f"_b{i}") for i, b in enumerate(by)], F.col("metric").alias("_metric"),
-            F.col("quantiles").alias("q"),
-        )
-        same = F.col("metric") == F.col("_metric")
-        for i, b in enumerate(by):
-            same = same & column(b).eqNullSafe(F.col(f"_b{i}"))
-        long = long.join(quartiles, same, "left")
+    quartiles = exact_quantiles(df, values, QUARTILES, by).select(
+        *[column(b).alias(f"_b{i}") for i, b in enumerate(by)], F.col("metric").alias("_metric"), F.col("quantiles").alias("q"),
+    )
+    same = F.col("metric") == F.col("_metric")
+    for i, b in enumerate(by):
+        same = same & column(b).eqNullSafe(F.col(f"_b{i}"))
+    long = long.join(quartiles, same, "left")
     std = F.when(F.col("count") == 1, F.lit(0.0)).otherwise(F.col("std"))
     return long.select(
         *keys, "metric", "count", "missing", "min", "max", "mean", std.alias("std"), "sum",
@@ -152,10 +143,10 @@ def describe(
     )
 
 
-def column_statistics(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def column_statistics(df: DataFrame, name: str) -> DataFrame:
     """One row of statistics of a numeric column; without any value the sum is 0 and the rest NULL."""
     name, value = numeric_column(df, name)
-    stats = describe(df.select(value.alias("v")), {name: F.col("v")}, rows=rows)
+    stats = describe(df.select(value.alias("v")), {name: F.col("v")})
     return stats.select(
         F.col("metric").alias("column"), "count", "missing",
         *[finite_or_null(F.col(c)).alias(c) for c in ("min", "max")],
@@ -179,7 +170,7 @@ def kpi_candidates(df: DataFrame) -> dict[str, Column]:
     return found
 
 
-def kpis(df: DataFrame, rows: int | None = None) -> DataFrame:
+def kpis(df: DataFrame) -> DataFrame:
     """Total, average, minimum, maximum, median and count of every business metric.
 
     One row per numeric-like column in column order. ``excluded`` marks identifier columns, which
@@ -199,7 +190,7 @@ def kpis(df: DataFrame, rows: int | None = None) -> DataFrame:
     if not business:
         return excluded
     narrow = df.select([v.alias(f"v{i}") for i, v in enumerate(business.values())])
-    stats = describe(narrow, {m: F.col(f"v{i}") for i, m in enumerate(business)}, rows=rows).filter(F.col("count") > 0)
+    stats = describe(narrow, {m: F.col(f"v{i}") for i, m in enumerate(business)}).filter(F.col("count") > 0)
     ordinal = F.create_map(*[F.lit(x) for c in business for x in (c, order[c])])[F.col("metric")]
     figures = stats.select(
         ordinal.alias("ordinal"), "metric", F.lit(False).alias("excluded"),
@@ -210,4 +201,5 @@ def kpis(df: DataFrame, rows: int | None = None) -> DataFrame:
         finite_or_null(F.col("median")).alias("median"),
         "count",
     )
-    return figures.unionByName(excluded)
+    # A row per column of the table.
+    return figures.unionByName(excluded).orderBy("ordinal")

@@ -22,7 +22,7 @@ SALTS = 32
 ROUNDED = ("q1", "q3", "iqr", "lower_bound", "upper_bound")
 
 
-def iqr_bounds(df: DataFrame, metric: str, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+def iqr_bounds(df: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:
     """Unrounded ``(*by, valid_count, q1, q3, iqr, lower_bound, upper_bound)`` of the finite values.
 
     Fewer than four values have no outliers: their bounds are their minimum and maximum. A table
@@ -31,7 +31,7 @@ def iqr_bounds(df: DataFrame, metric: str, by: Sequence[str] = (), rows: int | N
     metric, value = numeric_column(df, metric)
     keys = [resolve_column(df, b) for b in by]
     finite = df.select(*[column(b) for b in keys], F.when(is_finite(value), value).alias("_value"))
-    found = exact_quantiles(finite, {metric: F.col("_value")}, (0.0, 0.25, 0.75, 1.0), keys, rows)
+    found = exact_quantiles(finite, {metric: F.col("_value")}, (0.0, 0.25, 0.75, 1.0), keys)
     n = F.col("total")
     low, q1, q3, high = (F.get("quantiles", F.lit(i)) for i in range(4))
     few = n < MIN_VALUES
@@ -79,7 +79,6 @@ def flag_anomalies(
     dimension: str | None = None,
     by: Sequence[str] = (),
     key: str | None = None,
-    rows: int | None = None,
     bounds: DataFrame | None = None,
 ) -> DataFrame:
     """Every outlier: ``(*by, row_index, value, direction, deviation[, date][, category])``.
@@ -101,7 +100,7 @@ def flag_anomalies(
     else:
         index = column(resolve_column(df, key))
     if bounds is None:
-        bounds = iqr_bounds(df, metric, keys, rows)
+        bounds = iqr_bounds(df, metric, keys)
     low, high = F.col("_bounds.lower_bound"), F.col("_bounds.upper_bound")
     seen = F.col("_value")
     checked = _with_bounds(df.filter(is_finite(value)), value, keys, bounds)
@@ -123,16 +122,15 @@ def detect_anomalies(
     dimension: str | None = None,
     limit: int = 20,
     key: str | None = None,
-    rows: int | None = None,
 ) -> DataFrame:
     """The outliers farthest outside the bounds, ties in row order; ``limit`` trims only this list."""
     check_range(limit, 1, MAX_LISTED, "INVALID_LIMIT", "Limit")
-    found = flag_anomalies(df, metric, date, dimension, key=key, rows=rows)
+    found = flag_anomalies(df, metric, date, dimension, key=key)
     return found.orderBy(F.col("deviation").desc(), "row_index").limit(limit)
 
 
 def anomaly_summary(
-    df: DataFrame, metric: str, by: Sequence[str] = (), rows: int | None = None, validate: bool = True
+    df: DataFrame, metric: str, by: Sequence[str] = (), validate: bool = True
 ) -> DataFrame:
     """``(*by, column, method, q1, q3, iqr, lower_bound, upper_bound, anomaly_count,
     anomaly_percentage, normal_count)`` per group, figures rounded after the rows were judged.
@@ -141,7 +139,7 @@ def anomaly_summary(
         raise AnalyticsError("EMPTY_DATASET", "The table has no rows.")
     name, value = numeric_column(df, metric)
     keys = [resolve_column(df, b) for b in by]
-    bounds = iqr_bounds(df, name, keys, rows)
+    bounds = iqr_bounds(df, name, keys)
     checked = _with_bounds(df.filter(is_finite(value)), value, keys, bounds)
     outside = (F.col("_value") < F.col("_bounds.lower_bound")) | (F.col("_value") > F.col("_bounds.upper_bound"))
     counts = checked.groupBy(*[column(b) for b in keys]).agg(F.count_if(outside).alias("anomaly_count"))

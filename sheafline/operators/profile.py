@@ -153,7 +153,7 @@ def column_facts(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
-def numeric_profile(df: DataFrame, names: list[str] | None = None, rows: int | None = None) -> DataFrame:
+def numeric_profile(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Rows ``(name, min, max, mean, median, std, q25, q75)`` of the numeric columns that hold values."""
     types = _field_types(df)
     names = names if names is not None else [c for c, t in types.items() if is_numeric(t)]
@@ -162,7 +162,7 @@ def numeric_profile(df: DataFrame, names: list[str] | None = None, rows: int | N
         return df.sparkSession.createDataFrame([], schema)
     narrow = missing_as_null(df.select([column(c) for c in names]))
     narrow = narrow.select([column(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
-    stats = describe(narrow, {c: F.col(f"v{i}") for i, c in enumerate(names)}, rows=rows).filter(F.col("count") > 0)
+    stats = describe(narrow, {c: F.col(f"v{i}") for i, c in enumerate(names)}).filter(F.col("count") > 0)
     several = F.col("count") > 1
     return stats.select(
         F.col("metric").alias("name"),
@@ -218,7 +218,7 @@ def top_values(df: DataFrame, names: list[str], count: int = TOP_VALUES) -> Data
 
 
 def profile_columns(
-    df: DataFrame, approx: bool = False, samples: bool = True, rows: int | None = None
+    df: DataFrame, approx: bool = False, samples: bool = True
 ) -> DataFrame:
     """One row per column: type, missing and distinct counts, samples and the figures of its type.
 
@@ -228,7 +228,7 @@ def profile_columns(
         raise AnalyticsError("EMPTY_DATASET", "The table has no columns.")
     types = _field_types(df)
     facts = column_facts(df, approx)
-    numbers = numeric_profile(df, rows=rows)
+    numbers = numeric_profile(df)
     texts = [c for c, t in types.items() if is_text(t)]
     tops = top_values(df, texts).groupBy("name").agg(
         F.transform(

@@ -1,8 +1,6 @@
 """Exact quantiles that no single task has to hold.
 
-For a table known to be small, the values of a group are collected and sorted: the quickest way,
-used only behind a check of the number of cells. Beyond it the target ranks are located by
-counting:
+The target ranks are located by counting, at every size alike:
 
 1. count rows per bin of a fixed, order-preserving bin function, and find the bin of each rank;
 2. cut those bins into 65,536 equal parts, count again, and find the part of each rank;
@@ -25,8 +23,6 @@ from pyspark.sql import functions as F
 from sheafline.operators.columns import column
 from sheafline.session import cut_lineage
 
-# Rows times metrics up to which values may be collected and sorted: some 120 MB in one task.
-SMALL_CELLS = 5_000_000
 # Located bins are broadcast up to this many rows; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
 BINS_PER_OCTAVE = 1024
@@ -35,26 +31,6 @@ TOP_BIN = 2_000_000
 PARTS = 65_536
 
 
-def is_small(df: DataFrame, metrics: int, rows: int | None = None) -> bool:
-    """Whether the table is known to fit the in-task method (a column-free count when not told)."""
-    return (df.count() if rows is None else rows) * max(metrics, 1) <= SMALL_CELLS
-
-
-def small_quantiles_sql(name: str, probabilities: Sequence[float]) -> str:
-    """Aggregate, as SQL: quantiles of a small group's column, NULL for a group without values.
-
-    Bound to a lambda variable, the values are sorted once however often they are read.
-    """
-    results = []
-    for p in probabilities:
-        position = f"{float(p)}D * (size(s) - 1)"
-        low, high = (f"get(s, cast({side}({position}) as int))" for side in ("floor", "ceil"))
-        fraction = f"({position} - floor({position}))"
-        results.append(f"if({low} = {high}, {low}, {low} * (1 - {fraction}) + {high} * {fraction})")
-    read = f"if(size(s) > 0, array({', '.join(results)}), null)"
-    return f"transform(array(sort_array(collect_list({name}))), s -> {read})[0]"
-
-
 def _between(low: Column, high: Column, fraction: Column) -> Column:
     """Linear interpolation; equal neighbours, infinities included, give themselves."""
     return F.when(low == high, low).otherwise(low * (1 - fraction) + high * fraction)
@@ -102,10 +78,16 @@ def _same(keys: Sequence[str], right: DataFrame) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
 
 
-def counted_quantiles(
+def _settled(located: DataFrame, grouped: bool) -> DataFrame:
+    """Located intervals, computed once. Without groups they are a few per metric and probability and come to the driver."""
+    return cut_lineage(located) if grouped else located.sparkSession.createDataFrame(located.collect(), located.schema)
+
+
+def exact_quantiles(
     df: DataFrame, values: Mapping[str, Column], probabilities: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact quantiles by counting: rows ``(*by, metric, total, quantiles ARRAY<DOUBLE>)``."""
+    """Quantiles with linear interpolation: rows ``(*by, metric, total, quantiles ARRAY<DOUBLE>)``, one for each group and metric
+    that has values."""
     names = [f"_k{i}" for i in range(len(by))]
     keys = [column(b).alias(n) for b, n in zip(by, names)]
     bases = [df.select(*keys, v.alias("value")).filter(F.col("value").isNotNull()) for v in values.values()]
@@ -144,7 +126,7 @@ def counted_quantiles(
     ]
     total = F.sum("rows").over(Window.partitionBy(*groups))
     coarse = tagged(spread).withColumn("_total", total).withColumn("_targets", _targets(F.col("_total"), probabilities))
-    first = cut_lineage(_locate(coarse, groups, "_bin"))
+    first = _settled(_locate(coarse, groups, "_bin"), bool(names))
 
     cut = [
         rows.groupBy(*names, "_bin", _part(F.col("value"), F.col("_low"), F.col("_high")).alias("_part")).agg(
@@ -153,7 +135,7 @@ def counted_quantiles(
         for rows in narrowed(first, "_low", "_high", ["_bin"])
     ]
     fine = _with_targets(tagged(cut), first, [*groups, "_bin"])
-    second = cut_lineage(_locate(fine, [*groups, "_bin"], "_part"))
+    second = _settled(_locate(fine, [*groups, "_bin"], "_part"), bool(names))
 
     singles = [
         rows.groupBy(*names, "_bin", "_part", "value").agg(F.sum("_weight").alias("rows"))
@@ -201,27 +183,3 @@ def _with_targets(counted: DataFrame, located: DataFrame, keys: list[str]) -> Da
     wanted = located.select(*keys, "_targets", "_total").alias("r")
     joined = counted.alias("l").join(wanted, _same(keys, located))
     return joined.select("l.*", "r._targets", "r._total")
-
-
-def exact_quantiles(
-    df: DataFrame,
-    values: Mapping[str, Column],
-    probabilities: Sequence[float],
-    by: Sequence[str] = (),
-    rows: int | None = None,
-) -> DataFrame:
-    """Quantiles with linear interpolation, one row per group and metric.
-
-    ``rows`` is the table's row count when the caller knows it; otherwise it is counted.
-    """
-    if not is_small(df, len(values), rows):
-        return counted_quantiles(df, values, probabilities, by)
-    keys = [column(b) for b in by]
-    # One branch per metric: each reads one column, and the branches are sorted side by side.
-    parts = [
-        df.select(*keys, v.alias("_v")).groupBy(*keys)
-        .agg(F.expr("count(_v)").alias("total"), F.expr(small_quantiles_sql("_v", probabilities)).alias("quantiles"))
-        .select(*keys, F.lit(m).alias("metric"), "total", "quantiles")
-        for m, v in values.items()
-    ]
-    return reduce(DataFrame.unionByName, parts).filter(F.col("total") > 0)

@@ -62,13 +62,12 @@ def test_limit_trims_the_list_but_not_the_count(metric):
         anomalies.anomaly_summary(df.limit(0), "metric")
 
 
-@pytest.mark.parametrize("rows", [1, 10**12])
-def test_groups_have_their_own_bounds(frame, rows):
+def test_groups_have_their_own_bounds(frame):
     data = [("hot", float(i % 7)) for i in range(300)] + [("hot", 50.0)] + [("cold", 1000.0 + i) for i in range(9)] + [(None, 5.0)] * 5 + [(None, 99.0)]
     df = frame([(i, *r) for i, r in enumerate(data)], "i long, g string, metric double")
-    found = anomalies.flag_anomalies(df, "metric", by=["g"], key="i", rows=rows).collect()
+    found = anomalies.flag_anomalies(df, "metric", by=["g"], key="i").collect()
     assert sorted((str(r["g"]), r["value"]) for r in found) == [("None", 99.0), ("hot", 50.0)]
-    totals = {r["g"]: (r["normal_count"], r["anomaly_count"]) for r in anomalies.anomaly_summary(df, "metric", ["g"], rows=rows).collect()}
+    totals = {r["g"]: (r["normal_count"], r["anomaly_count"]) for r in anomalies.anomaly_summary(df, "metric", ["g"]).collect()}
     assert totals == {"hot": (300, 1), "cold": (9, 0), None: (5, 1)}
 
 
@@ -87,5 +86,5 @@ def test_result_does_not_depend_on_partitioning(metric):
 
 def test_bounds_are_a_constant_of_the_filter(metric):
     plan = anomalies.flag_anomalies(metric([1.0, 2.0, 3.0, 4.0, 99.0]), "metric", key="i")._jdf.queryExecution().toString()
-    assert "Join" not in plan and "CartesianProduct" not in plan
+    assert "scalar-subquery" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert F is not None
