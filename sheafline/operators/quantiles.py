@@ -3,7 +3,7 @@
 The target ranks are located by counting, at every size alike:
 
 1. count rows per bin of a fixed, order-preserving bin function, and find the bin of each rank;
-2. cut those bins into 65,536 equal parts, count again, and find the part of each rank;
+2. where those bins hold many rows, cut them into 65,536 equal parts, count again, and find the part of each rank;
 3. count the distinct values that are left and read the ranks off.
 
 Every step is a partial aggregate over bins, so a value, or a group, that holds a third of the
@@ -25,6 +25,8 @@ from sheafline.session import cut_lineage
 
 # Located bins are broadcast up to this many rows; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
+# Rows in all located bins together from which on the bins are cut once more before their values are counted.
+FEW_ROWS = 100_000
 BINS_PER_OCTAVE = 1024
 # Above every finite number's bin; infinities go here.
 TOP_BIN = 2_000_000
@@ -70,7 +72,7 @@ def _locate(counted: DataFrame, groups: list[str], order: str) -> DataFrame:
     relative = F.transform(
         "_targets", lambda t: F.struct((t["rank"] - F.col("_before")).alias("rank"), t["slot"].alias("slot"))
     )
-    return located.withColumn("_targets", relative).drop("_before", "rows")
+    return located.withColumn("_targets", relative).drop("_before").withColumnRenamed("rows", "_rows")
 
 
 def _same(keys: Sequence[str], right: DataFrame) -> Column:
@@ -128,14 +130,18 @@ def exact_quantiles(
     coarse = tagged(spread).withColumn("_total", total).withColumn("_targets", _targets(F.col("_total"), probabilities))
     first = _settled(_locate(coarse, groups, "_bin"), bool(names))
 
-    cut = [
-        rows.groupBy(*names, "_bin", _part(F.col("value"), F.col("_low"), F.col("_high")).alias("_part")).agg(
-            F.sum("_weight").alias("rows"), F.min("value").alias("_from"), F.max("value").alias("_to")
-        )
-        for rows in narrowed(first, "_low", "_high", ["_bin"])
-    ]
-    fine = _with_targets(tagged(cut), first, [*groups, "_bin"])
-    second = _settled(_locate(fine, [*groups, "_bin"], "_part"), bool(names))
+    if first.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0] <= FEW_ROWS:
+        # The bins found hold so few rows that cutting them further would read the table once more for nothing.
+        second = first.withColumn("_part", F.lit(0).cast("long")).withColumnsRenamed({"_low": "_from", "_high": "_to"})
+    else:
+        cut = [
+            rows.groupBy(*names, "_bin", _part(F.col("value"), F.col("_low"), F.col("_high")).alias("_part")).agg(
+                F.sum("_weight").alias("rows"), F.min("value").alias("_from"), F.max("value").alias("_to")
+            )
+            for rows in narrowed(first, "_low", "_high", ["_bin"])
+        ]
+        fine = _with_targets(tagged(cut), first, [*groups, "_bin"])
+        second = _settled(_locate(fine, [*groups, "_bin"], "_part"), bool(names))
 
     singles = [
         rows.groupBy(*names, "_bin", "_part", "value").agg(F.sum("_weight").alias("rows"))

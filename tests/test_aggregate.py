@@ -147,8 +147,10 @@ SHAPES = {
 }
 
 
+@pytest.mark.parametrize("few_rows", [100_000, 0])
 @pytest.mark.parametrize("shape", SHAPES)
-def test_quantiles_match_a_sorted_list(frame, shape):
+def test_quantiles_match_a_sorted_list(frame, monkeypatch, shape, few_rows):
+    monkeypatch.setattr(quantiles, "FEW_ROWS", few_rows)
     numbers = SHAPES[shape]
     df = frame([(x,) for x in numbers] + [(None,)], "v double").repartition(3)
     probabilities = (0.0, 0.25, 0.5, 0.9, 1.0)
@@ -162,9 +164,11 @@ def test_quantiles_match_a_sorted_list(frame, shape):
         assert got == pytest.approx(expected, rel=1e-12) or (math.isnan(expected) and math.isnan(got))
 
 
+@pytest.mark.parametrize("few_rows", [100_000, 0])
 @pytest.mark.parametrize("broadcast_rows", [200_000, 0])
-def test_counted_quantiles_by_group(frame, monkeypatch, broadcast_rows):
+def test_quantiles_by_group(frame, monkeypatch, broadcast_rows, few_rows):
     monkeypatch.setattr(quantiles, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(quantiles, "FEW_ROWS", few_rows)
     rng = random.Random(9)
     rows = [("hot", rng.gauss(0, 10)) for _ in range(900)] + [(None, rng.gauss(5, 1)) for _ in range(50)]
     rows += [(f"k{i}", float(i)) for i in range(5)] + [("empty", None)]
