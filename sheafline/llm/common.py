@@ -20,6 +20,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, n: int, rows: int, order: Column) -> DataFrame:
+    """The ``rows`` rows of ``df``, which has about ``n``, with the least ``order`` (a hash, as bigint).
+
+    Rows far above the wanted share of hashes are left out before they are ranked, so that what the tasks send to be ranked does not
+    grow with their number.
+    """
+    if n > 4 * rows:
+        df = df.where(order < F.lit(int(-(2**63) + 2**64 * (2 * rows / n))))
+    return df.orderBy(order).limit(rows)
+
+
 def fold(id_column: str | Column, folds: int) -> Column:
     """``crc32`` of the id as text, modulo ``folds``; a null id is in fold 0."""
     column = F.col(id_column) if isinstance(id_column, str) else id_column

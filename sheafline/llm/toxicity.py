@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import stored, texts
+from sheafline.llm.common import hash_sample, stored, texts
 
 # Labelled rows a model is fitted on, at most, ordinary and toxic: those with the least hash of their id.
 ORDINARY_ROWS, TOXIC_ROWS = 10_000, 5_000
@@ -244,12 +244,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, ordi
     if held_out is not None:
         learned = learned.where(~held_out)
     learned = learned.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = learned.where("toxic = 1").orderBy(*order).limit(toxic_rows).unionAll(
-        learned.where("toxic = 0").orderBy(*order).limit(ordinary_rows))
+    size = {r["toxic"]: r["n"] for r in learned.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    ordinary, toxic = (hash_sample(learned.where(F.col("toxic") == y), size.get(y, 0), n, F.xxhash64("doc_id", F.lit("sample")))
+                       for y, n in ((0, ordinary_rows), (1, toxic_rows)))
+    chosen = ordinary.unionAll(toxic)
     rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     sample = stored(rows.withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(CURVE_FOLD)) == 0), "labelled")
-    size = {r["toxic"]: r["n"] for r in learned.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     model = ToxicityModel(prior=size.get(1, 0) / max(1, sum(size.values())))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     counted = sample.where("NOT curve").select("toxic", F.explode(words).alias("word")).groupBy("word").agg(

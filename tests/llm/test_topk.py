@@ -49,8 +49,8 @@ def test_ties_repeats_nulls_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "LEAF", 8)
     rnd = random.Random(2)
     rows = [(i, [float(rnd.randint(-1, 1)) for _ in range(4)]) for i in range(160)] + [(i, [1.0, 1.0, 0.0, 0.0]) for i in range(200, 320)]
-    rows += [(7, [0.5, 0.5, 0.5, 0.5]), (7, [0.25, 0.0, 0.0, 0.0]), (21, None), (28, [None, 1.0, 1.0, 1.0]), (35, [float("nan"), 0, 0, 0]),
-             (42, [float("inf"), 0, 0, 0]), (None, [1.0, 1.0, 1.0, 1.0]), (49, [1.0, 2.0]), (50, [3.0, 4.0]), (56, []), (150, [1.0, 1.0, 0.0, 0.0])]
+    rows += [(7, [0.5, 0.5, 0.5, 0.5]), (7, [0.25, 0.0, 0.0, 0.0]), (21, None), (28, [None, 1.0, 1.0, 1.0]), (35, [float("nan"), 0.0, 0.0, 0.0]),
+             (42, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0, 1.0]), (49, [1.0, 2.0]), (50, [3.0, 4.0]), (56, []), (150, [1.0, 1.0, 0.0, 0.0])]
     check(spark, rows)
 
 
