@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import stored, texts
+from sheafline.llm.common import give_back, stored, texts
 from sheafline.llm.components import connected_components
 
 BITS, RADIUS = 64, 2
@@ -164,6 +164,8 @@ def _prints(text: Column) -> Column:
         for batch in batches:
             both = [prints_of(t) for t in batch]
             yield pd.DataFrame({"narrow": pd.Series([n for n, _ in both], dtype=object), "wide": pd.Series([w for _, w in both], dtype=object)})
+            del both
+        give_back()
 
     return made(F.coalesce(text.cast("string"), F.lit("")))
 

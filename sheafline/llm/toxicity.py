@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import hash_sample, stored, texts
+from sheafline.llm.common import give_back, hash_sample, stored, texts
 
 # Labelled rows a model is fitted on, at most, ordinary and toxic: those with the least hash of their id.
 ORDINARY_ROWS, TOXIC_ROWS = 10_000, 5_000
@@ -211,6 +211,8 @@ def figures(text: Column, held: Broadcast) -> Column:
                 ratios.learn(found)
                 out += [figures_of(ratios, words) for words in found]
             yield pd.Series(out, dtype=object)
+        ratios.clear()
+        give_back()
 
     return made(F.coalesce(text.cast("string"), F.lit("")))
 
