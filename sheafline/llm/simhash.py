@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -119,6 +119,8 @@ NARROW, NARROW_RADIUS, SHINGLE, WIDE = 3, 4, 5, 256
 # Sets of equal size and Jaccard similarity 0.8 have the cosine 8/9, and so 38.6 of 256 bits apart; a standard deviation of
 # that number is added, so that most pairs just above the limit are linked.
 SIMILARITY = 0.8
+# Members of a bucket that are compared with all others of it in the first round.
+LEADERS = 6
 _TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
 
@@ -170,23 +172,53 @@ def _prints(text: Column) -> Column:
     return made(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def linked_in_buckets(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``node, component`` for the nodes linked to others: any two nodes of a bucket (``t, bucket, node``) that ``verified`` (pairs
+    ``a, b`` in, those that are links out) keeps are in one component.
+
+    In each round some members of each bucket are compared with all members of other components, linked, and then leave it. They
+    are drawn from outside the bucket's largest component; a bucket whose members are all in one component is done. Buckets
+    of up to ``LEADERS + 1`` members are compared whole at once, a group of near copies falls together in the first round whatever its
+    size, and only members that stay unlinked though they meet are compared one with another: four times as many a round.
+    """
+    held, names, links, leaders = stored(buckets.withColumn("component", F.col("node")), "buckets"), None, None, LEADERS
+    while True:
+        counted = held.groupBy("t", "bucket", "component").agg(F.count("*").alias("n"))
+        met = counted.groupBy("t", "bucket").agg(
+            F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1")
+        met = met.select("t", "bucket", F.col("most.component").alias("main"), (F.col("n") - F.col("most.n")).alias("others"))
+        # The same nodes lead in all buckets of like size, so that pairs repeat there and are judged once.
+        drawn = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(1 << 30)) / (1 << 30) * F.col("others") < leaders
+        held = stored(held.join(met, ["t", "bucket"]).select(
+            "t", "bucket", "node", "component", ((F.col("component") != F.col("main")) & drawn).alias("leads")), "members")
+        if held.isEmpty():
+            break
+        first = held.where("leads").select("t", "bucket", F.col("node").alias("x"), F.col("component").alias("_of"))
+        pairs = first.join(held, ["t", "bucket"]).where("component <> _of").select(
+            F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        found = stored(verified(pairs), "similar")
+        links = found if links is None else links.unionAll(found)
+        names = stored(connected_components(links), "components")
+        held = held.where("NOT leads").select("t", "bucket", "node").join(names, "node", "left").withColumn(
+            "component", F.coalesce("component", "node"))
+        leaders *= 4
+    return names if names is not None else buckets.select("node", F.col("node").alias("component")).limit(0)
+
+
 def similar_groups(rows: DataFrame, limit: int) -> DataFrame:
     """``node, group`` for those nodes of ``rows`` (``node, narrow, wide``, distinct) that are linked to others.
 
-    Nodes of which one narrow fingerprint agrees under a covering mask of ``NARROW_RADIUS`` meet in a bucket; each is compared
-    there with the bucket's smallest node, and linked to it if their wide fingerprints differ in at most ``limit`` bits. Work is linear
-    in the nodes, whatever a bucket holds; nodes of one group lead different buckets, and links over several steps join them."""
+    Nodes of which one narrow fingerprint agrees under a covering mask of ``NARROW_RADIUS`` meet in a bucket, and any two that meet
+    are linked if their wide fingerprints differ in at most ``limit`` bits."""
     masks = covering_masks(NARROW_RADIUS)
     tables = F.array(*[F.struct(F.lit(p * len(masks) + t).alias("t"), F.get("narrow", F.lit(p)).bitwiseAND(F.lit(_signed(m))).alias("bucket"))
                        for p in range(NARROW) for t, m in enumerate(masks)])
     dealt = rows.select("node", F.explode(tables).alias("x")).select("node", "x.t", "x.bucket")
-    met = dealt.groupBy("t", "bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
-    pairs = dealt.join(met, ["t", "bucket"]).where("node > a").select("a", F.col("node").alias("b")).distinct()
     first = rows.select(F.col("node").alias("a"), F.col("wide").alias("wide_a"))
     second = rows.select(F.col("node").alias("b"), F.col("wide").alias("wide_b"))
     apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    links = pairs.join(first, "a").join(second, "b").where(apart <= limit).select("a", "b")
-    return connected_components(links).withColumnRenamed("component", "group")
+    near = lambda pairs: pairs.join(first, "a").join(second, "b").where(apart <= limit).select("a", "b")
+    return linked_in_buckets(dealt, near).withColumnRenamed("component", "group")
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

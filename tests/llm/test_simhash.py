@@ -114,3 +114,16 @@ def test_similar_documents_leave_one(spark):
         first.setdefault(g, i)
     assert kept == sorted([(i, g) for g, i in first.items()] + [(5, 90), (7, 91)])
     assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+def kept_ids(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs).collect())
+
+
+def test_copies_unlike_the_first_of_their_bucket_leave_one(spark):
+    rnd, bag, texts = random.Random(12), [f"f{i}" for i in range(220)], []
+    for _ in range(15):  # forms: the same words in another order
+        words = rnd.sample(bag, len(bag))
+        texts += [" ".join(words), " ".join(words[:70] + ["odd"] + words[71:])]
+    assert kept_ids(spark, texts) == list(range(0, 30, 2))
