@@ -14,7 +14,6 @@ the members however many of them a bucket holds.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -112,16 +111,20 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, id_column: str
 # --- groups of similar documents: a wider radius, and similarity of five-word shingles ------------------
 
 
-# Fingerprints of 64 bits that candidates are found by, the radius of each, words of a shingle, and bits of the fingerprint that
-# judges candidates. Texts with Jaccard similarity 0.8 of five-word shingles share 98 of 100 words, about 4 of 64 bits; three
-# fingerprints of their own hashes leave few such pairs outside the radius in all of them.
-NARROW, NARROW_RADIUS, SHINGLE, WIDE = 3, 4, 5, 256
+# Words of a shingle, and bits of the fingerprint that judges candidates. Candidates agree in one of ``BANDS`` bands of ``BAND`` least
+# hashes of their shingles each: of pairs with Jaccard similarity 0.8 all but (1 - 0.8^5)^28 = 15 in a million do, wherever their
+# words differ, and fewer of more similar ones.
+SHINGLE, WIDE, BANDS, BAND = 5, 256, 28, 5
+# Shingle hashes that all least hashes are taken over at once.
+LEAST_BLOCK = 1 << 11
 # Sets of equal size and Jaccard similarity 0.8 have the cosine 8/9, and so 38.6 of 256 bits apart; a standard deviation of
 # that number is added, so that most pairs just above the limit are linked.
 SIMILARITY = 0.8
 # Members of a bucket that are compared with all others of it in the first round.
 LEADERS = 6
 _TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
+# What the hashes are mixed with, an odd number for each order.
+_ORDERS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND), dtype=np.uint64) | np.uint64(1)
 
 
 def wide_limit(similarity: float = SIMILARITY) -> int:
@@ -130,14 +133,13 @@ def wide_limit(similarity: float = SIMILARITY) -> int:
     return int(WIDE * share + math.sqrt(WIDE * share * (1 - share)))
 
 
-def _majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
-    """The bits set in over half of the weight, as a signed number."""
-    weights = np.ones(len(hashes), dtype=np.float32) if weights is None else weights.astype(np.float32)
-    ones = np.zeros(BITS, dtype=np.float64)
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed number."""
+    ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), BLOCK):
         bits = np.unpackbits(hashes[at:at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += weights[at:at + BLOCK] @ bits.astype(np.float32)
-    return int(np.packbits(2 * ones > weights.sum(dtype=np.float64), bitorder="little").view("<i8")[0])
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def _turned(hashes: np.ndarray, turn: np.uint64) -> np.ndarray:
@@ -146,27 +148,40 @@ def _turned(hashes: np.ndarray, turn: np.uint64) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(31))
 
 
-def prints_of(text: str) -> tuple[list[int], list[int]]:
-    """Fingerprints of the words (``NARROW`` of 64 bits; a word counts ``1 + ln`` of its occurrences), which change little with
-    single words, and of the distinct five-word shingles (256 bits), which stands for their Jaccard similarity."""
+def shingle_hashes(text: str) -> np.ndarray:
+    """Sorted hashes of the distinct five-word shingles; of the whole, where there are fewer words; none without words."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return [0] * NARROW, [0] * len(_TURNS)
-    counted = Counter(words)
-    of_words = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counted), dtype="<u8")
-    weights = 1 + np.log(np.fromiter(counted.values(), dtype=np.float64))
+        return np.zeros(0, dtype="<u8")
     shingles = set(map(b" ".join, zip(*(words[k:] for k in range(SHINGLE))))) or {b" ".join(words)}
-    hashes = np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype="<u8"))
-    return [_majority(_turned(of_words, t), weights) for t in _TURNS[:NARROW]], [_majority(_turned(hashes, t)) for t in _TURNS]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype="<u8"))
+
+
+def bands_of(hashes: np.ndarray) -> list[int]:
+    """A number for each band: equal where the least hashes of two sets under the band's ``BAND`` orders are equal."""
+    least = np.full(BANDS * BAND, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), LEAST_BLOCK):
+        turned = (hashes[at:at + LEAST_BLOCK, None] ^ _ORDERS[0]) * _ORDERS[1]
+        np.minimum(least, turned.min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(b.tobytes(), SEED) - 2**63 for b in least.reshape(BANDS, BAND)]
+
+
+def prints_of(text: str) -> tuple[int, list[int], list[int]]:
+    """Of the set of a text's distinct five-word shingles: a number of its own, its bands, and a fingerprint of 256 bits, which
+    stands for Jaccard similarity. A text without words has no bands."""
+    hashes = shingle_hashes(text)
+    node = xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - 2**63
+    return (node, bands_of(hashes), [_majority(_turned(hashes, t)) for t in _TURNS]) if len(hashes) else (node, [], [0] * len(_TURNS))
 
 
 def _prints(text: Column) -> Column:
-    @F.pandas_udf("narrow array<long>, wide array<long>")
+    @F.pandas_udf("node long, bands array<long>, wide array<long>")
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            both = [prints_of(t) for t in batch]
-            yield pd.DataFrame({"narrow": pd.Series([n for n, _ in both], dtype=object), "wide": pd.Series([w for _, w in both], dtype=object)})
-            del both
+            made_of = [prints_of(t) for t in batch]
+            node, bands, wide = (pd.Series([p[k] for p in made_of], dtype=d) for k, d in enumerate(("int64", object, object)))
+            yield pd.DataFrame({"node": node, "bands": bands, "wide": wide})
+            del made_of, node, bands, wide
         give_back()
 
     return made(F.coalesce(text.cast("string"), F.lit("")))
@@ -206,14 +221,11 @@ def linked_in_buckets(buckets: DataFrame, verified: Callable[[DataFrame], DataFr
 
 
 def similar_groups(rows: DataFrame, limit: int) -> DataFrame:
-    """``node, group`` for those nodes of ``rows`` (``node, narrow, wide``, distinct) that are linked to others.
-
-    Nodes of which one narrow fingerprint agrees under a covering mask of ``NARROW_RADIUS`` meet in a bucket, and any two that meet
-    are linked if their wide fingerprints differ in at most ``limit`` bits."""
-    masks = covering_masks(NARROW_RADIUS)
-    tables = F.array(*[F.struct(F.lit(p * len(masks) + t).alias("t"), F.get("narrow", F.lit(p)).bitwiseAND(F.lit(_signed(m))).alias("bucket"))
-                       for p in range(NARROW) for t, m in enumerate(masks)])
-    dealt = rows.select("node", F.explode(tables).alias("x")).select("node", "x.t", "x.bucket")
+    """``node, group`` for those nodes of ``rows`` (``node, bands, wide``, distinct) that are linked to others.
+
+    Nodes that agree in a band meet in a bucket, and any two that meet are linked if their wide fingerprints differ in at most
+    ``limit`` bits."""
+    dealt = rows.select("node", F.posexplode("bands").alias("t", "bucket"))
     first = rows.select(F.col("node").alias("a"), F.col("wide").alias("wide_a"))
     second = rows.select(F.col("node").alias("b"), F.col("wide").alias("wide_b"))
     apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
@@ -231,9 +243,9 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     hash_ = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select(id_.alias("id"), hash_.alias("hash"), _prints(F.col("text")).alias("p")).select(
-        "id", "hash", "p.narrow", "p.wide", F.xxhash64("p.narrow", "p.wide").alias("node"))
+        "id", "hash", "p.node", "p.bands", "p.wide")
     rows = stored(rows, "prints")
-    nodes = stored(rows.select("node", "narrow", "wide").distinct(), "nodes")
+    nodes = stored(rows.select("node", "bands", "wide").dropDuplicates(["node"]), "nodes")
     found = similar_groups(nodes, wide_limit(similarity))
     # Copies meet in their node before anything is joined, so no key of the join has more than one row.
     firsts = rows.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("k"))

@@ -127,3 +127,25 @@ def test_copies_unlike_the_first_of_their_bucket_leave_one(spark):
         words = rnd.sample(bag, len(bag))
         texts += [" ".join(words), " ".join(words[:70] + ["odd"] + words[71:])]
     assert kept_ids(spark, texts) == list(range(0, 30, 2))
+
+
+def shingle_set(text):
+    words = text.split()
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+
+
+def alike(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def test_blocks_of_new_or_missing_words_are_found(spark):
+    rnd, texts = random.Random(21), []
+    for i in range(40):
+        words = [f"d{i}x{rnd.randrange(10**6)}" for _ in range(200)]
+        n = 25 + i % 16
+        block, at = [f"n{i}x{k}" for k in range(n)], rnd.choice([0, 100, 200])
+        texts += [" ".join(words), " ".join(words[:at] + block + words[at:]) if i % 2 else " ".join(words[n:])]
+    pairs = [alike(texts[i], texts[i + 1]) for i in range(0, 80, 2)]
+    kept, near = kept_ids(spark, texts), [i + 1 for i in range(0, 80, 2) if pairs[i // 2] >= 0.85]
+    assert len(near) > 5 and not set(near) & set(kept)
