@@ -117,8 +117,9 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, id_column: str
 SHINGLE, WIDE, BANDS, BAND = 5, 256, 28, 5
 # Shingle hashes that all least hashes are taken over at once.
 LEAST_BLOCK = 1 << 11
-# Sets of equal size and Jaccard similarity 0.8 have the cosine 8/9, and so 38.6 of 256 bits apart; a standard deviation of
-# that number is added, so that most pairs just above the limit are linked.
+# Sets of equal size and Jaccard similarity 0.8 have the cosine 8/9, and so 38.6 of 256 bits apart, others fewer; five standard
+# deviations of that number are added, so that this leaves out only pairs that are surely below the limit. The others are
+# compared by their shingles.
 SIMILARITY = 0.8
 # Members of a bucket that are compared with all others of it in the first round.
 LEADERS = 6
@@ -128,9 +129,9 @@ _ORDERS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND), dtyp
 
 
 def wide_limit(similarity: float = SIMILARITY) -> int:
-    """Bits of ``WIDE`` that two texts of this Jaccard similarity may differ in."""
+    """Bits of ``WIDE`` that two texts of this Jaccard similarity or more hardly ever differ in."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(WIDE * share + math.sqrt(WIDE * share * (1 - share)))
+    return int(WIDE * share + 5 * math.sqrt(WIDE * share * (1 - share)))
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -220,17 +221,41 @@ def linked_in_buckets(buckets: DataFrame, verified: Callable[[DataFrame], DataFr
     return names if names is not None else buckets.select("node", F.col("node").alias("component")).limit(0)
 
 
-def similar_groups(rows: DataFrame, limit: int) -> DataFrame:
+def _hashes(text: Column) -> Column:
+    @F.pandas_udf("array<long>")
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([shingle_hashes(t).view("<i8") for t in batch], dtype=object)
+        give_back()
+
+    return made(text)
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those ``a, b`` of ``pairs`` whose sets (``node, hashes``) have this Jaccard similarity or more."""
+    first = sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a"))
+    second = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b"))
+    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    counted = pairs.join(first, "a").join(second, "b").select("a", "b", both.alias("n"), (F.size("hashes_a") + F.size("hashes_b") - both).alias("of"))
+    return counted.where(F.col("n") >= F.col("of") * similarity - 1e-9).select("a", "b")
+
+
+def similar_groups(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """``node, group`` for those nodes of ``rows`` (``node, bands, wide``, distinct) that are linked to others.
 
-    Nodes that agree in a band meet in a bucket, and any two that meet are linked if their wide fingerprints differ in at most
-    ``limit`` bits."""
+    Nodes that agree in a band meet in a bucket. Any two that meet, and whose wide fingerprints do not rule it out, are compared by
+    all their shingles (``sets_of`` makes ``node, hashes`` of a table of nodes) and linked at ``similarity`` or more."""
     dealt = rows.select("node", F.posexplode("bands").alias("t", "bucket"))
     first = rows.select(F.col("node").alias("a"), F.col("wide").alias("wide_a"))
     second = rows.select(F.col("node").alias("b"), F.col("wide").alias("wide_b"))
     apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    near = lambda pairs: pairs.join(first, "a").join(second, "b").where(apart <= limit).select("a", "b")
-    return linked_in_buckets(dealt, near).withColumnRenamed("component", "group")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = stored(pairs.join(first, "a").join(second, "b").where(apart <= wide_limit(similarity)).select("a", "b"), "candidates")
+        needed = near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))).distinct()
+        return alike(near, stored(sets_of(needed), "sets"), similarity)
+
+    return linked_in_buckets(dealt, verified).withColumnRenamed("component", "group")
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -246,9 +271,15 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
         "id", "hash", "p.node", "p.bands", "p.wide")
     rows = stored(rows, "prints")
     nodes = stored(rows.select("node", "bands", "wide").dropDuplicates(["node"]), "nodes")
-    found = similar_groups(nodes, wide_limit(similarity))
     # Copies meet in their node before anything is joined, so no key of the join has more than one row.
     firsts = rows.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("k"))
+    held = docs.select(id_.alias("id"), hash_.alias("hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def sets_of(needed: DataFrame) -> DataFrame:
+        chosen = held.join(firsts.join(needed, "node").select("node", "k.id", "k.hash"), ["id", "hash"])
+        return chosen.select("node", _hashes(F.col("text")).alias("hashes")).dropDuplicates(["node"])
+
+    found = similar_groups(nodes, sets_of, similarity)
     grouped = firsts.join(found, "node", "left").withColumn("group", F.coalesce("group", "node"))
     first = grouped.groupBy("group").agg(F.min("k").alias("k")).select(F.col("k.id").alias("_id"), F.col("k.hash").alias("_hash"))
     # The frame's own columns move into one struct, so that no name of theirs can clash.

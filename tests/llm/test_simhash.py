@@ -149,3 +149,14 @@ def test_blocks_of_new_or_missing_words_are_found(spark):
     pairs = [alike(texts[i], texts[i + 1]) for i in range(0, 80, 2)]
     kept, near = kept_ids(spark, texts), [i + 1 for i in range(0, 80, 2) if pairs[i // 2] >= 0.85]
     assert len(near) > 5 and not set(near) & set(kept)
+
+
+def test_links_are_exactly_the_pairs_at_the_limit(spark):
+    rnd, texts = random.Random(34), []
+    for i in range(120):
+        words = [f"e{i}x{rnd.randrange(10**6)}" for _ in range(150)]
+        n = 28 + i % 25  # similarities about 0.74 to 0.84
+        texts += [" ".join(words), " ".join(words + [f"m{i}x{k}" for k in range(n)])]
+    far = {i + 1 for i in range(0, 240, 2) if alike(texts[i], texts[i + 1]) < 0.8}
+    assert 30 < len(far) < 90
+    assert kept_ids(spark, texts) == sorted(set(range(0, 240, 2)) | far)
