@@ -3,7 +3,8 @@
 A seed is the hash of the words at the places a fixed mask leaves open, so a changed word at a closed place does not hide
 it. Seeds of all benchmark items are joined with seeds of all places of all texts; around each hit the aligned words of text
 and item are compared, and a passage counts when some stretch of ``WINDOW`` words (or the whole item, if shorter) has at least
-``SHARE`` of them equal. Any four changed words in twenty leave at least one of the two masks a place (tests try them all).
+``SHARE`` of them equal. Any four changed words in twenty leave at least one of the two masks a place; items of lengths at which the two
+do not suffice have masks of their own, so every passage is found that a comparison of all places would find (tests try all changes).
 
 Everything is expressions and joins. Places are exploded where the text lies and only hits leave a task; the benchmark is sent
 to the tasks in blocks of bounded size, one pass over the texts each, so nothing of unknown size is broadcast.
@@ -11,6 +12,7 @@ to the tasks in blocks of bounded size, one pass over the texts each, so nothing
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,33 +20,39 @@ from pyspark.sql import functions as F
 
 from sheafline.llm.common import stored, texts
 
-# Fixed value: the masks; 1 is a word that must be equal.
+# The masks; 1 is a word that must be equal. Stretches of some lengths below ``WINDOW`` have others, as all changes that
+# ``SHARE`` allows would not leave the two a place.
 MASKS = ("111011", "1101011")
 WINDOW, SHARE = 20, 0.8
+OTHER_MASKS = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("111", "11011"), 6: ("1111", "110011"), 7: MASKS + ("11111",),
+               10: MASKS + ("1110011",), 11: MASKS + ("11111",), 12: MASKS + ("11111",), 15: MASKS + ("11111",)}
+# Letters of scripts that are written without spaces (Thai, Lao, Burmese, Khmer, kana, Han): each is a word.
+UNSPACED = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{323af}]"
 # Words of benchmark items in one broadcast block.
 BLOCK_WORDS = 400_000
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    """Lower-case runs of letters and digits; single letters of scripts without spaces."""
+    apart = F.when(text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+    return F.array_remove(F.split(F.lower(apart), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(held: Column, size: Column, at: Column) -> Column:
-    """``array<struct<seed, width>>`` of the masks at place ``at`` (from 0); null seeds where a mask does not fit."""
-    made = []
-    for number, mask in enumerate(MASKS):
-        open_ = [F.get(held, at + k) for k, c in enumerate(mask) if c == "1"]
-        made.append(F.struct(F.when(at + len(mask) <= size, F.xxhash64(F.lit(number), *open_)).alias("seed"), F.lit(len(mask)).alias("width")))
-    return F.array(*made)
+def masks_of(need: int) -> tuple[str, ...]:
+    """The masks that find stretches of so many words."""
+    return OTHER_MASKS.get(need, MASKS)
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """A row for each place of ``words`` and each mask that fits there: ``at, seed, width``."""
-    least = min(map(len, MASKS))
-    size = F.size("words")
+def _placed(rows: DataFrame, masks: list[str], fits: Callable[[str], Column] = lambda mask: F.lit(True)) -> DataFrame:
+    """A row for each place of ``words`` and each mask that ends within them and ``fits``: ``at, seed, width``."""
+    least, size, at = min(map(len, masks)), F.size("words"), F.col("at")
+    made = []
+    for mask in masks:
+        open_ = [F.get("words", at + k) for k, c in enumerate(mask) if c == "1"]
+        seed = F.when((at + len(mask) <= size) & fits(mask), F.xxhash64(F.lit(mask), *open_))
+        made.append(F.struct(seed.alias("seed"), F.lit(len(mask)).alias("width")))
     there = rows.where(size >= least).withColumn("at", F.explode(F.sequence(F.lit(0), size - least)))
-    each = there.withColumn("_s", F.explode(_seeds(F.col("words"), size, F.col("at"))))
+    each = there.withColumn("_s", F.explode(F.array(*made)))
     return each.select(*rows.columns, "at", F.col("_s.seed").alias("seed"), F.col("_s.width").alias("width")).where("seed IS NOT NULL")
 
 
@@ -70,7 +78,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     ``window`` is the number of words compared, ``matched`` the most of them equal in one stretch, ``start`` the first such
     stretch's word number in the text (from 0); ``text_hash`` is ``xxhash64`` of the text. Words are lower-case runs of letters
     and digits, so case, marks and line ends do not matter. Rows equal in id and text give one row. A null or empty text holds
-    nothing; a null id stays null; a null or empty item, or one shorter than every mask, is never found; items that repeat an
+    nothing; a null id stays null; a null or empty item is never found, and one of up to four words only whole; items that repeat an
     ``item_id`` count under it. Empty tables give no rows; other columns are not looked at. Texts are read whole.
     """
     rows = texts(docs, id_column, text_column).select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
@@ -79,17 +87,21 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     items = stored(items.where(F.size("item_words") > 0), "items")
     n_words = items.agg(F.coalesce(F.sum(F.size("item_words")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-n_words // BLOCK_WORDS))
-    found = [_of_block(rows, items.where(F.pmod("item_key", F.lit(n_blocks)) == b), window, share) for b in range(n_blocks)]
+    lengths = [r[0] for r in items.select(F.least(F.lit(window), F.size("item_words"))).distinct().collect()]  # at most ``window``
+    found = [_of_block(rows, items.where(F.pmod("item_key", F.lit(n_blocks)) == b), lengths, window, share) for b in range(n_blocks)]
     every = reduce(DataFrame.unionAll, found)
     return every.groupBy("doc_id", "text_hash", "item_id").agg(
         F.max(F.struct("matched", "back", "window")).alias("best")).select(
         "doc_id", "text_hash", "item_id", "best.matched", "best.window", (-F.col("best.back")).alias("start"))
 
 
-def _of_block(rows: DataFrame, items: DataFrame, window: int, share: float) -> DataFrame:
-    seeds = _placed(items.select("item_key", F.col("item_words").alias("words"))).select(
-        "seed", "item_key", F.col("at").alias("item_at"))
-    hits = _placed(rows).join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item_key")
+def _of_block(rows: DataFrame, items: DataFrame, lengths: list[int], window: int, share: float) -> DataFrame:
+    masks = sorted({mask for need in lengths for mask in masks_of(need)} or MASKS)
+    need = F.least(F.lit(window), F.size("words"))
+    fits = lambda mask: need.isin([n for n in lengths if mask in masks_of(n)])
+    seeds = _placed(items.select("item_key", F.col("item_words").alias("words")), masks, fits).select(
+        "seed", "item_key", F.col("at").alias("item_at"), F.col("width").alias("item_width"))
+    hits = _placed(rows, masks).join(F.broadcast(seeds), "seed").where("width = item_width").join(F.broadcast(items), "item_key")
     return _verified(hits, window, share).select(
         "doc_id", "text_hash", "item_id", F.col("matched").cast("int").alias("matched"), (-F.col("start")).cast("int").alias("back"),
         F.col("need").cast("int").alias("window"))

@@ -90,3 +90,33 @@ def test_empty_tables(spark):
     docs, none = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string"), "item_id long, text string"
     assert d.find_passages(docs, spark.createDataFrame([], none)).count() == 0
     assert d.find_passages(docs.limit(0), spark.createDataFrame([(1, "a b c d e f g h")], none)).count() == 0
+
+
+def test_short_items_are_found_under_all_changes(spark):
+    items = [(m, " ".join(f"i{m}w{k}" for k in range(m))) for m in range(1, 21)]
+    docs = []
+    for m, item in items:
+        for bad in itertools.combinations(range(m), m - -(-m * 4 // 5)):
+            docs.append((len(docs), m, " ".join(["before"] + ["changed" if k in bad else w for k, w in enumerate(item.split())])))
+    frame = spark.createDataFrame(docs, "doc_id long, m int, text string").repartition(4)
+    got = d.find_passages(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["matched"], r["window"]) for r in got) == [(i, m, -(-m * 4 // 5), m) for i, m, _ in docs]
+
+
+def test_short_items_and_scripts_without_spaces_match_a_plain_comparison(spark):
+    rnd = random.Random(6)
+    items = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(1 + i % 25))) for i in range(50)]
+    docs = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 60)))) for i in range(40)]
+    han = "\u6771\u4eac\u90fd\u306f\u65e5\u672c\u306e\u9996\u90fd\u3067\u3042\u308b"
+    items, docs = items + [(99, han)], docs + [(99, "\u4eca\u65e5" + han[:5] + "\u5927" + han[6:] + "\u3068"), (98, han[:6])]
+    got = d.find_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = set()
+    for doc_id, text in docs:
+        w = list(text) if doc_id > 90 else words(text)
+        for item_id, item in items:
+            v = list(item) if item_id > 90 else words(item)
+            need = min(20, len(v))
+            starts = ((s, x) for s in range(len(v) - need + 1) for x in range(-need, len(w)))
+            if any(sum(0 <= x + k < len(w) and w[x + k] == v[s + k] for k in range(need)) >= -(-need * 4 // 5) for s, x in starts):
+                want.add((doc_id, item_id))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and (99, 99) in want and (98, 99) not in want
