@@ -120,13 +120,13 @@ def fit(docs: DataFrame, held_out: Column | None = None, rows: int = SAMPLE_ROWS
     not used. Without any the network is none and every text is undetermined.
     """
     spark = docs.sparkSession
-    labelled = docs.where(F.col("lang").isNotNull())
+    labelled = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
     if held_out is not None:
         labelled = labelled.where(~held_out)
     start = lambda k: F.pmod(F.xxhash64("doc_id", k), F.greatest(F.char_length("text") - WINDOW + 1, F.lit(1))).cast("int") + 1
     cuts = F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda k: F.substr("text", start(k), F.lit(WINDOW)))
     order = F.xxhash64("doc_id", "lang", F.lit("sample"))
-    chosen = hash_sample(labelled.where(has_letter(F.col("text"))).select("doc_id", "lang", cuts.alias("cuts")), labelled.count(), rows, order)
+    chosen = hash_sample(labelled.select("doc_id", "lang", cuts.alias("cuts")), labelled.count(), rows, order)
     sample = sorted(chosen.select("lang", "cuts").collect())
     languages = sorted({r["lang"] for r in sample})
     if not languages:

@@ -81,3 +81,11 @@ def test_nothing_to_learn_from(spark):
     model = language.fit(docs)
     assert {(r["lang_pred"], r["score"]) for r in language.identify(docs, model).collect()} == {("und", 0.0)}
     assert language.identify(docs.limit(0), model).count() == 0
+
+
+def test_rows_without_letters_do_not_thin_the_sample(spark, monkeypatch):
+    seen, real = [], language.hash_sample
+    monkeypatch.setattr(language, "hash_sample", lambda df, n, rows, order: seen.append((n, real(df, n, rows, order).count())) or df.limit(0))
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'x' AS lang", "CASE WHEN id % 10 = 0 THEN concat('word ', id) ELSE '12' END AS text")
+    language.fit(docs, rows=100)
+    assert seen == [(200, 100)]
