@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import decontaminate, language, pieces, pii, secrets, simhash, spans, substrings, tokens, topk, toxicity
+from sheafline.llm import (
+    bpe, centroids, decontaminate, importance, language, pieces, pii, secrets, simhash, spans, substrings, tokens, topk, toxicity,
+)
 from sheafline.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +117,69 @@ def op9_decontamination(spark, sf_dir):
 @query("op10_tokens")
 def op10_tokens(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op11_bpe")
+def op11_bpe(spark, sf_dir):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    made = bpe.decode_texts(bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    written = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written.cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op12_importance", r"""
+WITH steps AS (SELECT n, list_reduce(list_prepend(n, range(8)),
+                 lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(n)),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY n) AS c FROM steps),
+docs AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+source AS MATERIALIZED (SELECT doc_id, unnest(w) AS f FROM docs),
+target AS MATERIALIZED (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+coded AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM source UNION SELECT f FROM target)),
+buckets AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295,
+           list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT))),
+           lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM coded, crc_table),
+s AS (SELECT bucket, count(*) AS s FROM source JOIN buckets USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM target JOIN buckets USING (f) GROUP BY bucket),
+gains AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM source) + 10000)::DOUBLE
+           / ((s + 1)::DOUBLE * ((SELECT count(*) FROM target) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+sums AS (SELECT doc_id, sum(gain) AS g, count(*) AS n FROM source JOIN buckets USING (f) JOIN gains USING (bucket) GROUP BY doc_id),
+weights AS (SELECT doc_id, coalesce(n, 0) AS n_features, CAST(coalesce((g - ((g % n) + n) % n) // n, 0) AS BIGINT) AS weight
+            FROM docs LEFT JOIN sums USING (doc_id)),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))
+             AS BIGINT) AS score FROM weights),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)""")
+def op12_importance(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of assignment and floored means, written out."""
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS w
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), w) - 1 AS cluster, w AS m FROM v
+  ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), w LIMIT {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(w) AS w, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance
+  FROM (SELECT r, vec_id, w, cluster, CAST(list_sum(list_transform(list_zip(w, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+        FROM v, c{i}) GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""p{i} AS (SELECT cluster, k, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(w) AS x, unnest(range(1, 65)) AS k FROM a{i})
+  GROUP BY cluster, k),
+m{i} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY k) AS m FROM p{i} GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN m{i} USING (cluster))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+@query("op13_centroids", _centroid_sql())
+def op13_centroids(spark, sf_dir):
+    found, final = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    names = spark.createDataFrame(list(enumerate(centroids.digests(final))), "cluster int, centroid_sha256 string")
+    return found.join(F.broadcast(names), "cluster").select(*found.columns, "centroid_sha256")
