@@ -26,6 +26,7 @@ from sheafline.operators import (
     search,
     trend,
 )
+from sheafline.plans import answers
 from sheafline.plans import profile as profiles
 from sheafline.session import scratch_path
 from sheafline.sources import documents, feeds, registry, tables
@@ -1234,6 +1235,148 @@ def _answers(spark, sf_dir):
     return evidence.synthesize(asked, told.select("question_id", "ord", "fact"), hits)
 
 
+# Questions about the sales, made from the events like those above, and the first words of every conversation.
+FACT_FORMS = (
+    "Show the top {k} products by revenue",
+    "Which category has the most units?",
+    "Top {k} categories by sales",
+    "How did revenue change over time by month?",
+    "Plot the units timeline by year for {type}",
+    "Forecast revenue for the next {k} months",
+    "Predict units for the next 2 quarters",
+    "What will {type} sales look like next year?",
+    "Are there unusual revenue values?",
+    "Any outliers in units by category?",
+    "Give me the kpis for {type}",
+    "How good is the data quality of the {type} dataset?",
+    "What are the total values?",
+    "What is the average of units in {type}?",
+    "What is the total revenue and how many units?",
+    "Show the top rated {type}",
+    "Why did revenue by category drop according to the policy?",
+    "What does the policy say about {type}?",
+    "Hello, what can you do about {type}?",
+    "Are there unusual {type} values?",
+)
+_FACT_FORMS_SQL = ", ".join("'" + q.replace("'", "''") + "'" for q in FACT_FORMS)
+FACT_QUESTIONS_SQL = f"""
+SELECT event_id * 2 AS question_id, replace(replace(list_extract([{_FACT_FORMS_SQL}], CAST(event_id % {len(FACT_FORMS)} + 1 AS INTEGER)),
+       '{{type}}', event_type), '{{k}}', json_extract_string(props, '$.k')) AS question FROM events
+UNION ALL SELECT (conv_id * 1000 + turn) * 2 + 1, text FROM conversations"""
+
+
+def _fact_questions(spark, sf_dir):
+    form = F.get(F.array(*[F.lit(q) for q in FACT_FORMS]), F.pmod(F.col("event_id"), F.lit(len(FACT_FORMS))).cast("int"))
+    filled = F.replace(F.replace(form, F.lit("{type}"), F.col("event_type")), F.lit("{k}"), F.get_json_object("props", "$.k"))
+    events = table(spark, sf_dir, "events").select((F.col("event_id") * 2).alias("question_id"), filled.alias("question"))
+    said = table(spark, sf_dir, "conversations").select(
+        ((F.col("conv_id") * 1000 + F.col("turn")) * 2 + 1).alias("question_id"), F.col("text").alias("question"))
+    return events.unionByName(said)
+
+
+def _question_facts(spark, sf_dir):
+    """Every question with the facts of the sales it asks for; revenue in whole units, so that sums do not depend on their order."""
+    sales = table(spark, sf_dir, "lineitem").select(
+        F.col("l_shipdate").alias("Date"), F.col("l_returnflag").alias("Product"), F.col("l_linestatus").alias("Category"),
+        F.col("l_quantity").cast("long").alias("Units"), F.floor("l_extendedprice").alias("Revenue"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_id"))
+    columns = profile.column_facts(sales, approx=True).select("ordinal", "name", "semantic_type", "dtype")
+    return answers.question_facts(_fact_questions(spark, sf_dir), sales, columns, "sales.csv", key="line_id")
+
+
+FACT_PLANS_SQL = f"""
+WITH sales AS MATERIALIZED (SELECT l_shipdate AS Date, l_returnflag AS Product, l_linestatus AS Category, CAST(l_quantity AS BIGINT) AS Units,
+  CAST(floor(l_extendedprice) AS BIGINT) AS Revenue, l_orderkey * 8 + l_linenumber AS line_id FROM lineitem),
+labels AS (SELECT i.intent, o.*, lower(a.question) AS q FROM ({_intent_sql(FACT_QUESTIONS_SQL)}) i
+  JOIN ({OPERATIONS_SQL.replace(EVENT_QUESTIONS_SQL, FACT_QUESTIONS_SQL)}) o USING (question_id) JOIN ({FACT_QUESTIONS_SQL}) a USING (question_id)),
+runs AS (SELECT *, CASE WHEN intent NOT IN ('DATA', 'HYBRID') THEN NULL
+    WHEN intent = 'DATA' AND regexp_matches(q, 'kpi|key performance indicator') THEN 'kpis'
+    WHEN intent = 'DATA' AND regexp_matches(q, 'data quality|quality score|missing value|health score|how good is my data') THEN 'quality'
+    WHEN intent = 'DATA' AND regexp_matches(q, 'unusual|anomaly|anomalies|outlier|abnormal') THEN CASE WHEN metric_column IS NOT NULL THEN 'anomalies' END
+    WHEN intent = 'DATA' AND (regexp_matches(q, 'forecast|predict|projected|projection|future|look like next')
+      OR regexp_matches(q, '\\bnext\\s+(\\d+\\s+)?(month|quarter|year|week|day)s?\\b')) THEN CASE WHEN metric_column IS NOT NULL THEN 'forecast' END
+    WHEN operation IN ('top', 'trend') THEN operation WHEN NOT ambiguous THEN 'overview' END AS run FROM labels),
+planned AS MATERIALIZED (SELECT question_id, intent, message, run,
+  CASE WHEN run IN ('top', 'trend', 'forecast', 'anomalies') THEN metric_column END AS m, CASE WHEN run = 'top' THEN dimension_column END AS d,
+  CASE WHEN run = 'anomalies' THEN dimension_column END AS shown_by, CASE WHEN run = 'top' THEN row_limit END AS n,
+  CASE WHEN run = 'forecast' THEN coalesce(periods, 3) END AS p,
+  CASE WHEN run IN ('trend', 'forecast') THEN coalesce(CASE frequency WHEN 'quarterly' THEN 'quarter' WHEN 'monthly' THEN 'month' WHEN 'yearly' THEN 'year'
+    WHEN 'weekly' THEN 'week' WHEN 'daily' THEN 'day' ELSE frequency END, 'auto') END AS f,
+  CASE WHEN run = 'overview' THEN list_filter(['Units', 'Revenue', 'line_id'], lambda c: contains(q, lower(c)) OR coalesce(metric_column = c, false)) END AS shown
+  FROM runs),
+plans AS MATERIALIZED (SELECT DISTINCT run, m, d, shown_by, n, p, f, shown FROM planned WHERE run IS NOT NULL),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY d, m ORDER BY v DESC, c) AS r FROM (
+  {' UNION ALL '.join(f"SELECT '{d}' AS d, '{m}' AS m, {d} AS c, CAST(sum({m}) AS DOUBLE) AS v FROM sales GROUP BY {d}" for d in ("Product", "Category") for m in ("Units", "Revenue"))})),
+freqs AS (SELECT CASE WHEN s <= 31 THEN 'day' WHEN s <= 180 THEN 'week' WHEN s <= 730 THEN 'month' WHEN s <= 1825 THEN 'quarter' ELSE 'year' END AS auto
+  FROM (SELECT date_diff('day', min(Date), max(Date)) AS s FROM sales)),
+dated AS MATERIALIZED (SELECT m, f, start, CAST(sum(v) AS DOUBLE) AS v, CASE f WHEN 'year' THEN strftime(start, '%Y') WHEN 'month' THEN strftime(start, '%Y-%m')
+    WHEN 'quarter' THEN concat(year(start), '-Q', quarter(start)) END AS label FROM (
+  SELECT m, f, date_trunc(f, Date) AS start, v FROM (SELECT Date, 'Units' AS m, Units AS v FROM sales UNION ALL SELECT Date, 'Revenue', Revenue FROM sales),
+  (SELECT unnest(['month', 'quarter', 'year']) AS f)) GROUP BY m, f, start),
+lines AS (SELECT m, f, regr_slope(v, i) AS slope, regr_intercept(v, i) AS base, count(*) AS c, CAST(max(start) AS DATE) AS latest
+  FROM (SELECT *, row_number() OVER (PARTITION BY m, f ORDER BY start) - 1 AS i FROM dated) GROUP BY m, f),
+ahead AS (SELECT l.*, p.p, p.f AS asked, k, CAST(latest + CASE l.f WHEN 'month' THEN to_months(CAST(k AS INTEGER)) WHEN 'quarter' THEN to_months(CAST(3 * k AS INTEGER))
+    ELSE to_years(CAST(k AS INTEGER)) END AS DATE) AS start, round(slope * (c - 1 + k) + base, 4) AS v
+  FROM (SELECT *, unnest(range(1, p + 1)) AS k FROM plans WHERE run = 'forecast') p, lines l, freqs WHERE l.m = p.m AND l.f = CASE p.f WHEN 'auto' THEN auto ELSE p.f END),
+bounds AS MATERIALIZED (SELECT 'Units' AS m, * FROM ({BOUNDS_SQL.format(keys="", v="Units", t="sales", group="")})
+  UNION ALL SELECT 'Revenue', * FROM ({BOUNDS_SQL.format(keys="", v="Revenue", t="sales", group="")})),
+outside AS MATERIALIZED (SELECT m, line_id, Date, Product, Category, v, v > upper_bound AS high, greatest(v - upper_bound, lower_bound - v) AS far FROM (
+  SELECT 'Units' AS m, line_id, Date, Product, Category, CAST(Units AS DOUBLE) AS v FROM sales UNION ALL SELECT 'Revenue', line_id, Date, Product, Category, Revenue FROM sales)
+  JOIN bounds USING (m) WHERE v < lower_bound OR v > upper_bound),
+listed AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY far DESC, line_id) AS r FROM outside),
+stats AS (SELECT 0 AS i, 'Units' AS m, sum(Units)::DOUBLE AS t, round(avg(Units), 2) AS a, min(Units)::DOUBLE AS x, max(Units)::DOUBLE AS y FROM sales
+  UNION ALL SELECT 1, 'Revenue', sum(Revenue)::DOUBLE, round(avg(Revenue), 2), min(Revenue)::DOUBLE, max(Revenue)::DOUBLE FROM sales),
+told AS (
+  SELECT plans, 0 AS ord, concat(c, ' generated the most ', lower(plans.m), ': ', {_number_sql('v')}, '.') AS fact FROM plans JOIN ranked ON ranked.d = plans.d AND ranked.m = plans.m WHERE run = 'top' AND r = 1
+  UNION ALL SELECT plans, r, concat(plans.d, ' ''', c, ''' had ', plans.m, ' of ', {_number_sql('v')}, '.') FROM plans JOIN ranked ON ranked.d = plans.d AND ranked.m = plans.m WHERE run = 'top' AND r <= n
+  UNION ALL SELECT plans, row_number() OVER (PARTITION BY plans ORDER BY label), concat(CASE dated.f WHEN 'month' THEN {MONTH_SQL.format(p='label')} ELSE label END, ' (', label, ') ', plans.m, ': ', {_number_sql('v')}, '.')
+    FROM plans, freqs, dated WHERE run = 'trend' AND dated.m = plans.m AND dated.f = CASE plans.f WHEN 'auto' THEN auto ELSE plans.f END
+  UNION ALL SELECT plans, -2, concat('Forecasted ', plans.m, ' for the next ', plans.p, ' ', a.f, ' period(s) based on ', c, ' historical observations.')
+    FROM plans JOIN ahead a ON a.m = plans.m AND a.p = plans.p AND a.asked = plans.f WHERE run = 'forecast' AND k = 1
+  UNION ALL SELECT plans, -1, concat('Observed ', CASE WHEN slope > 0.001 THEN 'upward' WHEN slope < -0.001 THEN 'downward' ELSE 'flat' END, ' linear trend with a slope of ',
+      {_number_sql('round(slope, 4)')}, ' per ', a.f, ' period.') FROM plans JOIN ahead a ON a.m = plans.m AND a.p = plans.p AND a.asked = plans.f WHERE run = 'forecast' AND k = 1
+  UNION ALL SELECT plans, k, concat('Projected ', plans.m, ' for ', CASE a.f WHEN 'year' THEN strftime(start, '%Y') WHEN 'quarter' THEN concat(year(start), '-Q', quarter(start))
+      ELSE strftime(start, '%b %Y') END, ': ', {_number_sql('v')}, '.') FROM plans JOIN ahead a ON a.m = plans.m AND a.p = plans.p AND a.asked = plans.f WHERE run = 'forecast'
+  UNION ALL SELECT plans, -2, concat('Detected ', n, ' statistical anomalies in ', m, ' (', CAST(round(100.0 * n / valid_count, 2) AS DOUBLE), '% of ', valid_count, ' observations).')
+    FROM (SELECT plans, plans.m, valid_count, (SELECT count(*) FROM outside WHERE outside.m = plans.m) AS n FROM plans JOIN bounds USING (m) WHERE run = 'anomalies')
+  UNION ALL SELECT plans, -1, concat('IQR bounds for ', plans.m, ': lower bound = x, upper bound = x (Q1 = x, Q3 = x, IQR = x).') FROM plans WHERE run = 'anomalies'
+  UNION ALL SELECT plans, r, concat('Row ', line_id, ': ', CASE WHEN high THEN 'High' ELSE 'Low' END, ' outlier in ', plans.m, ': ', {_number_sql('v')}, ' (Date: ', CAST(Date AS DATE), ', Category: ',
+      CASE plans.shown_by WHEN 'Product' THEN Product ELSE Category END, ')') FROM plans JOIN listed ON listed.m = plans.m WHERE run = 'anomalies' AND r <= 20
+  UNION ALL SELECT plans, i, concat('Column ''', stats.m, ''' Total: ', t, ', Avg: ', a, ', Min: ', x, ', Max: ', y, '.') FROM plans, stats WHERE run = 'kpis'
+  UNION ALL SELECT plans, 0, 'Dataset ''sales.csv'' overall health score is 100.0%.' FROM plans WHERE run = 'quality'
+  UNION ALL SELECT plans, 1, 'Missing cells: 0 (0.0%).' FROM plans WHERE run = 'quality'
+  UNION ALL SELECT plans, 2, 'Duplicate rows: 0 (0.0%).' FROM plans WHERE run = 'quality'
+  UNION ALL SELECT plans, -2, concat('Dataset ''sales.csv'' has ', (SELECT count(*) FROM sales), ' rows and 6 columns.') FROM plans WHERE run = 'overview'
+  UNION ALL SELECT plans, -1, 'Data quality health score is 100.0% with 0 missing cells (0.0%).' FROM plans WHERE run = 'overview'
+  UNION ALL SELECT plans, i, concat('Metric ''', stats.m, ''': Total=', {_number_sql('t')}, ', Avg=', {_number_sql('a')}, ', Min=', {_number_sql('x')}, ', Max=', {_number_sql('y')}, '.')
+    FROM plans, stats WHERE run = 'overview' AND (list_contains(shown, stats.m) OR NOT list_has_any(shown, ['Units', 'Revenue'])))"""
+
+
+@query("question_facts", FACT_PLANS_SQL + """,
+answers AS (SELECT plans, string_agg(fact, ' | ' ORDER BY ord) AS data_facts, count(*) AS n_facts FROM told GROUP BY plans)
+SELECT question_id, planned.run, message, coalesce(n_facts, 0) AS n_facts, coalesce(data_facts, '') AS data_facts
+FROM planned LEFT JOIN answers a ON struct_pack(run := planned.run, m := planned.m, d := planned.d, shown_by := planned.shown_by, n := planned.n, p := planned.p,
+  f := planned.f, shown := planned.shown) IS NOT DISTINCT FROM a.plans""")
+def question_facts(spark, sf_dir):
+    """The facts that each question asks for; the last printed decimal of bounds may tie, so they are left out."""
+    found = _question_facts(spark, sf_dir)
+    plain = F.regexp_replace(F.array_join("data_facts", " | "), r"(lower bound|upper bound|Q1|Q3|IQR) = -?[0-9.,]*[0-9]", "$1 = x")
+    return found.select("question_id", "run", "message", F.size("data_facts").cast("long").alias("n_facts"), plain.alias("data_facts"))
+
+
+@query("question_plans", FACT_PLANS_SQL + """
+SELECT run, intent, coalesce(m, '') AS metric, count(*) AS questions FROM planned GROUP BY ALL""")
+def question_plans(spark, sf_dir):
+    """How many questions lead to which run on which metric."""
+    columns = spark.createDataFrame(
+        [(0, "Date", "datetime", "timestamp"), (1, "Product", "categorical", "string"), (2, "Category", "categorical", "string"),
+         (3, "Units", "numeric", "bigint"), (4, "Revenue", "numeric", "bigint"), (5, "line_id", "numeric", "bigint")],
+        "ordinal int, name string, semantic_type string, dtype string")
+    planned = answers.plan_questions(_fact_questions(spark, sf_dir), columns, ["Units", "Revenue", "line_id"])
+    return planned.groupBy(F.col("plan.run").alias("run"), "intent", F.coalesce("plan.metric", F.lit("")).alias("metric")).agg(
+        F.count("*").alias("questions"))
+
+
 @query("evidence", f"""
 WITH q AS (SELECT DISTINCT label AS question_id FROM embeddings),
 c AS (SELECT query_id, string_agg(c, '; ' ORDER BY r) AS citations FROM (

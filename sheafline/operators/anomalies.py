@@ -19,6 +19,7 @@ MIN_VALUES = 4
 MAX_LISTED = 1000
 # Tasks that share the rows of one group when its bounds are looked up.
 SALTS = 32
+FENCE_QUANTILES = (0.0, 0.25, 0.75, 1.0)
 ROUNDED = ("q1", "q3", "iqr", "lower_bound", "upper_bound")
 
 
@@ -31,12 +32,20 @@ def iqr_bounds(df: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:
     metric, value = numeric_column(df, metric)
     keys = [resolve_column(df, b) for b in by]
     finite = df.select(*[column(b) for b in keys], F.when(is_finite(value), value).alias("_value"))
-    found = exact_quantiles(finite, {metric: F.col("_value")}, (0.0, 0.25, 0.75, 1.0), keys)
+    bounds = fences(exact_quantiles(finite, {metric: F.col("_value")}, FENCE_QUANTILES, keys), keys)
+    if keys:
+        return bounds
+    # An aggregate without keys has a row even for no input.
+    return bounds.agg(*[F.coalesce(F.max(c), F.lit(0)).cast(t).alias(c) for c, t in bounds.dtypes])
+
+
+def fences(quantiles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(*keys, valid_count, q1, q3, iqr, lower_bound, upper_bound)`` from exact ``FENCE_QUANTILES``."""
     n = F.col("total")
     low, q1, q3, high = (F.get("quantiles", F.lit(i)) for i in range(4))
     few = n < MIN_VALUES
     spread = q3 - q1
-    bounds = found.select(
+    return quantiles.select(
         *[column(b) for b in keys],
         n.alias("valid_count"),
         F.when(few, low).otherwise(q1).alias("q1"),
@@ -45,10 +54,6 @@ def iqr_bounds(df: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:
         F.when(few, low).otherwise(q1 - FENCE * spread).alias("lower_bound"),
         F.when(few, high).otherwise(q3 + FENCE * spread).alias("upper_bound"),
     )
-    if keys:
-        return bounds
-    # An aggregate without keys has a row even for no input.
-    return bounds.agg(*[F.coalesce(F.max(c), F.lit(0)).cast(t).alias(c) for c, t in bounds.dtypes])
 
 
 def _with_bounds(df: DataFrame, value: Column, keys: list[str], bounds: DataFrame) -> DataFrame:

@@ -55,6 +55,10 @@ REASONS = {
 ANOMALY_WORDS = (
     "unusual", "anomaly", "anomalies", "outlier", "outliers", "abnormal", "irregular", "deviat",
 )
+# The words that ask for the KPIs, for the quality, and (fewer than above) for anomalies of a table as a whole.
+KPI_WORDS = ("kpi", "kpis", "key performance indicator")
+QUALITY_WORDS = ("data quality", "quality score", "missing value", "missing values", "health score", "how good is my data")
+ANOMALY_TOOL_WORDS = ("unusual", "anomaly", "anomalies", "outlier", "outliers", "abnormal")
 FORECAST_WORDS = (
     "forecast", "predict", "prediction", "projected", "projection", "future", "look like next",
 )
@@ -110,7 +114,7 @@ def _one_of(patterns: Iterable[str], whole_word: bool = False) -> str:
     return rf"(?U)\b(?:{body})\b" if whole_word else rf"(?U)(?:{body})"
 
 
-def _says(question: Column, words: Iterable[str]) -> Column:
+def says(question: Column, words: Iterable[str]) -> Column:
     """Whether any of the words occurs anywhere in the question."""
     return reduce(lambda a, b: a | b, [F.contains(question, F.lit(w)) for w in words])
 
@@ -135,7 +139,7 @@ def label_intents(questions: DataFrame, question: str = "question", assistant_na
         patterns.append(rf"\bwhat is {re.escape(assistant_name.lower())}\b")
     # Staged, so that each pattern is matched once per question.
     staged = questions.withColumn("_q", lowered(F.col(question))).withColumns({
-        "_greeting": q.rlike(_one_of(patterns)) & ~_says(q, BUSINESS_WORDS),
+        "_greeting": q.rlike(_one_of(patterns)) & ~says(q, BUSINESS_WORDS),
         "_data": _mentions(q, DATA_KEYWORDS),
         "_docs": _mentions(q, DOCS_KEYWORDS),
     })
@@ -192,8 +196,8 @@ class Roles(NamedTuple):
 def column_role(name: Column, semantic_type: Column, dtype: Column) -> Column:
     """Role of a profiled column: ``date``, ``metric``, ``row_id`` or ``dimension``."""
     lower_name = F.lower(name)
-    is_date = (semantic_type == "datetime") | _says(lower_name, DATE_NAME_HINTS)
-    is_number = (semantic_type == "numeric") | _says(F.lower(dtype), NUMERIC_DTYPES)
+    is_date = (semantic_type == "datetime") | says(lower_name, DATE_NAME_HINTS)
+    is_number = (semantic_type == "numeric") | says(F.lower(dtype), NUMERIC_DTYPES)
     return (
         F.when(is_date, "date")
         .when(is_number, F.when(lower_name.rlike(ROW_ID_NAME), "row_id").otherwise("metric"))
@@ -223,7 +227,7 @@ def _named(question: Column, name: str) -> Column:
 def _synonym(question: Column, name: str, synonyms) -> Column | None:
     for names, words in synonyms:
         if name.lower() in names:
-            return _says(question, words)
+            return says(question, words)
     return None
 
 
@@ -249,7 +253,7 @@ def mention_columns(question: Column, roles: Roles) -> tuple[Column, Column, Col
         return q.rlike(rf"(?U)\b{re.escape(name.lower()[:-1])}ies\b")
 
     dimensions = [(c, _any([_named(q, c), plural(c), _synonym(q, c, DIMENSION_SYNONYMS)])) for c in roles.dimensions]
-    dates = [(c, _any([_named(q, c), _says(q, DATE_WORDS)])) for c in roles.dates]
+    dates = [(c, _any([_named(q, c), says(q, DATE_WORDS)])) for c in roles.dates]
     return _matches(metrics), _matches(dimensions), _matches(dates)
 
 
@@ -263,6 +267,10 @@ def match_columns(questions: DataFrame, columns: DataFrame, question: str = "que
     return staged.select(*questions.columns, metrics.alias("metrics"), dimensions.alias("dimensions"), dates.alias("dates"))
 
 
+def asks_forecast(question: Column) -> Column:
+    return says(question, FORECAST_WORDS) | question.rlike(f"(?U){NEXT_PERIODS}")
+
+
 # What is said when a question cannot be answered.
 NO_METRIC = {
     "anomaly": "Could not determine which numeric column to check for anomalies.",
@@ -291,10 +299,10 @@ def label_operations(questions: DataFrame, columns: DataFrame, question: str = "
     asked_limit, asked_periods, asked_frequency = parameter_columns(q)
 
     wanted = (
-        F.when(_says(q, ANOMALY_WORDS), "anomaly")
-        .when(_says(q, FORECAST_WORDS) | q.rlike(f"(?U){NEXT_PERIODS}"), "forecast")
-        .when(_says(q, TREND_WORDS) & _says(q, TREND_CONTEXT), "trend")
-        .when(_says(q, TOP_WORDS) | _says(q, BREAKDOWN_WORDS) | q.rlike(f"(?U){BREAKDOWN_PATTERN}"), "top")
+        F.when(says(q, ANOMALY_WORDS), "anomaly")
+        .when(asks_forecast(q), "forecast")
+        .when(says(q, TREND_WORDS) & says(q, TREND_CONTEXT), "trend")
+        .when(says(q, TOP_WORDS) | says(q, BREAKDOWN_WORDS) | q.rlike(f"(?U){BREAKDOWN_PATTERN}"), "top")
         .otherwise("kpis")
     )
     staged = questions.withColumn("_q", lowered(F.col(question))).withColumns({
@@ -330,7 +338,7 @@ def label_operations(questions: DataFrame, columns: DataFrame, question: str = "
             case = F.when(settled & (wanted == name), value) if case is None else case.when(settled & (wanted == name), value)
         return case
 
-    monthly = F.when(_says(q, MONTHLY_WORDS), "month").otherwise("auto")
+    monthly = F.when(says(q, MONTHLY_WORDS), "month").otherwise("auto")
     return staged.select(
         *questions.columns,
         operation.alias("operation"),

@@ -137,7 +137,12 @@ def forecast_metric(
             raise AnalyticsError(code, "There are no dated numbers to project.")
         if found < MIN_PERIODS:
             raise AnalyticsError("INSUFFICIENT_DATA", f"At least {MIN_PERIODS} periods are needed, found {found}.")
+    return project(past, keys, F.lit(periods))
 
+
+def project(past: DataFrame, keys: Sequence[str], periods: Column) -> DataFrame:
+    """The rows of ``forecast_metric`` from those of ``history``, one line per combination of ``keys``; ``periods`` may be an
+    expression over the keys."""
     # Windows over aggregated periods only: their number is bounded by the calendar.
     group = [column(b) for b in keys] or [F.lit(1)]
     ordered = Window.partitionBy(*group).orderBy("period_start", "period")
@@ -173,7 +178,7 @@ def forecast_metric(
         ),
     )
     none = F.filter(past_points, lambda p: F.lit(False))
-    future = F.when(enough, F.transform(F.sequence(F.lit(1), F.lit(periods)), projected)).otherwise(none)
+    future = F.when(enough, F.transform(F.sequence(F.lit(1), periods), projected)).otherwise(none)
     return series.withColumn("slope", slope).select(
         *[column(b) for b in keys],
         F.inline(F.concat(past_points, future)),
