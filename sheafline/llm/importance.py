@@ -163,8 +163,8 @@ def gains(source: DataFrame, target: DataFrame, buckets: int) -> list[int]:
     Both are tables of at most ``buckets`` rows as :func:`bucket_counts` gives them; ``buckets`` bounds what the driver holds.
     """
     every = source.sparkSession.range(buckets).withColumnRenamed("id", "bucket")
-    held = every.join(source, "bucket", "left").join(target, "bucket", "left").select(
-        "bucket", *(F.coalesce(n, F.lit(0)).cast("double").alias(n) for n in ("s", "t")))
+    held = stored(every.join(source, "bucket", "left").join(target, "bucket", "left").select(
+        "bucket", *(F.coalesce(n, F.lit(0)).cast("double").alias(n) for n in ("s", "t"))), "buckets")
     both = held.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t")).first()
     rise = (F.col("t") + 1) * F.lit(both["all_s"] + buckets) / ((F.col("s") + 1) * F.lit(both["all_t"] + buckets))
     rows = held.select("bucket", F.floor(F.log(rise) * 1000).cast("long").alias("gain")).collect()
@@ -221,7 +221,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 10, order: int =
         "doc_id", "_w.n_features", "_w.weight")
     noise = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256), 1, 8), 16, 10)
     drawn = F.floor(-1000 * F.log(-F.log((noise.cast("double") + 0.5) / 4294967296.0))).cast("long")
-    scored = made.withColumn("score", F.col("weight") + drawn)
+    # Written as ranges are cut on a first look at the scores and dealt on a second.
+    scored = stored(made.withColumn("score", F.col("weight") + drawn), "scores")
     # The features of a document of n words are n, n - 1, ... runs.
     enough = F.col("n_features") >= sum(max(0, least_words - m) for m in range(order))
     ordered = ranked(scored.withColumn("_enough", enough), [F.desc("_enough"), F.desc("score"), F.asc("doc_id"), F.asc("n_features")])
