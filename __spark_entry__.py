@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.functions import dates, numbers, text, urls
@@ -1437,18 +1437,15 @@ def argument_text(spark, sf_dir):
 
 
 @query("iqr_bounds_of_few", """
-WITH v AS (SELECT c_nationkey AS nation, c_acctbal AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer),
-g AS (SELECT nation, count(*) AS n, min(x) AS a, max(x) AS b, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3
-      FROM v WHERE i <= nation % 6 + 1 GROUP BY nation)
-SELECT nation, n AS valid_count, round(CASE WHEN n < 4 THEN a ELSE q1 - 1.5 * (q3 - q1) END, 6) AS lower_bound,
+WITH g AS (SELECT o_custkey AS customer, count(*) AS n, min(o_totalprice) AS a, max(o_totalprice) AS b, quantile_cont(o_totalprice, 0.25) AS q1,
+             quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY o_custkey)
+SELECT customer, n AS valid_count, round(CASE WHEN n < 4 THEN a ELSE q1 - 1.5 * (q3 - q1) END, 6) AS lower_bound,
        round(CASE WHEN n < 4 THEN b ELSE q3 + 1.5 * (q3 - q1) END, 6) AS upper_bound FROM g""")
 def iqr_bounds_of_few(spark, sf_dir):
-    """Bounds of groups of one to six values; fewer than four have none but their own ends."""
-    customers = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "nation")
-    place = F.row_number().over(Window.partitionBy("nation").orderBy("c_custkey"))
-    few = customers.withColumn("_i", place).filter(F.col("_i") <= F.col("nation") % 6 + 1)
-    found = anomalies.iqr_bounds(few, "c_acctbal", ["nation"])
-    return rounded(found.select("nation", "valid_count", "lower_bound", "upper_bound"), 6, "lower_bound", "upper_bound")
+    """Bounds of many small groups, the orders of each customer; fewer than four values have none but their own ends."""
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "customer")
+    found = anomalies.iqr_bounds(orders, "o_totalprice", ["customer"])
+    return rounded(found.select("customer", "valid_count", "lower_bound", "upper_bound"), 6, "lower_bound", "upper_bound")
 
 
 # --- sources, sinks, clean-up -----------------------------------------------------------------
@@ -1487,6 +1484,46 @@ def csv_promoted_header(spark, sf_dir):
     return tables.read_csv(spark, path, infer=False)
 
 
+@query("csv_header_lines", '''
+SELECT o_orderkey AS "order
+key", o_orderpriority || chr(10) || o_orderstatus AS "priority, ""status""", o_totalprice AS total FROM orders''')
+def csv_header_lines(spark, sf_dir):
+    """Header cells and cells with line ends, commas and quotes."""
+    path = scratch_path(spark, "csv")
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order\nkey"), F.concat("o_orderpriority", F.lit("\n"), "o_orderstatus").alias('priority, "status"'),
+        F.col("o_totalprice").alias("total"))
+    tables.write_csv(orders, path)
+    return tables.read_csv(spark, path)
+
+
+@query("csv_wide_rows", """
+SELECT o_orderkey AS k, o_orderpriority AS v, CASE WHEN o_orderkey % 7 = 0 THEN concat(o_orderstatus, '|a, "b"|') WHEN o_orderkey % 5 = 0 THEN o_orderstatus ELSE '' END AS extra,
+       CAST(CASE WHEN o_orderkey % 7 = 0 THEN 3 WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n FROM orders""")
+def csv_wide_rows(spark, sf_dir):
+    """Rows with more cells than the header: what is beyond it is kept."""
+    orders, path = table(spark, sf_dir, "orders"), scratch_path(spark, "csv")
+    more = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit(","), "o_orderstatus", F.lit(',"a, ""b""",'))).when(
+        F.col("o_orderkey") % 5 == 0, F.concat(F.lit(","), "o_orderstatus")).otherwise("")
+    rows = orders.select(F.concat(F.col("o_orderkey").cast("string"), F.lit(","), "o_orderpriority", more).alias("value"),
+                         F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
+    first = rows.groupBy("_p").agg(F.min("_i").alias("_f")).select("_f")
+    head = F.when(F.col("_f").isNotNull(), F.concat(F.lit("k,v\n"), "value")).otherwise(F.col("value"))
+    rows.join(F.broadcast(first), F.col("_i") == F.col("_f"), "left").select(head).write.text(path)
+    kept = tables.read_csv(spark, path, wide_rows="keep")
+    return kept.select("k", "v", F.array_join("extra_cells", "|").alias("extra"), F.size("extra_cells").alias("n"))
+
+
+@query("csv_headers", """
+SELECT o_orderkey AS key, o_orderstatus AS column_2, o_orderpriority AS "key_1", o_totalprice AS "column_4", o_custkey AS "key_2" FROM orders""")
+def csv_headers(spark, sf_dir):
+    """Blank, unnamed, padded and repeated headers."""
+    path = scratch_path(spark, "csv")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_custkey")
+    tables.write_csv(orders.toDF(" key", " ", "key ", "unnamed: 3", "key"), path)
+    return tables.read_csv(spark, path, header_row=0)
+
+
 @query("mixed_dates", """
 SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS value FROM orders GROUP BY 1""")
 def mixed_dates(spark, sf_dir):
