@@ -1719,6 +1719,48 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(held).select("document_id", "content_hash", "size")
 
 
+@query("stream_ingest_batches", """
+WITH d AS (SELECT doc_id, doc_id % 5 AS batch, sha256(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE text IS NOT NULL)
+SELECT doc_id AS document_id, first_value(doc_id) OVER w AS resolved_id, doc_id <> first_value(doc_id) OVER w AS is_duplicate, batch AS batch_id,
+       CASE WHEN doc_id = first_value(doc_id) OVER w THEN size END AS indexed_size
+FROM d WINDOW w AS (PARTITION BY content_hash ORDER BY batch, doc_id)""")
+def stream_ingest_batches(spark, sf_dir):
+    """Five micro-batches that hold every document between them, copies of one text in several; which indexed document each stands for."""
+    source, held, pieces, told, checkpoint = (scratch_path(spark, f"stream-{n}") for n in ("in", "catalog", "chunks", "resolved", "log"))
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("document_id"), F.concat("source", F.lit(".pdf")).alias("filename"), "text")
+    for batch in range(5):
+        docs.where(F.col("document_id") % 5 == batch).write.mode("append").parquet(source)
+        incoming = spark.readStream.schema(docs.schema).parquet(source)
+        stream_documents(incoming, held, pieces, checkpoint, resolved_path=told).awaitTermination()
+    indexed = spark.read.parquet(held).select("document_id", F.col("size").alias("indexed_size"))
+    return spark.read.parquet(told).join(indexed, "document_id", "left").select(
+        "document_id", "resolved_id", "is_duplicate", F.col("batch_id").cast("long").alias("batch_id"), "indexed_size")
+
+
+def _calendar_sql(frequency: str, keys: str) -> str:
+    label = {"month": "strftime(o_orderdate, '%Y-%m')", "quarter": "concat(year(o_orderdate), '-Q', quarter(o_orderdate))",
+             "year": "strftime(o_orderdate, '%Y')"}[frequency]
+    return f"""
+SELECT {keys} {label} AS period, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL
+HAVING date_trunc('{frequency}', min(o_orderdate)) + INTERVAL 1 {frequency} <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 2 HOUR"""
+
+
+def _stream_calendar(frequency: str, by: list[str]) -> Query:
+    def run(spark, sf_dir):
+        path, checkpoint = scratch_path(spark, "stream-trend"), scratch_path(spark, "stream-trend-log")
+        totals = stream_trend(_file_stream(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", frequency=frequency, by=by)
+        totals.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).start().awaitTermination()
+        return rounded(spark.read.schema(totals.schema).parquet(path), 2, "value")
+
+    return run
+
+
+for _frequency, _by in (("month", []), ("quarter", ["o_orderpriority"]), ("year", ["o_orderstatus"])):
+    query(f"stream_trend_{_frequency}", _calendar_sql(_frequency, "".join(f"{b}, " for b in _by)))(_stream_calendar(_frequency, _by))
+
+
 # --- operators on training text, where that part of the library is installed ------------------
 
 
