@@ -12,6 +12,7 @@ from sheafline.functions import dates, numbers, text, urls
 from sheafline.operators import (
     aggregate,
     anomalies,
+    batch_search,
     catalog,
     charts,
     chunks,
@@ -890,6 +891,31 @@ def search_topk_l2(spark, sf_dir):
     return search.search_topk(_vectors(spark, sf_dir), _centroids(spark, sf_dir), top_k=50, metric="l2_relevance")
 
 
+MANY_SQL = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, e.vec_id AS vector_id, round(list_cosine_similarity(q.v, e.v), 10) AS raw
+      FROM e q, e WHERE q.vec_id % 3 <> 0 OR q.label = e.label),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, vector_id) AS rank FROM s WHERE raw >= 0.2)
+SELECT query_id, rank, vector_id, round(greatest(0.0, least(1.0, raw)), 4) AS score FROM r WHERE rank <= 5"""
+
+
+@query("search_many", MANY_SQL)
+def search_many(spark, sf_dir):
+    """Every vector as a query, a third of them inside their own group only, as a search in one document is."""
+    vectors = _vectors(spark, sf_dir)
+    queries = vectors.select(F.col("vector_id").alias("query_id"), "embedding", F.when(F.col("vector_id") % 3 == 0, F.col("label")).alias("scope"))
+    return batch_search.search_many(vectors, queries, document="label", scope="scope", min_score=0.2)
+
+
+@query("search_passages", f"""
+SELECT query_id, rank, score, concat(source, '.pdf') AS filename, n_chars % 9 + 1 AS page, text FROM ({MANY_SQL}) JOIN documents ON doc_id = vector_id""")
+def search_passages(spark, sf_dir):
+    """The same hits with file, page and whole passage."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("vector_id"), F.concat("source", F.lit(".pdf")).alias("filename"), (F.col("n_chars") % 9 + 1).alias("page"), "text")
+    return batch_search.with_passages(search_many(spark, sf_dir), docs).drop("vector_id")
+
+
 @query("search_lsh")
 def search_lsh(spark, sf_dir):
     return search.search_approximate(_vectors(spark, sf_dir), _centroids(spark, sf_dir))
