@@ -180,7 +180,7 @@ def kpis(df: DataFrame) -> DataFrame:
     schema = "ordinal int, metric string, excluded boolean, total double, average double, minimum double, maximum double, median double, count long"
     if not values:
         return df.sparkSession.createDataFrame([], schema)
-    identifiers = set(identifier_columns(df, list(values)))
+    identifiers = set(identifier_columns(df, list(values), read_texts=True))
     order = {c: i for i, c in enumerate(df.columns)}
     business = {c: v for c, v in values.items() if c not in identifiers}
     spark = df.sparkSession

@@ -3,13 +3,13 @@
 The target ranks are located by counting, at every size alike:
 
 1. count rows per bin of a fixed, order-preserving bin function, and find the bin of each rank;
-2. where those bins hold many rows, cut them into 65,536 equal parts, count again, and find the part of each rank;
+2. cut those bins into 65,536 equal parts, count again, and find the part of each rank;
 3. count the distinct values that are left and read the ranks off.
 
 Every step is a partial aggregate over bins, so a value, or a group, that holds a third of the
 table costs no more than any other, and no row is shuffled as itself. The result is exact: bins
-only decide which rows are looked at next. Each metric is counted on its own, so a step reads one
-column per metric.
+only decide which rows are looked at next. A step is one scan for all metrics and all probabilities: the metrics of a row
+become rows of ``(metric, value)`` that are counted where they are.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from sheafline.session import cut_lineage
 
 # Located bins are broadcast up to this many rows; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
-# Rows in all located bins together from which on the bins are cut once more before their values are counted.
-FEW_ROWS = 100_000
 BINS_PER_OCTAVE = 1024
 # Above every finite number's bin; infinities go here.
 TOP_BIN = 2_000_000
@@ -80,9 +78,12 @@ def _same(keys: Sequence[str], right: DataFrame) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
 
 
-def _settled(located: DataFrame, grouped: bool) -> DataFrame:
-    """Located intervals, computed once. Without groups they are a few per metric and probability and come to the driver."""
-    return cut_lineage(located) if grouped else located.sparkSession.createDataFrame(located.collect(), located.schema)
+def _settled(located: DataFrame, grouped: bool) -> tuple[DataFrame, list]:
+    """Located intervals, computed once. Without groups they are a few per metric and probability and come to the driver, as rows too."""
+    if grouped:
+        return cut_lineage(located), []
+    rows = located.collect()
+    return located.sparkSession.createDataFrame(rows, located.schema), rows
 
 
 def exact_quantiles(
@@ -92,63 +93,47 @@ def exact_quantiles(
     that has values."""
     names = [f"_k{i}" for i in range(len(by))]
     keys = [column(b).alias(n) for b, n in zip(by, names)]
-    bases = [df.select(*keys, v.alias("value")).filter(F.col("value").isNotNull()) for v in values.values()]
+    if len(values) == 1:
+        base = df.select(*keys, F.lit(0).alias("_metric"), *[v.alias("value") for v in values.values()])
+    else:
+        cells = [F.struct(F.lit(i).alias("_metric"), v.alias("value")) for i, v in enumerate(values.values())]
+        base = df.select(*keys, F.inline(F.array(*cells)))
+    base = base.filter(F.col("value").isNotNull())
     groups = ["_metric", *names]
 
-    def tagged(parts: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, [p.withColumn("_metric", F.lit(i)) for i, p in enumerate(parts)])
-
-    def narrowed(located: DataFrame, low: str, high: str, carried: list[str]) -> list[DataFrame]:
-        """Per metric, the values inside the located intervals beside the interval's columns."""
+    def narrowed(located: DataFrame, held: list, low: str, high: str, carried: list[str]) -> DataFrame:
+        """The values inside the located intervals beside the interval's columns."""
         if not names:
             # A few intervals per metric: constants of the scan's filter.
-            held = located.select("_metric", *dict.fromkeys([*carried, low, high])).collect()
-            return [_inside(base, [r for r in held if r["_metric"] == i], low, high, carried) for i, base in enumerate(bases)]
+            return _inside(base, held, low, high, carried)
+        rows = base.withColumn("_weight", F.lit(1).cast("long")).withColumn("_bin", _bin(F.col("value")))
         broadcast = located.count() <= BROADCAST_ROWS
-        results = []
-        for i, base in enumerate(bases):
-            mine = located.filter(F.col("_metric") == i).drop("_targets", "_total", "_metric")
-            rows = base.withColumn("_weight", F.lit(1).cast("long")).withColumn("_bin", _bin(F.col("value")))
-            if not broadcast:
-                # Too many groups to broadcast: count equal values first, so that the copies of
-                # one value do not travel.
-                rows = rows.groupBy(*names, "_bin", "value").agg(F.sum("_weight").alias("_weight"))
-            right = (F.broadcast(mine) if broadcast else mine).alias("r")
-            joined = rows.alias("l").join(right, _same([*names, "_bin"], mine))
-            kept = [F.col(f"l.{n}") for n in names] + [F.col("l.value"), F.col("l._weight")]
-            extra = [F.col(f"r.{c}") for c in dict.fromkeys([*carried, low, high])]
-            results.append(joined.select(*kept, *extra).filter(F.col("value").between(F.col(low), F.col(high))))
-        return results
-
-    spread = [
-        base.groupBy(*names, _bin(F.col("value")).alias("_bin")).agg(
-            F.count(F.lit(1)).alias("rows"), F.min("value").alias("_low"), F.max("value").alias("_high")
-        )
-        for base in bases
-    ]
+        if not broadcast:
+            # Too many groups to broadcast: count equal values first, so that the copies of
+            # one value do not travel.
+            rows = rows.groupBy(*groups, "_bin", "value").agg(F.sum("_weight").alias("_weight"))
+        known = located.drop("_targets", "_total")
+        joined = rows.alias("l").join((F.broadcast(known) if broadcast else known).alias("r"), _same([*groups, "_bin"], known))
+        kept = [F.col(f"l.{n}") for n in groups] + [F.col("l.value"), F.col("l._weight")]
+        extra = [F.col(f"r.{c}") for c in dict.fromkeys([*carried, low, high])]
+        return joined.select(*kept, *extra).filter(F.col("value").between(F.col(low), F.col(high)))
+
+    spread = base.groupBy(*groups, _bin(F.col("value")).alias("_bin")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("value").alias("_low"), F.max("value").alias("_high"))
     total = F.sum("rows").over(Window.partitionBy(*groups))
-    coarse = tagged(spread).withColumn("_total", total).withColumn("_targets", _targets(F.col("_total"), probabilities))
-    first = _settled(_locate(coarse, groups, "_bin"), bool(names))
+    coarse = spread.withColumn("_total", total).withColumn("_targets", _targets(F.col("_total"), probabilities))
+    first, held = _settled(_locate(coarse, groups, "_bin"), bool(names))
 
-    if first.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0] <= FEW_ROWS:
-        # The bins found hold so few rows that cutting them further would read the table once more for nothing.
-        second = first.withColumn("_part", F.lit(0).cast("long")).withColumnsRenamed({"_low": "_from", "_high": "_to"})
-    else:
-        cut = [
-            rows.groupBy(*names, "_bin", _part(F.col("value"), F.col("_low"), F.col("_high")).alias("_part")).agg(
-                F.sum("_weight").alias("rows"), F.min("value").alias("_from"), F.max("value").alias("_to")
-            )
-            for rows in narrowed(first, "_low", "_high", ["_bin"])
-        ]
-        fine = _with_targets(tagged(cut), first, [*groups, "_bin"])
-        second = _settled(_locate(fine, [*groups, "_bin"], "_part"), bool(names))
-
-    singles = [
-        rows.groupBy(*names, "_bin", "_part", "value").agg(F.sum("_weight").alias("rows"))
-        for rows in narrowed(second, "_from", "_to", ["_bin", "_part"])
-    ]
+    cut = narrowed(first, held, "_low", "_high", ["_bin"]).groupBy(
+        *groups, "_bin", _part(F.col("value"), F.col("_low"), F.col("_high")).alias("_part")).agg(
+        F.sum("_weight").alias("rows"), F.min("value").alias("_from"), F.max("value").alias("_to"))
+    fine = _with_targets(cut, first, [*groups, "_bin"])
+    second, held = _settled(_locate(fine, [*groups, "_bin"], "_part"), bool(names))
+
+    singles = narrowed(second, held, "_from", "_to", ["_bin", "_part"]).groupBy(*groups, "_bin", "_part", "value").agg(
+        F.sum("_weight").alias("rows"))
     last = [*groups, "_bin", "_part"]
-    found = _locate(_with_targets(tagged(singles), second, last), last, "value")
+    found = _locate(_with_targets(singles, second, last), last, "value")
     slots = found.select(*groups, "_total", "value", F.explode("_targets.slot").alias("slot"))
     # Two slots per probability: a handful of rows per group.
     picked = slots.groupBy(*groups).agg(
@@ -168,16 +153,16 @@ def exact_quantiles(
 
 
 def _inside(base: DataFrame, intervals: list, low: str, high: str, carried: list[str]) -> DataFrame:
-    """Rows of one metric inside constant intervals, with the columns of their interval."""
+    """Rows inside constant intervals of their metric, with the columns of their interval."""
     names = list(dict.fromkeys([*carried, low, high]))
     case, anywhere = F.lit(None).cast(f"struct<{','.join(f'{n}:{_kind(n, low, high)}' for n in names)}>"), F.lit(False)
-    # Intervals are disjoint, so at most one holds a value.
+    # Intervals of a metric are disjoint, so at most one holds a value.
     for r in intervals:
-        holds = F.col("value").between(r[low], r[high])
+        holds = (F.col("_metric") == r["_metric"]) & F.col("value").between(r[low], r[high])
         case = F.when(holds, F.struct(*[F.lit(r[n]).cast(_kind(n, low, high)).alias(n) for n in names])).otherwise(case)
         anywhere = anywhere | holds
-    inside = base.filter(anywhere).select("value", F.lit(1).cast("long").alias("_weight"), case.alias("_i"))
-    return inside.select("value", "_weight", "_i.*")
+    inside = base.filter(anywhere).select("_metric", "value", F.lit(1).cast("long").alias("_weight"), case.alias("_i"))
+    return inside.select("_metric", "value", "_weight", "_i.*")
 
 
 def _kind(name: str, low: str, high: str) -> str:

@@ -147,10 +147,17 @@ SHAPES = {
 }
 
 
-@pytest.mark.parametrize("few_rows", [100_000, 0])
+def test_long_runs_with_a_repeat_and_texts_of_integers(spark, frame):
+    df = spark.range(-40_000, 60_000).select("id", F.when(F.col("id") == 5, 6).otherwise(F.col("id")).alias("twice"), (F.col("id") * 2).alias("even"))
+    assert identifiers.identifier_columns(df.repartition(5)) == ["id"]  # by name
+    assert identifiers.identifier_columns(df.withColumnRenamed("id", "run").repartition(5)) == ["run"]
+    texts = frame([(f" {i}", str(i * 3), "x" if i == 13 else str(i), 1) for i in range(11, 19)], "number string, gaps string, mixed string, one long")
+    assert identifiers.identifier_columns(texts) == [] and identifiers.identifier_columns(texts, read_texts=True) == ["number"]
+    assert {r["metric"]: r["excluded"] for r in aggregate.kpis(texts).collect()} == {"number": True, "gaps": False, "mixed": False, "one": False}
+
+
 @pytest.mark.parametrize("shape", SHAPES)
-def test_quantiles_match_a_sorted_list(frame, monkeypatch, shape, few_rows):
-    monkeypatch.setattr(quantiles, "FEW_ROWS", few_rows)
+def test_quantiles_match_a_sorted_list(frame, shape):
     numbers = SHAPES[shape]
     df = frame([(x,) for x in numbers] + [(None,)], "v double").repartition(3)
     probabilities = (0.0, 0.25, 0.5, 0.9, 1.0)
@@ -164,11 +171,9 @@ def test_quantiles_match_a_sorted_list(frame, monkeypatch, shape, few_rows):
         assert got == pytest.approx(expected, rel=1e-12) or (math.isnan(expected) and math.isnan(got))
 
 
-@pytest.mark.parametrize("few_rows", [100_000, 0])
 @pytest.mark.parametrize("broadcast_rows", [200_000, 0])
-def test_quantiles_by_group(frame, monkeypatch, broadcast_rows, few_rows):
+def test_quantiles_by_group(frame, monkeypatch, broadcast_rows):
     monkeypatch.setattr(quantiles, "BROADCAST_ROWS", broadcast_rows)
-    monkeypatch.setattr(quantiles, "FEW_ROWS", few_rows)
     rng = random.Random(9)
     rows = [("hot", rng.gauss(0, 10)) for _ in range(900)] + [(None, rng.gauss(5, 1)) for _ in range(50)]
     rows += [(f"k{i}", float(i)) for i in range(5)] + [("empty", None)]
@@ -182,6 +187,24 @@ def test_quantiles_by_group(frame, monkeypatch, broadcast_rows, few_rows):
     assert got == want and len(got) == 14
 
 
+def test_quantiles_of_several_metrics_take_the_jobs_of_one(spark, frame):
+    df = frame([(float(i % 91), -float(i), None if i % 2 else i * 0.5, None) for i in range(700)], "a double, b double, c double, d double").repartition(3).cache()
+
+    def jobs(*names):
+        spark.sparkContext.setJobGroup("".join(names), "")
+        try:
+            found = quantiles.exact_quantiles(df, {n: F.col(n) for n in names}, (0.1, 0.5)).collect()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return {r["metric"]: r["quantiles"] for r in found}, len(spark.sparkContext.statusTracker().getJobIdsForGroup("".join(names)))
+
+    one, few = jobs("a")
+    every, many = jobs("a", "b", "c", "d")
+    assert many <= few + 2 and every["a"] == one["a"] and set(every) == {"a", "b", "c"}
+    for name in "bc":
+        assert every[name] == pytest.approx(np.quantile([r[0] for r in df.select(name).dropna().collect()], (0.1, 0.5)))
+
+
 def test_describe_joins_quartiles_to_every_group(frame):
     df = frame([("a", 1.0), ("a", 3.0), (None, 5.0), ("b", None)], "g string, v double")
     rows = {r["g"]: (r["count"], r["missing"], r["sum"], r["q25"], r["median"], r["q75"]) for r in aggregate.describe(df, {"v": F.col("v")}, ["g"]).collect()}
