@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from sheafline.operators import (
 from sheafline.plans import answers
 from sheafline.plans import profile as profiles
 from sheafline.session import scratch_path
-from sheafline.sources import documents, feeds, registry, tables
+from sheafline.sources import documents, feeds, registry, snapshots, tables
 from sheafline.streaming.ingest import stream_documents
 from sheafline.streaming.trend import stream_trend
 
@@ -805,6 +806,25 @@ def chunk_coverage(spark, sf_dir):
     return over.groupBy("document_id").agg(F.count(F.lit(1)).alias("long_words")).unionByName(none)
 
 
+@query("reindex_documents", f"""
+SELECT doc_id AS document_id, CASE WHEN n_chars > 2000 THEN 'document too large' WHEN regexp_full_match(text, '{BLANKS}*') THEN 'no extractable text' ELSE 'indexed' END AS status
+FROM (SELECT c.doc_id, c.text, d.n_chars FROM ({CLEANED_SQL}) c JOIN documents d USING (doc_id))""")
+def reindex_documents(spark, sf_dir):
+    """Two full re-indexes, the second without the long documents, and one that fails in between: what readers see at the end."""
+    path, pages = scratch_path(spark, "index"), _pages(spark, sf_dir)
+    snapshots.reindex(pages, path)
+    broken = pages.withColumn("text", F.when(F.col("text").isNotNull(), F.raise_error(F.lit("unreadable")).cast("string")))
+    try:
+        snapshots.reindex(broken, path)
+    except PySparkException:
+        pass  # nothing of it is seen
+    long = table(spark, sf_dir, "documents").where("n_chars > 2000").select(
+        F.col("doc_id").alias("document_id"), F.lit("document too large").alias("reject_reason"))
+    snapshots.reindex(pages, path, refused=long)
+    indexed = snapshots.read_index(spark, path).select("document_id").distinct().withColumn("status", F.lit("indexed"))
+    return indexed.unionByName(snapshots.skipped_documents(spark, path).withColumnRenamed("reject_reason", "status"))
+
+
 def _catalog(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     pages = chunks.clean_pages(_pages(spark, sf_dir))

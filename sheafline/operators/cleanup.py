@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +11,7 @@ from sheafline.errors import AnalyticsError
 from sheafline.functions.dates import iso_text
 from sheafline.functions.numbers import finite_or_null, is_floating
 from sheafline.operators.columns import column, is_timestamp, missing_as_null
-from sheafline.session import cut_lineage
+from sheafline.session import cut_lineage, written
 
 MAX_PREVIEW_ROWS = 100
 
@@ -80,13 +81,38 @@ def preview(df: DataFrame, limit: int = 20) -> DataFrame:
     return head.select("*", total.alias("total_rows"), F.lit(len(df.columns)).cast("long").alias("total_columns"))
 
 
+# Files whose offsets are broadcast; more are joined.
+BROADCAST_FILES = 100_000
+
+
+def _file_rows(df: DataFrame) -> DataFrame | None:
+    """``df`` with ``_file`` and ``_at``, each row's place in its file, where the source knows it and ``df`` holds all rows of its files."""
+    if "_metadata" in df.columns:
+        return None
+    try:
+        placed = df.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return None
+    return placed
+
+
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     """Gap-free 0-based row number in storage order, without a global sort.
 
-    Row numbers inside a partition plus an offset per partition. Both come from one checkpointed
-    copy, so a recomputed or re-planned partition cannot shift them. Tables that carry a key of
-    their own should use that key instead: it saves the copy.
+    Where the files know the number of each row (Parquet, read whole), it is that plus the rows of the files before, by path;
+    nothing but a count per file is computed. Other tables are numbered from one checkpointed copy, so that a recomputed or
+    re-planned partition cannot shift them. Tables that carry a key of their own should use that key instead: it saves the copy.
     """
+    placed = _file_rows(df)
+    if placed is not None:
+        files = written(placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"), F.max("_at").alias("_last")), "files")
+        count, whole = files.agg(F.count(F.lit(1)), F.bool_and(F.col("_rows") == F.col("_last") + 1)).first()
+        if whole:
+            # A row per file.
+            before = F.coalesce(F.sum("_rows").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            offsets = files.select("_file", before.alias("_offset"))
+            known = placed.join(F.broadcast(offsets) if count <= BROADCAST_FILES else offsets, "_file")
+            return known.select(*[column(c) for c in df.columns], (F.col("_offset") + F.col("_at")).alias(name))
     marked = cut_lineage(df.withColumn("_mark", F.monotonically_increasing_id()))
     part, local = F.shiftrightunsigned("_mark", 33), F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))

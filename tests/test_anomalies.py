@@ -88,3 +88,23 @@ def test_bounds_are_a_constant_of_the_filter(metric):
     plan = anomalies.flag_anomalies(metric([1.0, 2.0, 3.0, 4.0, 99.0]), "metric", key="i")._jdf.queryExecution().toString()
     assert "scalar-subquery" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert F is not None
+
+
+def test_row_numbers_come_from_the_files_where_they_can(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "rows")
+    spark.range(1000).repartition(7).write.parquet(path)
+    held = spark.read.parquet(path)
+    copies = []
+    monkeypatch.setattr(cleanup, "cut_lineage", lambda df: copies.append(df) or df.cache())
+    for most in (100, 1):
+        monkeypatch.setattr(cleanup, "BROADCAST_FILES", most)
+        numbered = cleanup.with_row_index(held.select("id", (F.col("id") * 2).alias("twice")))
+        rows = numbered.orderBy("row_index").collect()
+        assert numbered.columns == ["id", "twice", "row_index"] and [r["row_index"] for r in rows] == list(range(1000)) and not copies
+        by_file = {r["id"]: r["f"] for r in held.select("id", F.col("_metadata.file_path").alias("f")).collect()}
+        assert [by_file[r["id"]] for r in rows] == sorted(by_file.values())
+    # A part of the rows, and rows that are in no file, are numbered from a copy.
+    part = cleanup.with_row_index(held.where("id % 3 = 0")).collect()
+    assert sorted(r["row_index"] for r in part) == list(range(334)) and len(copies) == 1
+    assert sorted(r["row_index"] for r in cleanup.with_row_index(held.groupBy("id").count()).collect()) == list(range(1000)) and len(copies) == 2
+    assert cleanup.with_row_index(held.where("false")).count() == 0
