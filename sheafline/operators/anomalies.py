@@ -12,13 +12,12 @@ from sheafline.functions.numbers import half_even, is_finite, share_percent
 from sheafline.operators.columns import column, numeric_column, resolve_column
 from sheafline.operators.quantiles import exact_quantiles
 from sheafline.operators.cleanup import with_row_index
+from sheafline.operators.skew import lookup_by_key
 
 # The usual fence factor, and the fewest values that can have outliers.
 FENCE = 1.5
 MIN_VALUES = 4
 MAX_LISTED = 1000
-# Tasks that share the rows of one group when its bounds are looked up.
-SALTS = 32
 FENCE_QUANTILES = (0.0, 0.25, 0.75, 1.0)
 ROUNDED = ("q1", "q3", "iqr", "lower_bound", "upper_bound")
 
@@ -64,17 +63,12 @@ def _with_bounds(df: DataFrame, value: Column, keys: list[str], bounds: DataFram
         # One row of bounds: evaluated once, then a constant in the filter.
         pair = bounds.select(F.struct(*fields)).scalar()
         return rows.withColumn("_bounds", pair)
-    # One group may hold much of the table: its rows are spread over SALTS tasks, and the bounds,
-    # one row per group, are repeated for each.
-    salt = F.pmod(F.xxhash64("_value"), F.lit(SALTS)).cast("int")
-    named = bounds.select(
-        *[column(b).alias(f"_b{i}") for i, b in enumerate(keys)], F.struct(*fields).alias("_bounds"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_slot"),
-    )
-    same = F.col("_salt") == F.col("_slot")
-    for i, b in enumerate(keys):
-        same = same & column(b).eqNullSafe(F.col(f"_b{i}"))
-    return rows.withColumn("_salt", salt).join(named, same).drop("_salt", "_slot", *[f"_b{i}" for i in range(len(keys))])
+    # One group, and one value of it, may hold much of the table: the bounds of the heaviest groups are broadcast, a fixed number of
+    # them, and the rows that they answer are spread by place.
+    group = F.to_json(F.struct(*[column(b).alias(f"k{i}") for i, b in enumerate(keys)]))
+    named = bounds.select(group.alias("_group"), "valid_count", F.struct(*fields).alias("_bounds"))
+    found = lookup_by_key(rows.withColumn("_group", group), named, "_group", "valid_count", "_bounds", F.monotonically_increasing_id())
+    return found.filter(F.col("_bounds").isNotNull()).drop("_group")
 
 
 def flag_anomalies(

@@ -21,6 +21,6 @@ def lookup_by_key(rows: DataFrame, table: DataFrame, key: str, weight: str, valu
     first = rows.join(F.broadcast(heavy), F.col(key) == F.col("_hot"), "left")
     dummy = F.concat(F.lit("-"), F.xxhash64(spread).cast("string"))
     routed = first.withColumn("_route", F.when(F.col("_hot").isNotNull(), dummy).otherwise(F.col(key)))
-    rest = table.select(F.col(key).alias("_route"), F.col(value).alias("_value"))
+    rest = table.select(F.col(key).alias("_route"), F.col(value).alias("_rest_value"))
     found = routed.join(rest, "_route", "left")
-    return found.withColumn(value, F.coalesce("_hot_value", "_value")).drop("_hot", "_hot_value", "_value", "_route")
+    return found.withColumn(value, F.coalesce("_hot_value", "_rest_value")).drop("_hot", "_hot_value", "_rest_value", "_route")

@@ -90,6 +90,26 @@ def test_bounds_are_a_constant_of_the_filter(metric):
     assert F is not None
 
 
+def test_a_hot_value_of_a_hot_group_is_spread(spark):
+    rows = spark.range(60_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('g', id % 997) END AS g",
+                                          "CASE WHEN id % 3 = 0 THEN 7.0D WHEN id % 5000 = 4 THEN 1e6D ELSE double(id % 90) END AS v")
+    before = {n: spark.conf.get(n) for n in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    for n, v in zip(before, ("false", "-1", "16")):
+        spark.conf.set(n, v)
+    try:
+        bounds = anomalies.iqr_bounds(rows, "v", ["g"]).cache()
+        found = anomalies._with_bounds(rows, F.col("v"), ["g"], bounds)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 60_000 and len(sizes) == 16 and max(sizes) < 2 * 60_000 / 16
+        flagged = anomalies.flag_anomalies(rows, "v", by=["g"], key="id", bounds=bounds).collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    held = {r["g"]: r for r in bounds.collect()}
+    assert None in held and len(flagged) == sum(
+        not held[r["g"]]["lower_bound"] <= r["v"] <= held[r["g"]]["upper_bound"] for r in rows.collect()) > 0
+
+
 def test_row_numbers_come_from_the_files_where_they_can(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "rows")
     spark.range(1000).repartition(7).write.parquet(path)
