@@ -121,6 +121,11 @@ LEAST_BLOCK = 1 << 11
 # deviations of that number are added, so that this leaves out only pairs that are surely below the limit. The others are
 # compared by their shingles.
 SIMILARITY = 0.8
+# Sets smaller than this are not judged by fingerprints of 256 bits, whose bits then hang on single shingles.
+LEAST_WIDE = 32
+# Bits of a sketch that says for each part of all shingles whether a set holds an odd number of them: two sets differ in at least
+# as many shingles as their sketches do in bits.
+ODD = 512
 # Members of a bucket that are compared with all others of it in the first round.
 LEADERS = 6
 _TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
@@ -167,22 +172,36 @@ def bands_of(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(b.tobytes(), SEED) - 2**63 for b in least.reshape(BANDS, BAND)]
 
 
-def prints_of(text: str) -> tuple[int, list[int], list[int]]:
-    """Of the set of a text's distinct five-word shingles: a number of its own, its bands, and a fingerprint of 256 bits, which
-    stands for Jaccard similarity. A text without words has no bands."""
+def odd_sketch(hashes: np.ndarray) -> list[int]:
+    """``ODD`` bits, as signed numbers: whether an odd number of the hashes falls in each part."""
+    part = (hashes ^ _TURNS[3]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - (ODD - 1).bit_length())
+    odd = np.bincount(part.astype(np.int64), minlength=ODD) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
+
+
+def differing(similarity: float) -> float:
+    """The largest share of both sets' shingles together that sets of this Jaccard similarity differ in."""
+    return (1 - similarity) / (1 + similarity)
+
+
+def prints_of(text: str) -> tuple[int, list[int], list[int], list[int], int]:
+    """Of the set of a text's distinct five-word shingles: a number of its own, its bands, a fingerprint of 256 bits, which
+    stands for Jaccard similarity, its odd sketch, and its size. A text without words has no bands."""
     hashes = shingle_hashes(text)
     node = xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - 2**63
-    return (node, bands_of(hashes), [_majority(_turned(hashes, t)) for t in _TURNS]) if len(hashes) else (node, [], [0] * len(_TURNS))
+    if not len(hashes):
+        return node, [], [0] * len(_TURNS), [0] * (ODD // 64), 0
+    return node, bands_of(hashes), [_majority(_turned(hashes, t)) for t in _TURNS], odd_sketch(hashes), len(hashes)
 
 
 def _prints(text: Column) -> Column:
-    @F.pandas_udf("node long, bands array<long>, wide array<long>")
+    @F.pandas_udf("node long, bands array<long>, wide array<long>, odd array<long>, size long")
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made_of = [prints_of(t) for t in batch]
-            node, bands, wide = (pd.Series([p[k] for p in made_of], dtype=d) for k, d in enumerate(("int64", object, object)))
-            yield pd.DataFrame({"node": node, "bands": bands, "wide": wide})
-            del made_of, node, bands, wide
+            kinds = {"node": "int64", "bands": object, "wide": object, "odd": object, "size": "int64"}
+            yield pd.DataFrame({name: pd.Series([p[k] for p in made_of], dtype=kind) for k, (name, kind) in enumerate(kinds.items())})
+            del made_of
         give_back()
 
     return made(F.coalesce(text.cast("string"), F.lit("")))
@@ -241,17 +260,22 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_groups(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """``node, group`` for those nodes of ``rows`` (``node, bands, wide``, distinct) that are linked to others.
+    """``node, group`` for those nodes of ``rows`` (``node, bands, wide, odd, size``, distinct) that are linked to others.
 
-    Nodes that agree in a band meet in a bucket. Any two that meet, and whose wide fingerprints do not rule it out, are compared by
-    all their shingles (``sets_of`` makes ``node, hashes`` of a table of nodes) and linked at ``similarity`` or more."""
+    Nodes that agree in a band meet in a bucket. Any two that meet, and whose odd sketches (for certain) and wide fingerprints (all but
+    certainly) do not rule it out, are compared by all their shingles (``sets_of`` makes ``node, hashes`` of a table of nodes) and linked at ``similarity`` or more."""
     dealt = rows.select("node", F.posexplode("bands").alias("t", "bucket"))
-    first = rows.select(F.col("node").alias("a"), F.col("wide").alias("wide_a"))
-    second = rows.select(F.col("node").alias("b"), F.col("wide").alias("wide_b"))
-    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    first = rows.select(F.col("node").alias("a"), F.col("wide").alias("wide_a"), F.col("odd").alias("odd_a"), F.col("size").alias("size_a"))
+    second = rows.select(F.col("node").alias("b"), F.col("wide").alias("wide_b"), F.col("odd").alias("odd_b"), F.col("size").alias("size_b"))
+
+    def apart(name: str) -> Column:
+        return F.aggregate(F.zip_with(f"{name}_a", f"{name}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+
+    may_link = (apart("odd") <= (F.col("size_a") + F.col("size_b")) * differing(similarity) + 1e-9) & (
+        (F.least("size_a", "size_b") < LEAST_WIDE) | (apart("wide") <= wide_limit(similarity)))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        near = stored(pairs.join(first, "a").join(second, "b").where(apart <= wide_limit(similarity)).select("a", "b"), "candidates")
+        near = stored(pairs.join(first, "a").join(second, "b").where(may_link).select("a", "b"), "candidates")
         needed = near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))).distinct()
         return alike(near, stored(sets_of(needed), "sets"), similarity)
 
@@ -268,9 +292,9 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     hash_ = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select(id_.alias("id"), hash_.alias("hash"), _prints(F.col("text")).alias("p")).select(
-        "id", "hash", "p.node", "p.bands", "p.wide")
+        "id", "hash", "p.node", "p.bands", "p.wide", "p.odd", "p.size")
     rows = stored(rows, "prints")
-    nodes = stored(rows.select("node", "bands", "wide").dropDuplicates(["node"]), "nodes")
+    nodes = stored(rows.select("node", "bands", "wide", "odd", "size").dropDuplicates(["node"]), "nodes")
     # Copies meet in their node before anything is joined, so no key of the join has more than one row.
     firsts = rows.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("k"))
     held = docs.select(id_.alias("id"), hash_.alias("hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import xxhash
 
 from sheafline.llm import components, queries, simhash
@@ -160,3 +161,34 @@ def test_links_are_exactly_the_pairs_at_the_limit(spark):
     far = {i + 1 for i in range(0, 240, 2) if alike(texts[i], texts[i + 1]) < 0.8}
     assert 30 < len(far) < 90
     assert kept_ids(spark, texts) == sorted(set(range(0, 240, 2)) | far)
+
+
+def test_odd_sketches_never_differ_in_more_bits_than_the_sets_in_shingles():
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for n in (1, 2, 4, 5, 9, 30, 100, 700, 5000):
+        for share in (0.0, 0.1, 0.2, 0.5):
+            both = rng.integers(0, 2**64, n, dtype=np.uint64)
+            own = [np.unique(np.concatenate([both, rng.integers(0, 2**64, int(n * share), dtype=np.uint64)])) for _ in range(2)]
+            sketches = [np.array(simhash.odd_sketch(h), dtype=np.int64) for h in own]
+            bits = sum(int(x).bit_count() for x in (sketches[0] ^ sketches[1]).view(np.uint64))
+            apart = len(np.setxor1d(*own))
+            assert bits <= apart and bits % 2 == apart % 2
+            together = sum(map(len, own))
+            if len(np.intersect1d(*own)) / len(np.union1d(*own)) >= 0.8:
+                assert bits <= together * simhash.differing(0.8) + 1e-9
+            else:
+                ruled_out += bits > together * simhash.differing(0.8) + 1e-9
+    assert ruled_out >= 9
+
+
+def test_similar_short_texts_are_always_linked(spark):
+    rnd, rows, wanted = random.Random(6), [], set()
+    for k in range(300):  # five shingles and four of them: exactly the limit
+        words = [f"w{rnd.randint(0, 10**6)}" for _ in range(9)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-1]))]
+        if set(simhash.bands_of(simhash.shingle_hashes(rows[-2][1]))) & set(simhash.bands_of(simhash.shingle_hashes(rows[-1][1]))):
+            wanted.add(2 * k + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in simhash.keep_one_of_each(docs).select("doc_id").collect()}
+    assert len(wanted) > 290 and kept == set(range(600)) - wanted
