@@ -207,7 +207,8 @@ def _prints(text: Column) -> Column:
     return made(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def linked_in_buckets(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_in_buckets(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame], sketches: DataFrame | None = None,
+                      may_link: Callable[[str, str], Column] | None = None) -> DataFrame:
     """``node, component`` for the nodes linked to others: any two nodes of a bucket (``t, bucket, node``) that ``verified`` (pairs
     ``a, b`` in, those that are links out) keeps are in one component.
 
@@ -215,7 +216,10 @@ def linked_in_buckets(buckets: DataFrame, verified: Callable[[DataFrame], DataFr
     are drawn from outside the bucket's largest component; a bucket whose members are all in one component is done. Buckets
     of up to ``LEADERS + 1`` members are compared whole at once, a group of near copies falls together in the first round whatever its
     size, and only members that stay unlinked though they meet are compared one with another: four times as many a round.
+    With ``sketches`` (``node, sketch``), pairs that ``may_link`` rules out by the names of both sketches are not made at all.
     """
+    if sketches is None:
+        sketches, may_link = buckets.select("node", F.lit(None).alias("sketch")).distinct(), lambda x, y: F.lit(True)
     held, names, links, leaders = stored(buckets.withColumn("component", F.col("node")), "buckets"), None, None, LEADERS
     while True:
         counted = held.groupBy("t", "bucket", "component").agg(F.count("*").alias("n"))
@@ -228,8 +232,9 @@ def linked_in_buckets(buckets: DataFrame, verified: Callable[[DataFrame], DataFr
             "t", "bucket", "node", "component", ((F.col("component") != F.col("main")) & drawn).alias("leads")), "members")
         if held.isEmpty():
             break
-        first = held.where("leads").select("t", "bucket", F.col("node").alias("x"), F.col("component").alias("_of"))
-        pairs = first.join(held, ["t", "bucket"]).where("component <> _of").select(
+        known = held.join(sketches, "node")
+        first = known.where("leads").select("t", "bucket", F.col("node").alias("x"), F.col("component").alias("_of"), F.col("sketch").alias("_sketch"))
+        pairs = first.join(known, ["t", "bucket"]).where((F.col("component") != F.col("_of")) & may_link("_sketch", "sketch")).select(
             F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
         found = stored(verified(pairs), "similar")
         links = found if links is None else links.unionAll(found)
@@ -265,21 +270,22 @@ def similar_groups(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], s
     Nodes that agree in a band meet in a bucket. Any two that meet, and whose odd sketches (for certain) and wide fingerprints (all but
     certainly) do not rule it out, are compared by all their shingles (``sets_of`` makes ``node, hashes`` of a table of nodes) and linked at ``similarity`` or more."""
     dealt = rows.select("node", F.posexplode("bands").alias("t", "bucket"))
-    first = rows.select(F.col("node").alias("a"), F.col("wide").alias("wide_a"), F.col("odd").alias("odd_a"), F.col("size").alias("size_a"))
-    second = rows.select(F.col("node").alias("b"), F.col("wide").alias("wide_b"), F.col("odd").alias("odd_b"), F.col("size").alias("size_b"))
 
-    def apart(name: str) -> Column:
-        return F.aggregate(F.zip_with(f"{name}_a", f"{name}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    def apart(x: str, y: str, name: str) -> Column:
+        return F.aggregate(F.zip_with(f"{x}.{name}", f"{y}.{name}", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
 
-    may_link = (apart("odd") <= (F.col("size_a") + F.col("size_b")) * differing(similarity) + 1e-9) & (
-        (F.least("size_a", "size_b") < LEAST_WIDE) | (apart("wide") <= wide_limit(similarity)))
+    def may_link(x: str, y: str) -> Column:
+        both = F.col(f"{x}.size") + F.col(f"{y}.size")
+        return (apart(x, y, "odd") <= both * differing(similarity) + 1e-9) & (
+            (F.least(f"{x}.size", f"{y}.size") < LEAST_WIDE) | (apart(x, y, "wide") <= wide_limit(similarity)))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        near = stored(pairs.join(first, "a").join(second, "b").where(may_link).select("a", "b"), "candidates")
+        near = stored(pairs, "candidates")
         needed = near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))).distinct()
         return alike(near, stored(sets_of(needed), "sets"), similarity)
 
-    return linked_in_buckets(dealt, verified).withColumnRenamed("component", "group")
+    sketches = rows.select("node", F.struct("odd", "wide", "size").alias("sketch"))
+    return linked_in_buckets(dealt, verified, sketches, may_link).withColumnRenamed("component", "group")
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
