@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,8 @@ DEFAULT_SIZE = 1000
 DEFAULT_OVERLAP = 200
 # Separators of the older full re-index, which never cuts inside a word.
 WORD_SEPARATORS = SEPARATORS[:-1]
+# Characters of pages whose chunks are held in Python at a time; a longer page is split by itself.
+SPLIT_AT_ONCE = 1 << 20
 # Page numbers of one document that are summed in one task.
 PAGES_PER_BLOCK = 4096
 
@@ -70,6 +73,18 @@ def _numbered(pages_with_chunks: DataFrame) -> DataFrame:
     )
 
 
+def _slices(lengths: Sequence[int]) -> Iterator[tuple[int, int]]:
+    """Start and end of runs of pages of up to ``SPLIT_AT_ONCE`` characters together; one page at least."""
+    start = held = 0
+    for end, length in enumerate(lengths):
+        if end > start and held + length > SPLIT_AT_ONCE:
+            yield start, end
+            start, held = end, 0
+        held += length
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
 def chunk_pages(
     pages: DataFrame,
     size: int = DEFAULT_SIZE,
@@ -83,16 +98,19 @@ def chunk_pages(
     """
     _check_window(size, overlap)
     chosen = tuple(separators)
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split_pages(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: split_text(text, size, overlap, chosen) if text else [])
-
-    # The Python function is expensive, and Spark must not run it once per use.
-    with_chunks = pages.select(
-        "document_id", "filename", "page", split_pages.asNondeterministic()("text").alias("chunks")
-    )
-    return _numbered(with_chunks)
+    slim = pages.select("document_id", "filename", "page", "text")
+    schema = T.StructType([*slim.schema.fields[:3], T.StructField("chunks", T.ArrayType(T.StringType()))])
+
+    def split_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            for start, end in _slices(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+                made = [split_text(t, size, overlap, chosen) if t else [] for t in texts.slice(start, end - start).to_pylist()]
+                rows = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays(
+                    [*(rows.column(k) for k in range(3)), pa.array(made, pa.list_(texts.type))], names=schema.names)
+
+    return _numbered(slim.mapInArrow(split_pages, schema))
 
 
 def chunk_fixed(pages: DataFrame, size: int = DEFAULT_SIZE, overlap: int = DEFAULT_OVERLAP) -> DataFrame:

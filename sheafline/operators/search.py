@@ -26,6 +26,8 @@ DEFAULT_TOP_K = 5
 QUERIES_PER_PASS = 1024
 METRICS = ("cosine", "l2_relevance")
 CANDIDATES_SALT = 64
+# Vectors, and queries with all their probes, that a task works out at a time, however many a batch holds.
+CODED_AT_ONCE, PROBED_AT_ONCE = 512, 16
 # Hash tables, planes of each, buckets probed in each, and the seed of the planes.
 TABLES, BITS, PROBES, SEED = 24, 12, 64, 17
 
@@ -177,16 +179,24 @@ def _slim(df: DataFrame, id_name: str, vector: str) -> DataFrame:
     return df.select(column(id_name).alias("id"), column(vector).alias("v")).filter(F.col("v").isNotNull())
 
 
-def with_buckets(vectors: DataFrame, vector: str = "embedding", tables: int = TABLES, bits: int = BITS, seed: int = SEED) -> DataFrame:
-    """``vectors`` with ``buckets ARRAY<INT>``: the bucket in each table, to store an index by them."""
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def codes(values: pd.Series) -> pd.Series:
+def coded(batch: pd.Series, tables: int, bits: int, seed: int) -> Iterator[pd.Series]:
+    """The buckets of a batch's vectors, some rows at a time."""
+    for at in range(0, len(batch), CODED_AT_ONCE):
+        values = batch.iloc[at:at + CODED_AT_ONCE]
         present = values.dropna()
         found = pd.Series([None] * len(values), index=values.index, dtype=object)
         if len(present):
             found[present.index] = list(_codes(_matrix(present), tables, bits, seed).astype("int32"))
-        return found
+        yield found
+
+
+def with_buckets(vectors: DataFrame, vector: str = "embedding", tables: int = TABLES, bits: int = BITS, seed: int = SEED) -> DataFrame:
+    """``vectors`` with ``buckets ARRAY<INT>``: the bucket in each table, to store an index by them."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield from coded(batch, tables, bits, seed)
 
     return vectors.withColumn("buckets", codes(column(vector)))
 
@@ -202,6 +212,13 @@ def probed_buckets(vector: np.ndarray, tables: int, bits: int, seed: int, probes
     return [(t, int(own[t]) ^ int(x)) for t in range(tables) for x in nearest[t]]
 
 
+def probed(batch: pd.Series, tables: int, bits: int, seed: int, probes: int) -> Iterator[pd.Series]:
+    """The probed buckets of a batch's queries, few queries at a time."""
+    for at in range(0, len(batch), PROBED_AT_ONCE):
+        yield batch.iloc[at:at + PROBED_AT_ONCE].map(
+            lambda v: [{"t": t, "b": b} for t, b in probed_buckets(np.asarray(v, dtype=np.float64), tables, bits, seed, probes)])
+
+
 def approximate_candidates(vectors: DataFrame, queries: DataFrame, vector_id: str = "vector_id", vector: str = "embedding",
                            query_id: str = "query_id", query_vector: str = "embedding", tables: int = TABLES, bits: int = BITS,
                            probes: int = PROBES, seed: int = SEED) -> DataFrame:
@@ -212,8 +229,9 @@ def approximate_candidates(vectors: DataFrame, queries: DataFrame, vector_id: st
     """
 
     @F.pandas_udf("array<struct<t:int,b:int>>")
-    def probe(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: [{"t": t, "b": b} for t, b in probed_buckets(np.asarray(v, dtype=np.float64), tables, bits, seed, probes)])
+    def probe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield from probed(batch, tables, bits, seed, probes)
 
     asked = _slim(queries, query_id, query_vector).select(F.col("id").alias("query_id"), F.explode(probe("v")).alias("p")).select(
         "query_id", F.col("p.t").alias("t"), F.col("p.b").alias("b"))

@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sheafline.errors import AnalyticsError
+from sheafline.functions.splitting import split_text
 from sheafline.operators import catalog, chunks, search, skew
 
 PAGES = "document_id long, filename string, page int, text string"
@@ -207,3 +209,30 @@ def test_documents_without_content_are_no_duplicates(frame):
     indexed = frame([(9, "k"), (8, None)], "document_id long, content_hash string")
     assert [r["document_id"] for r in catalog.new_documents(rows, indexed).collect()] == [3]
     assert sorted(r["document_id"] for r in catalog.documents_without_content(rows).collect()) == [1, 2]
+
+
+def test_pages_of_one_batch_are_split_in_slices(frame):
+    lengths = [0, 5, chunks.SPLIT_AT_ONCE, 3, 4, 3 * chunks.SPLIT_AT_ONCE, 1]
+    cuts = list(chunks._slices(lengths))
+    assert [x for start, end in cuts for x in range(start, end)] == list(range(len(lengths))) and len(cuts) > 3
+    assert all(end - start == 1 or sum(lengths[start:end]) <= chunks.SPLIT_AT_ONCE for start, end in cuts)
+    assert list(chunks._slices([])) == []
+    texts = [None, "", *(f"p{i} " * 60_000 for i in range(12)), "last"]
+    df = frame([(i, None, i, t) for i, t in enumerate(texts)], PAGES).coalesce(1)
+    made = {}
+    for r in chunks.chunk_pages(df).orderBy("document_id", "chunk_index").collect():
+        made.setdefault(r["document_id"], []).append(r["text"])
+    assert made == {i: split_text(t, 1000, 200) for i, t in enumerate(texts) if t}
+
+
+def test_vectors_and_queries_of_one_batch_are_hashed_in_slices():
+    rng = np.random.default_rng(7)
+    batch = pd.Series([None if i % 9 == 4 else v for i, v in enumerate(rng.standard_normal((1500, 8)))])
+    parts = list(search.coded(batch, 4, 3, 1))
+    assert len(parts) > 1 and max(map(len, parts)) <= search.CODED_AT_ONCE
+    for v, found in zip(batch, pd.concat(parts)):
+        assert found is None if v is None else found.tolist() == search._codes(v[None, :], 4, 3, 1)[0].tolist()
+    asked = batch.dropna().iloc[:40]
+    parts = list(search.probed(asked, 2, 4, 3, 5))
+    assert len(parts) > 1 and max(map(len, parts)) <= search.PROBED_AT_ONCE
+    assert [[(p["t"], p["b"]) for p in row] for row in pd.concat(parts)] == [search.probed_buckets(v, 2, 4, 3, 5) for v in asked]
