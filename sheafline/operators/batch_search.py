@@ -1,8 +1,9 @@
 """Exact top-k search for tables of queries, each with a document of its own to search in if it wants one.
 
 Vectors are dealt to parts of a bounded number of rows. A part's task holds its vectors as one matrix and streams all queries
-past it a batch at a time; what it hands on is the best ``k`` of each query, and of those only what reaches the k-th score that
-a first round over a single part has found. Nothing but the number of vectors comes to the driver.
+past it a batch at a time, in blocks of vectors: a query's k-th score so far rules out what later blocks have below it. What a task hands
+on is the best ``k`` of each query, and of those only what reaches the k-th score that a first round over a single part has
+found. Nothing but the number of vectors comes to the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,28 +22,59 @@ from sheafline.operators.columns import column, dtype_of
 from sheafline.operators.search import DEFAULT_TOP_K, _check, _ranked, _scores
 from sheafline.session import written
 
-# Vectors of one part, and queries scored together: what one task holds.
-PART_ROWS, QUERY_ROWS = 50_000, 512
-# Scores that agree to this many places are ties.
-PLACES = 10
+# Vectors of one part, at most; queries, and vectors, scored together: what one task holds.
+PART_ROWS, QUERY_ROWS, BLOCK_ROWS = 50_000, 256, 1024
+# Parts there are at least, unless they had fewer vectors than a block.
+PARTS = 48
+# Scores that agree to this many places are ties, and how far a score may be from the rounded one.
+PLACES, MARGIN = 10, 1e-9
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
-def best_rows(scores: np.ndarray, order: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the best ``top_k`` finite scores of each row, ties by the least ``order`` of the column."""
-    if scores.shape[1] > top_k:
-        floor = np.partition(scores, -top_k, axis=1)[:, -top_k]
-    else:
-        floor = np.full(len(scores), -np.inf)
-    rows, cols = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
-    placed = np.lexsort((order[cols], -scores[rows, cols], rows))
-    rows, cols = rows[placed], cols[placed]
+def _units(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one; zeros for those without a length."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        units = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    units[~np.isfinite(units).all(axis=1)] = 0.0
+    return units
+
+
+def best_rows(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray, order: np.ndarray, top_k: int) -> tuple[np.ndarray, ...]:
+    """The best ``top_k`` entries of each row, best first, ties by the least ``order`` of the column, and the place of each."""
+    placed = np.lexsort((order[cols], -scores, rows))
+    rows, cols, scores = rows[placed], cols[placed], scores[placed]
     firsts = np.flatnonzero(np.diff(rows, prepend=-1))
     rank = np.arange(len(rows)) - np.repeat(firsts, np.diff(firsts, append=len(rows)))
-    return rows[rank < top_k], cols[rank < top_k]
+    kept = rank < top_k
+    return rows[kept], cols[kept], scores[kept], rank[kept]
+
+
+def best_of(queries: np.ndarray, matrix: np.ndarray, order: np.ndarray, bars: np.ndarray, top_k: int, metric: str,
+            scopes: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, vector and rounded score of the best ``top_k`` of each query that reach its bar.
+
+    With the cosine both tables hold unit vectors. ``scopes`` are numbers of both tables that have to agree; a query with a negative one
+    takes all.
+    """
+    bars, held = bars.copy(), (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+    for at in range(0, len(matrix), BLOCK_ROWS):
+        block = matrix[at:at + BLOCK_ROWS]
+        near = queries @ block.T if metric == "cosine" else _scores(queries, block, metric)
+        rows, cols = np.nonzero(near >= (bars - MARGIN)[:, None])
+        scores = np.round(near[rows, cols], PLACES)
+        reach = (scores >= bars[rows]) & np.isfinite(scores)
+        if scopes is not None:
+            reach &= (scopes[0][rows] < 0) | (scopes[0][rows] == scopes[1][cols + at])
+        if not reach.any():
+            continue
+        found = rows[reach], cols[reach] + at, scores[reach]
+        *held, rank = best_rows(*(np.concatenate(pair) for pair in zip(held, found)), order, top_k)
+        last = rank == top_k - 1
+        bars[held[0][last]] = held[2][last]
+    return tuple(held)
 
 
 def _run(parts: DataFrame, top_k: int, metric: str) -> DataFrame:
@@ -66,21 +99,21 @@ def _run(parts: DataFrame, top_k: int, metric: str) -> DataFrame:
                     continue  # a part without vectors
                 if matrix is None:
                     rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    held, matrix, ids, scopes = [], _matrix(rows.column("v")), rows.column("vector_id"), rows.column("scope")
+                    held, matrix, ids = [], _matrix(rows.column("v")), rows.column("vector_id")
+                    matrix = _units(matrix) if metric == "cosine" else matrix
                     order = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-                    scopes = scopes.to_numpy(zero_copy_only=False)
+                    names = rows.column("scope").unique().drop_null()
+                    scopes = pc.fill_null(pc.index_in(rows.column("scope"), names), len(names)).to_numpy(zero_copy_only=False)
                 for at in range(0, run.num_rows, QUERY_ROWS):
                     asked = run.slice(at, QUERY_ROWS)
-                    scores = np.round(_scores(_matrix(asked.column("v")), matrix, metric), PLACES)
-                    wanted = asked.column("scope")
+                    queries, wanted, limits = _matrix(asked.column("v")), asked.column("scope"), None
                     if wanted.null_count < len(wanted):
-                        own = wanted.to_numpy(zero_copy_only=False)
-                        limited = ~wanted.is_null().to_numpy(zero_copy_only=False)
-                        scores[limited] = np.where(own[limited][:, None] == scopes[None, :], scores[limited], -np.inf)
-                    scores[scores < asked.column("bar").to_numpy(zero_copy_only=False)[:, None]] = -np.inf
-                    r, c = best_rows(scores, order, top_k)
+                        own = pc.fill_null(pc.index_in(wanted, names), len(names) + 1)
+                        limits = pc.if_else(pc.is_null(wanted), -1, own).to_numpy(zero_copy_only=False), scopes
+                    r, c, scores = best_of(_units(queries) if metric == "cosine" else queries, matrix, order,
+                                           asked.column("bar").to_numpy(zero_copy_only=False), top_k, metric, limits)
                     yield pa.RecordBatch.from_arrays(
-                        [asked.column("query_id").take(pa.array(r)), ids.take(pa.array(c)), pa.array(scores[r, c])], names=["query_id", "vector_id", "raw_score"])
+                        [asked.column("query_id").take(pa.array(r)), ids.take(pa.array(c)), pa.array(scores)], names=["query_id", "vector_id", "raw_score"])
 
     schema = T.StructType([T.StructField("query_id", types["query_id"]), T.StructField("vector_id", types["vector_id"]),
                            T.StructField("raw_score", T.DoubleType())])
@@ -117,24 +150,27 @@ def search_many(
     asked = queries.select(
         column(query_id).alias("query_id"), column(query_vector).cast("array<double>").alias("v"), wanted.cast(kind).alias("scope")).where(
         F.col("query_id").isNotNull() & F.col("v").isNotNull())
-    n_parts = max(1, -(-held.count() // part_rows))
+    n_held = held.count()
+    n_parts = max(1, -(-n_held // min(part_rows, max(BLOCK_ROWS, -(-n_held // PARTS)))))
     id_types = dtype_of(queries, query_id), dtype_of(vectors, vector_id)
     placed = held.select(F.pmod(F.xxhash64("vector_id"), F.lit(n_parts)).cast("int").alias("part"), F.lit(0).alias("kind"),
                          F.lit(None).cast(id_types[0]).alias("query_id"), "vector_id", "v", "scope", F.lit(None).cast("double").alias("bar"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part")
+    one = F.pmod(F.xxhash64("query_id"), F.lit(n_parts)).cast("int").alias("part")
 
-    def dealt(rows: DataFrame, questions: DataFrame, first: int, upto: int) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(first), F.lit(upto))).alias("part")
-        copies = questions.select(every, F.lit(1).alias("kind"), "query_id", F.lit(None).cast(id_types[1]).alias("vector_id"), "v", "scope", "bar")
-        return rows.unionByName(copies).repartition(upto - first + 1, "part").sortWithinPartitions("part", "kind")
+    def dealt(rows: DataFrame, questions: DataFrame, part: Column) -> DataFrame:
+        asking = questions.select(part, F.lit(1).alias("kind"), "query_id", F.lit(None).cast(id_types[1]).alias("vector_id"), "v", "scope", "bar")
+        return rows.unionByName(asking).repartitionById(n_parts, "part").sortWithinPartitions("part", "kind")
 
     barred = asked.withColumn("bar", F.lit(float(min_score)))
     if n_parts > 1:
-        # A first round over one part: what is below its k-th score is not handed on by the others.
-        opening = _run(dealt(placed.where(F.col("part") == 0), barred, 0, 0), top_k, metric)
-        kth = _ranked(opening, top_k).where(F.col("rank") == top_k).select("query_id", F.col("raw_score").alias("_kth"))
+        # A first round over one part, each task with a share of the queries: what is below its k-th score is not handed on by the others.
+        opening = placed.where(F.col("part") == 0).drop("part").select(every, "*")
+        kth = _ranked(_run(dealt(opening, barred, one), top_k, metric), top_k).where(F.col("rank") == top_k).select(
+            "query_id", F.col("raw_score").alias("_kth"))
         known = written(kth, "bars")
         barred = asked.join(known, "query_id", "left").withColumn("bar", F.coalesce("_kth", F.lit(float(min_score)))).drop("_kth")
-    found = _run(dealt(placed, barred, 0, n_parts - 1), top_k, metric)
+    found = _run(dealt(placed, barred, every), top_k, metric)
     score = half_even(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw_score"))), 4)
     return _ranked(found, top_k).select("query_id", "rank", "vector_id", score.alias("score"))
 

@@ -71,3 +71,32 @@ def test_passages_nulls_and_nothing(spark, tables):
     assert batch_search.search_many(vectors, queries.where("false")).count() == 0
     with pytest.raises(AnalyticsError, match="INVALID_TOP_K"):
         batch_search.search_many(vectors, queries, top_k=0)
+
+
+def test_vectors_beyond_a_block_are_dealt_to_several_tasks_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vectors = rng.standard_normal((5000, 6)).round(1)
+    rows = [(i, v.tolist(), f"doc{i % 3}", i, "") for i, v in enumerate(vectors)]
+    asked = [(i, vectors[i].tolist(), [None, "doc1"][i % 2]) for i in range(0, 5000, 250)]
+    held = spark.createDataFrame(rows, "vector_id long, embedding array<float>, filename string, page int, text string")
+    handed = []
+    real = batch_search._run
+    monkeypatch.setattr(batch_search, "_run", lambda parts, *a: handed.append(parts.rdd.getNumPartitions()) or real(parts, *a))
+    found = batch_search.search_many(held, spark.createDataFrame(asked, "query_id long, embedding array<double>, scope string"),
+                                     document="filename", scope="scope", min_score=0.2, top_k=4)
+    exact = [(i, np.array(v, dtype=np.float32).astype(float).tolist(), d, p, t) for i, v, d, p, t in rows]
+    want = brute(exact, asked, 4, "cosine", 0.2, True)
+    got = {(r["query_id"], r["rank"]): r["vector_id"] for r in found.collect()}
+    assert got == {k: v[0] for k, v in want.items()}
+    assert handed == [5, 5]  # the first round, too, has its queries shared out
+
+
+def test_memory_of_a_block_does_not_grow_with_the_vectors(monkeypatch):
+    rng = np.random.default_rng(2)
+    queries, matrix = (batch_search._units(rng.standard_normal((n, 4))) for n in (20, 6000))
+    shapes, real = [], np.nonzero
+    monkeypatch.setattr(batch_search.np, "nonzero", lambda m: shapes.append(m.shape) or real(m))
+    rows, cols, scores = batch_search.best_of(queries, matrix, np.arange(6000), np.full(20, -np.inf), 3, "cosine")
+    assert max(shape[1] for shape in shapes if len(shape) == 2) <= batch_search.BLOCK_ROWS
+    plain = np.round(queries @ matrix.T, batch_search.PLACES)
+    assert all(cols[rows == q].tolist() == np.lexsort((np.arange(6000), -plain[q]))[:3].tolist() for q in range(20))
