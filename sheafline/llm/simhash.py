@@ -73,14 +73,18 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def covering_tables() -> Column:
+    """The covering masks as an array of ``t, mask``."""
+    return F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("mask")) for t, m in enumerate(covering_masks())])
+
+
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints (column ``fingerprint``) that join all pairs within two bits.
 
     Every pair within two bits is connected through the links, and no link is longer than two bits.
     """
     masks = covering_masks()
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("mask")) for t, m in enumerate(masks)])
-    dealt = prints.select("fingerprint", F.explode(tables).alias("x")).select(
+    dealt = prints.select("fingerprint", F.explode(covering_tables()).alias("x")).select(
         "fingerprint", "x.t", F.col("fingerprint").bitwiseAND(F.col("x.mask")).alias("bucket"))
     met = dealt.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("t", "bucket")
     steps = F.array(*[F.array(*[F.lit(x) for x in [0] + [_signed(1 << i) for i in range(BITS) if not m >> i & 1]]) for m in masks])
@@ -111,8 +115,8 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, id_column: str
 # --- groups of similar documents: a wider radius, and similarity of five-word shingles ------------------
 
 
-# Words of a shingle, and bits of the fingerprint that judges candidates. Candidates agree in one of ``BANDS`` bands of ``BAND`` least
-# hashes of their shingles each: of pairs with Jaccard similarity 0.8 all but (1 - 0.8^5)^28 = 15 in a million do, wherever their
+# Words of a shingle, and bits of the fingerprint that judges candidates. Candidates differ in at most ``RADIUS`` of the first 64 of those
+# bits, which the covering tables always find, or agree in one of ``BANDS`` bands of ``BAND`` least hashes of their shingles each: of pairs with Jaccard similarity 0.8 all but (1 - 0.8^5)^28 = 15 in a million do, wherever their
 # words differ, and fewer of more similar ones.
 SHINGLE, WIDE, BANDS, BAND = 5, 256, 28, 5
 # Shingle hashes that all least hashes are taken over at once.
@@ -264,12 +268,24 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return counted.where(F.col("n") >= F.col("of") * similarity - 1e-9).select("a", "b")
 
 
+def buckets_of(rows: DataFrame) -> DataFrame:
+    """``node, t, bucket``: where the nodes of ``rows`` (``node, bands, wide, size``) meet.
+
+    The first 64 bits of the wide fingerprint are the SimHash of the five-word shingles, and any two of them within ``RADIUS`` bits agree under
+    one of its covering masks. The bands are for sets that are similar but whose fingerprints are farther apart. A text without
+    words meets nothing.
+    """
+    covered = F.transform(covering_tables(), lambda x: F.element_at("wide", 1).bitwiseAND(x["mask"]))
+    keys = F.when(F.col("size") > 0, F.concat("bands", covered)).otherwise(F.array().cast("array<long>"))
+    return rows.select("node", F.posexplode(keys).alias("t", "bucket"))
+
+
 def similar_groups(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """``node, group`` for those nodes of ``rows`` (``node, bands, wide, odd, size``, distinct) that are linked to others.
 
-    Nodes that agree in a band meet in a bucket. Any two that meet, and whose odd sketches (for certain) and wide fingerprints (all but
+    Nodes whose SimHashes agree under a covering mask, or that agree in a band, meet in a bucket. Any two that meet, and whose odd sketches (for certain) and wide fingerprints (all but
     certainly) do not rule it out, are compared by all their shingles (``sets_of`` makes ``node, hashes`` of a table of nodes) and linked at ``similarity`` or more."""
-    dealt = rows.select("node", F.posexplode("bands").alias("t", "bucket"))
+    dealt = buckets_of(rows)
 
     def apart(x: str, y: str, name: str) -> Column:
         return F.aggregate(F.zip_with(f"{x}.{name}", f"{y}.{name}", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)

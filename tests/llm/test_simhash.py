@@ -192,3 +192,23 @@ def test_similar_short_texts_are_always_linked(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     kept = {r["doc_id"] for r in simhash.keep_one_of_each(docs).select("doc_id").collect()}
     assert len(wanted) > 290 and kept == set(range(600)) - wanted
+
+
+def test_fingerprints_within_two_bits_are_candidates_without_a_common_band(spark):
+    rnd, rows, sets = random.Random(4), [], {}
+    for k in range(40):  # pairs that differ in up to two bits of 64, and in all bands
+        base, shared = rnd.getrandbits(64), [rnd.getrandbits(62) for _ in range(40)]
+        for c in range(2):
+            node, first = 2 * k + c, base
+            for b in rnd.sample(range(64), k % 3) if c else []:
+                first ^= 1 << b
+            wide = [simhash._signed(first), 0, 0, 0]
+            rows.append((node, [rnd.getrandbits(62) for _ in range(simhash.BANDS)], wide, [0] * (simhash.ODD // 64), 40))
+            sets[node] = shared if k % 4 else [rnd.getrandbits(62) for _ in range(40)]  # every fourth pair is not alike
+    table = spark.createDataFrame(rows, "node long, bands array<long>, wide array<long>, odd array<long>, size long")
+    held = spark.createDataFrame(list(sets.items()), "node long, hashes array<long>")
+    found = simhash.similar_groups(table, lambda needed: held.join(needed, "node"), 0.8)
+    got = {r["node"]: r["group"] for r in found.collect()}
+    assert got == {2 * k + c: 2 * k for k in range(40) if k % 4 for c in range(2)}
+    empty = spark.createDataFrame([(1, [], [0] * 4, [0] * 8, 0)], table.schema)
+    assert simhash.buckets_of(empty).count() == 0
