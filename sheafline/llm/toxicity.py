@@ -101,6 +101,15 @@ class ToxicityModel:
     prior: float = 0.0
 
 
+@dataclass
+class FittedToxicity:
+    """The gram tables, broadcast, and beside them what a plan needs of the model, so that the driver holds no tables."""
+
+    tables: Broadcast
+    curve: list[float] | None
+    prior: float
+
+
 def _full(letters: Letters, now: np.ndarray, n: int) -> np.ndarray:
     """Places whose longest gram is the one of ``n`` characters: of the full order, or back to the start of the word."""
     return (now > 0) & (letters.place > 0) & ((letters.place == n - 1) | (n == ORDER))
@@ -232,8 +241,8 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, ordinary_rows: int = ORDINARY_ROWS,
-        toxic_rows: int = TOXIC_ROWS) -> Broadcast:
-    """The model of ``labels.toxic`` (0 or 1 by ``doc_id``) on the texts of ``docs``, broadcast.
+        toxic_rows: int = TOXIC_ROWS) -> FittedToxicity:
+    """The model of ``labels.toxic`` (0 or 1 by ``doc_id``) on the texts of ``docs``, its tables broadcast.
 
     Rows for which ``held_out`` (a condition on ``doc_id``) is true are never read for it. At most ``ordinary_rows`` and
     ``toxic_rows`` labelled documents are used, chosen by a hash of their id; that bounds the words that reach the driver
@@ -258,28 +267,37 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, ordi
         F.sum(1 - F.col("toxic")).alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow()
     counts = np.stack([counted["ordinary"].to_numpy(), counted["toxic"].to_numpy()], axis=1) if len(counted) else np.zeros((0, 2))
     if not (counts.sum(axis=0) > 0).all():
-        return spark.sparkContext.broadcast(model)
+        return _shared(spark, model)
     model = replace(count_grams(counted["word"].to_pylist(), counts), prior=model.prior)
-    shown = sample.where("curve").select("toxic", figures(F.col("text"), spark.sparkContext.broadcast(model)).alias("x")).collect()
+    del counted, counts
+    grams = spark.sparkContext.broadcast(model)
+    shown = sample.where("curve").select("toxic", figures(F.col("text"), grams).alias("x")).collect()
+    grams.destroy()  # its copy in the driver's memory is not needed any more
     y = np.array([r["toxic"] for r in shown], dtype=float)
     if len(set(y.tolist())) == 2:
         # The sample takes as many of each class as it can; the curve weighs them as they occur.
         weight = np.where(y == 1, size[1] / max(1, (y == 1).sum()), size[0] / max(1, (y == 0).sum()))
         model.curve = _fit_curve(np.array([r["x"] for r in shown]), y, weight)
-    return spark.sparkContext.broadcast(model)
+    return _shared(spark, model)
+
+
+def _shared(spark: SparkSession, model: ToxicityModel) -> FittedToxicity:
+    held = FittedToxicity(spark.sparkContext.broadcast(model), model.curve, model.prior)
+    give_back()
+    return held
 
 
-def toxicity(text: Column, held: Broadcast) -> Column:
+def toxicity(text: Column, held: FittedToxicity) -> Column:
     """Score of a text from 0 to 1, higher where toxic is likelier."""
-    curve = held.value.curve
+    curve = held.curve
     if curve is None:
-        return F.lit(float(held.value.prior))
-    x = figures(text, held)
+        return F.lit(float(held.prior))
+    x = figures(text, held.tables)
     z = F.aggregate(F.zip_with(x, F.array(*[F.lit(w) for w in curve[:-1]]), lambda a, b: a * b), F.lit(curve[-1]), lambda a, b: a + b)
     return 1 / (1 + F.exp(-z))
 
 
-def score_documents(docs: DataFrame, held: Broadcast, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, held: FittedToxicity, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, score, predicted`` of every whole text; predicted is 1 from ``threshold`` on.
 
     A null or empty text, or one without words, has figures of zero and the score the curve gives them. A null id stays
