@@ -6,8 +6,9 @@ and item are compared, and a passage counts when some stretch of ``WINDOW`` word
 ``SHARE`` of them equal. Any four changed words in twenty leave at least one of the two masks a place; items of lengths at which the two
 do not suffice have masks of their own, so every passage is found that a comparison of all places would find (tests try all changes).
 
-Everything is expressions and joins. Places are exploded where the text lies and only hits leave a task; the benchmark is sent
-to the tasks in blocks of bounded size, one pass over the texts each, so nothing of unknown size is broadcast.
+Everything is expressions and joins. Places are exploded where the text lies, a segment of it at a time, and only hits leave a task; a hit
+carries the words around it, never the text, so what a task holds does not grow with texts that hold many passages. The benchmark is
+sent to the tasks in blocks of bounded size, one pass over the texts each, so nothing of unknown size is broadcast.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ OTHER_MASKS = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("111", "110
 UNSPACED = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{323af}]"
 # Words of benchmark items in one broadcast block.
 BLOCK_WORDS = 400_000
+# Words of a text whose places are looked at together. Spark holds back what one row gives in a stage of generated code, so a row is
+# a segment and not a text.
+SEGMENT_WORDS = 1024
 
 
 def words(text: Column) -> Column:
@@ -43,19 +47,47 @@ def masks_of(need: int) -> tuple[str, ...]:
     return OTHER_MASKS.get(need, MASKS)
 
 
+def _segments(rows: DataFrame, margin: int) -> DataFrame:
+    """``rows`` with ``words`` in segments: ``SEGMENT_WORDS`` of the text from word ``lead`` of the segment on, which are its own, with up
+    to ``margin`` more on both sides; the segment begins at word ``base`` of the text."""
+    size = F.size("words")
+    numbers = F.sequence(F.lit(0), F.floor((F.greatest(size, F.lit(1)) - 1) / SEGMENT_WORDS).cast("int"))
+
+    def cut(k: Column) -> Column:
+        first = k * SEGMENT_WORDS
+        base = F.greatest(F.lit(0), first - margin)
+        held = F.slice("words", base + 1, first - base + SEGMENT_WORDS + margin)
+        return F.struct(base.alias("base"), (first - base).alias("lead"), held.alias("words"))
+
+    kept = [c for c in rows.columns if c != "words"]
+    return rows.select(*kept, F.explode(F.transform(numbers, cut)).alias("_g")).select(*kept, "_g.base", "_g.lead", "_g.words")
+
+
 def _placed(rows: DataFrame, masks: list[str], fits: Callable[[str], Column] = lambda mask: F.lit(True)) -> DataFrame:
-    """A row for each place of ``words`` and each mask that ends within them and ``fits``: ``at, seed, width``."""
+    """A row for each place of ``words`` (of segments: those of its own) and each mask that ends within them and ``fits``: ``at, seed,
+    width``."""
     least, size, at = min(map(len, masks)), F.size("words"), F.col("at")
+    first, last = F.lit(0), size - least
+    if "lead" in rows.columns:
+        first, last = F.col("lead"), F.least(F.col("lead") + (SEGMENT_WORDS - 1), last)
     made = []
     for mask in masks:
         open_ = [F.get("words", at + k) for k, c in enumerate(mask) if c == "1"]
         seed = F.when((at + len(mask) <= size) & fits(mask), F.xxhash64(F.lit(mask), *open_))
         made.append(F.struct(seed.alias("seed"), F.lit(len(mask)).alias("width")))
-    there = rows.where(size >= least).withColumn("at", F.explode(F.sequence(F.lit(0), size - least)))
+    there = rows.where(last >= first).withColumn("at", F.explode(F.sequence(first, last)))
     each = there.withColumn("_s", F.explode(F.array(*made)))
     return each.select(*rows.columns, "at", F.col("_s.seed").alias("seed"), F.col("_s.width").alias("width")).where("seed IS NOT NULL")
 
 
+def _around(hits: DataFrame, window: int) -> DataFrame:
+    """``hits`` with those of ``words`` only that a stretch of ``window`` words with the seed can hold; ``base`` and ``at`` likewise."""
+    first = F.greatest(F.lit(0), F.col("at") + F.col("width") - window)
+    kept = [c for c in hits.columns if c not in ("words", "base", "at", "lead")]
+    return hits.select(*kept, F.slice("words", first + 1, F.col("at") + window - first).alias("words"), (F.col("base") + first).alias("base"),
+                       (F.col("at") - first).alias("at"))
+
+
 def _verified(hits: DataFrame, window: int, share: float) -> DataFrame:
     """Hits with ``need`` (words of a stretch), ``matched`` (most equal words in one that holds the seed) and ``start`` (where
     that stretch begins in the text), those with too few left out."""
@@ -68,7 +100,7 @@ def _verified(hits: DataFrame, window: int, share: float) -> DataFrame:
     total = lambda s: F.aggregate(F.slice("equal", s - F.col("first") + 1, F.col("need")), F.lit(0), lambda a, b: a + b)
     stretches = F.transform(F.sequence("first", "last"), lambda s: F.struct(total(s).alias("n"), (-(s + shift)).alias("back")))
     best = hits.withColumn("best", F.array_max(stretches)).where(F.col("best.n") >= F.ceil(F.col("need") * share))
-    return best.withColumn("matched", F.col("best.n")).withColumn("start", -F.col("best.back"))
+    return best.withColumn("matched", F.col("best.n")).withColumn("start", F.col("base") - F.col("best.back"))
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, id_column: str = "doc_id",
@@ -101,7 +133,8 @@ def _of_block(rows: DataFrame, items: DataFrame, lengths: list[int], window: int
     fits = lambda mask: need.isin([n for n in lengths if mask in masks_of(n)])
     seeds = _placed(items.select("item_key", F.col("item_words").alias("words")), masks, fits).select(
         "seed", "item_key", F.col("at").alias("item_at"), F.col("width").alias("item_width"))
-    hits = _placed(rows, masks).join(F.broadcast(seeds), "seed").where("width = item_width").join(F.broadcast(items), "item_key")
+    placed = _placed(_segments(rows, max(window, *map(len, masks))), masks)
+    hits = _around(placed.join(F.broadcast(seeds), "seed").where("width = item_width"), window).join(F.broadcast(items), "item_key")
     return _verified(hits, window, share).select(
         "doc_id", "text_hash", "item_id", F.col("matched").cast("int").alias("matched"), (-F.col("start")).cast("int").alias("back"),
         F.col("need").cast("int").alias("window"))

@@ -120,3 +120,24 @@ def test_short_items_and_scripts_without_spaces_match_a_plain_comparison(spark):
             if any(sum(0 <= x + k < len(w) and w[x + k] == v[s + k] for k in range(need)) >= -(-need * 4 // 5) for s, x in starts):
                 want.add((doc_id, item_id))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and (99, 99) in want and (98, 99) not in want
+
+
+def test_hits_of_long_texts_carry_only_the_words_around(spark, monkeypatch):
+    rnd = random.Random(7)
+    items = [(i, " ".join(f"p{i}x{k}" for k in range(rnd.choice([3, 6, 20, 60])))) for i in range(12)]
+    body = []
+    for k in range(40):  # passages at and across the ends of segments too
+        body += [f"n{rnd.randrange(10**6)}" for _ in range(rnd.randint(20, 90))] + items[k % 12][1].split()
+    docs = spark.createDataFrame([(1, " ".join(body)), (2, items[1][1]), (3, "a")], "doc_id long, text string")
+    table, sizes, real = spark.createDataFrame(items, "item_id long, text string"), [], d._verified
+    monkeypatch.setattr(d, "_verified", lambda hits, *a: sizes.append(hits.selectExpr("max(size(words))", "count(*)").first()) or real(hits, *a))
+    once = sorted(map(tuple, d.find_passages(docs, table).collect()))
+    assert sizes[0][0] <= 2 * d.WINDOW and sizes[0][1] > 900 and len(body) > 2500
+    first = {}
+    for i, item in items:
+        n, w = min(20, len(item.split())), item.split()
+        first[i] = next(at for at in range(len(body)) if body[at:at + n] == w[:n])
+    assert {r[2]: r[5] for r in once if r[0] == 1} == first and len(once) == 13
+    for n in (1, 7, 10**6):
+        monkeypatch.setattr(d, "SEGMENT_WORDS", n)
+        assert sorted(map(tuple, d.find_passages(docs, table).collect())) == once
