@@ -1,9 +1,10 @@
 """Exact top-k search for tables of queries, each with a document of its own to search in if it wants one.
 
-Vectors are dealt to parts of a bounded number of rows. A part's task holds its vectors as one matrix and streams all queries
+Vectors are dealt to parts of a bounded number of rows and queries to groups, and each part meets each group in a task, so that with as many
+queries as vectors neither table is copied once per task. The task holds its vectors as one matrix and streams its queries
 past it a batch at a time, in blocks of vectors: a query's k-th score so far rules out what later blocks have below it. What a task hands
 on is the best ``k`` of each query, and of those only what reaches the k-th score that a first round over a single part has
-found. Nothing but the number of vectors comes to the driver.
+found. Nothing but the numbers of vectors and queries comes to the driver.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from sheafline.session import written
 
 # Vectors of one part, at most; queries, and vectors, scored together: what one task holds.
 PART_ROWS, QUERY_ROWS, BLOCK_ROWS = 50_000, 256, 1024
-# Parts there are at least, unless they had fewer vectors than a block.
+# Tasks there are at least, unless parts had fewer vectors than a block and groups fewer queries than are scored together.
 PARTS = 48
-# Scores that agree to this many places are ties, and how far a score may be from the rounded one.
-PLACES, MARGIN = 10, 1e-9
+# Scores that agree to this many places are ties, how far a score may be from the rounded one, and how far a cosine worked out in
+# single precision from the exact one (at most a rounding of 6e-8 for each of the components and for their sum).
+PLACES, MARGIN, SINGLE = 10, 1e-9, 1.2e-7
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -53,18 +55,31 @@ def best_rows(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray, order: np.
 
 
 def best_of(queries: np.ndarray, matrix: np.ndarray, order: np.ndarray, bars: np.ndarray, top_k: int, metric: str,
-            scopes: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            scopes: tuple[np.ndarray, np.ndarray] | None = None, single: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, vector and rounded score of the best ``top_k`` of each query that reach its bar.
 
-    With the cosine both tables hold unit vectors. ``scopes`` are numbers of both tables that have to agree; a query with a negative one
+    With the cosine both tables hold unit vectors; ``single`` is ``matrix`` in single precision. ``scopes`` are numbers of both tables that have to agree; a query with a negative one
     takes all.
     """
     bars, held = bars.copy(), (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+    if metric == "cosine" and single is None:
+        single = matrix.astype(np.float32)
+    asked, off = queries.astype(np.float32), MARGIN + SINGLE * (queries.shape[1] + 2)
     for at in range(0, len(matrix), BLOCK_ROWS):
         block = matrix[at:at + BLOCK_ROWS]
-        near = queries @ block.T if metric == "cosine" else _scores(queries, block, metric)
-        rows, cols = np.nonzero(near >= (bars - MARGIN)[:, None])
-        scores = np.round(near[rows, cols], PLACES)
+        if metric == "cosine":
+            # Single precision rules out; what is left is scored in double precision.
+            reached = asked @ single[at:at + BLOCK_ROWS].T >= (bars - off).astype(np.float32)[:, None]
+            some = np.flatnonzero(reached.any(axis=1))
+            rows, cols = np.nonzero(reached[some])
+            rows = some[rows]
+            few = len(rows) * 16 < len(queries) * len(block)
+            near = np.einsum("ij,ij->i", queries[rows], block[cols]) if few else (queries @ block.T)[rows, cols]
+        else:
+            near = _scores(queries, block, metric)
+            rows, cols = np.nonzero(near >= (bars - MARGIN)[:, None])
+            near = near[rows, cols]
+        scores = np.round(near, PLACES)
         reach = (scores >= bars[rows]) & np.isfinite(scores)
         if scopes is not None:
             reach &= (scopes[0][rows] < 0) | (scopes[0][rows] == scopes[1][cols + at])
@@ -82,7 +97,7 @@ def _run(parts: DataFrame, top_k: int, metric: str) -> DataFrame:
     types = {f.name: f.dataType for f in parts.schema.fields}
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, matrix, ids, order, scopes = None, [], None, None, None, None
+        now, held, matrix, single, ids, order, scopes = None, [], None, None, None, None, None
         for batch in batches:
             places, kinds = batch.column("part").to_numpy(), batch.column("kind").to_numpy()
             cuts = np.flatnonzero((places[1:] != places[:-1]) | (kinds[1:] != kinds[:-1])) + 1
@@ -101,6 +116,7 @@ def _run(parts: DataFrame, top_k: int, metric: str) -> DataFrame:
                     rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                     held, matrix, ids = [], _matrix(rows.column("v")), rows.column("vector_id")
                     matrix = _units(matrix) if metric == "cosine" else matrix
+                    single = matrix.astype(np.float32) if metric == "cosine" else None
                     order = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
                     names = rows.column("scope").unique().drop_null()
                     scopes = pc.fill_null(pc.index_in(rows.column("scope"), names), len(names)).to_numpy(zero_copy_only=False)
@@ -111,7 +127,7 @@ def _run(parts: DataFrame, top_k: int, metric: str) -> DataFrame:
                         own = pc.fill_null(pc.index_in(wanted, names), len(names) + 1)
                         limits = pc.if_else(pc.is_null(wanted), -1, own).to_numpy(zero_copy_only=False), scopes
                     r, c, scores = best_of(_units(queries) if metric == "cosine" else queries, matrix, order,
-                                           asked.column("bar").to_numpy(zero_copy_only=False), top_k, metric, limits)
+                                           asked.column("bar").to_numpy(zero_copy_only=False), top_k, metric, limits, single)
                     yield pa.RecordBatch.from_arrays(
                         [asked.column("query_id").take(pa.array(r)), ids.take(pa.array(c)), pa.array(scores)], names=["query_id", "vector_id", "raw_score"])
 
@@ -120,6 +136,14 @@ def _run(parts: DataFrame, top_k: int, metric: str) -> DataFrame:
     return parts.mapInArrow(search, schema)
 
 
+def _grid(n_held: int, n_asked: int, part_rows: int) -> tuple[int, int]:
+    """Parts of the vectors and groups of the queries: ``PARTS`` tasks or more where there are rows for them, parts of at most ``part_rows``,
+    and few copies of both tables together."""
+    least, most = -(-n_held // part_rows), -(-n_held // min(part_rows, BLOCK_ROWS))
+    n_parts = max(1, least, min(most, round((PARTS * n_held / max(1, n_asked)) ** 0.5)))
+    return n_parts, max(1, min(-(-PARTS // n_parts), -(-n_asked // QUERY_ROWS)))
+
+
 def search_many(
     vectors: DataFrame,
     queries: DataFrame,
@@ -144,33 +168,41 @@ def search_many(
     within = column(document) if document and scope else F.lit(None)
     wanted = column(scope) if document and scope else F.lit(None)
     kind = dtype_of(vectors, document) if document and scope else T.StringType()
+    floats = all(isinstance(getattr(dtype_of(*x), "elementType", None), T.FloatType) for x in ((vectors, vector), (queries, query_vector)))
+    numbers = "array<float>" if floats else "array<double>"
     held = vectors.select(
-        column(vector_id).alias("vector_id"), column(vector).cast("array<double>").alias("v"), within.cast(kind).alias("scope")).where(
+        column(vector_id).alias("vector_id"), column(vector).cast(numbers).alias("v"), within.cast(kind).alias("scope")).where(
         F.col("vector_id").isNotNull() & F.col("v").isNotNull())
     asked = queries.select(
-        column(query_id).alias("query_id"), column(query_vector).cast("array<double>").alias("v"), wanted.cast(kind).alias("scope")).where(
+        column(query_id).alias("query_id"), column(query_vector).cast(numbers).alias("v"), wanted.cast(kind).alias("scope")).where(
         F.col("query_id").isNotNull() & F.col("v").isNotNull())
-    n_held = held.count()
-    n_parts = max(1, -(-n_held // min(part_rows, max(BLOCK_ROWS, -(-n_held // PARTS)))))
+    n_parts, n_groups = _grid(held.count(), asked.count(), part_rows)
+    n_cells = n_parts * n_groups
     id_types = dtype_of(queries, query_id), dtype_of(vectors, vector_id)
     placed = held.select(F.pmod(F.xxhash64("vector_id"), F.lit(n_parts)).cast("int").alias("part"), F.lit(0).alias("kind"),
                          F.lit(None).cast(id_types[0]).alias("query_id"), "vector_id", "v", "scope", F.lit(None).cast("double").alias("bar"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part")
-    one = F.pmod(F.xxhash64("query_id"), F.lit(n_parts)).cast("int").alias("part")
+
+    def each(first: Column | int, n: int, step: int) -> Column:
+        """A row for each of ``n`` cells from ``first`` on."""
+        return F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (k * step + first).cast("int"))).alias("part")
+
+    group = F.pmod(F.xxhash64("query_id"), F.lit(n_groups))
+    one = F.pmod(F.xxhash64("query_id"), F.lit(n_cells)).cast("int").alias("part")
 
     def dealt(rows: DataFrame, questions: DataFrame, part: Column) -> DataFrame:
         asking = questions.select(part, F.lit(1).alias("kind"), "query_id", F.lit(None).cast(id_types[1]).alias("vector_id"), "v", "scope", "bar")
-        return rows.unionByName(asking).repartitionById(n_parts, "part").sortWithinPartitions("part", "kind")
+        return rows.unionByName(asking).repartitionById(n_cells, "part").sortWithinPartitions("part", "kind")
 
     barred = asked.withColumn("bar", F.lit(float(min_score)))
     if n_parts > 1:
         # A first round over one part, each task with a share of the queries: what is below its k-th score is not handed on by the others.
-        opening = placed.where(F.col("part") == 0).drop("part").select(every, "*")
+        opening = placed.where(F.col("part") == 0).drop("part").select(each(0, n_cells, 1), "*")
         kth = _ranked(_run(dealt(opening, barred, one), top_k, metric), top_k).where(F.col("rank") == top_k).select(
             "query_id", F.col("raw_score").alias("_kth"))
         known = written(kth, "bars")
         barred = asked.join(known, "query_id", "left").withColumn("bar", F.coalesce("_kth", F.lit(float(min_score)))).drop("_kth")
-    found = _run(dealt(placed, barred, every), top_k, metric)
+    copied = placed.withColumn("of", F.col("part") * n_groups).drop("part").select(each(F.col("of"), n_groups, 1), "*").drop("of")
+    found = _run(dealt(copied, barred, each(group, n_parts, n_groups)), top_k, metric)
     score = half_even(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw_score"))), 4)
     return _ranked(found, top_k).select("query_id", "rank", "vector_id", score.alias("score"))
 

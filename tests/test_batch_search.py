@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from sheafline.errors import AnalyticsError
 from sheafline.operators import batch_search, search
 
@@ -100,3 +101,42 @@ def test_memory_of_a_block_does_not_grow_with_the_vectors(monkeypatch):
     assert max(shape[1] for shape in shapes if len(shape) == 2) <= batch_search.BLOCK_ROWS
     plain = np.round(queries @ matrix.T, batch_search.PLACES)
     assert all(cols[rows == q].tolist() == np.lexsort((np.arange(6000), -plain[q]))[:3].tolist() for q in range(20))
+
+
+def test_registered_searches_ask_with_every_vector(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    vectors = rng.integers(-2, 3, (150, 8)).astype(float)
+    ids = [3 * i + 1 + i % 2 for i in range(150)]  # few of them divisible by 100
+    labels = [i % 4 for i in range(150)]
+    spark.createDataFrame([(v, m.tolist(), lab) for v, m, lab in zip(ids, vectors, labels)], "vec_id long, embedding array<float>, label int").write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(v, f"text {v}", "s", v) for v in ids], "doc_id long, text string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    rows = [(v, m.tolist(), lab) for v, m, lab in zip(ids, vectors, labels)]
+    want = brute(rows, [(v, m, lab if v % 3 == 0 else None) for v, m, lab in rows], 5, "cosine", 0.2, True)
+    found = __spark_entry__.queries()["search_many"](spark, str(tmp_path)).collect()
+    assert {(r["query_id"], r["rank"]): r["vector_id"] for r in found} == {k: v[0] for k, v in want.items()}
+    shown = __spark_entry__.queries()["search_passages"](spark, str(tmp_path)).collect()
+    assert {(r["query_id"], r["rank"]): r["text"] for r in shown} == {k: f"text {v[0]}" for k, v in want.items()}
+    assert len({r["query_id"] for r in found}) == 150
+
+
+def test_as_many_queries_as_vectors_are_dealt_in_groups():
+    for held, asked in ((51_282, 51_282), (615_384, 615_384), (10**7, 10**7), (10**6, 10**4), (300, 10**6)):
+        parts, groups = batch_search._grid(held, asked, batch_search.PART_ROWS)
+        assert -(-held // parts) <= batch_search.PART_ROWS and parts * groups >= batch_search.PARTS
+        # Copies of both tables: far fewer than one of every query per task, unless parts are as large as they may be.
+        assert held * groups + asked * parts <= 20 * max(held, asked) or parts <= -(-held // batch_search.PART_ROWS)
+    assert batch_search._grid(5000, 20, batch_search.PART_ROWS) == (5, 1) and batch_search._grid(0, 0, 10) == (1, 1)
+
+
+def test_blocks_of_queries_in_several_groups_find_the_best(spark, tables, monkeypatch):
+    monkeypatch.setattr(batch_search, "QUERY_ROWS", 10)
+    monkeypatch.setattr(batch_search, "BLOCK_ROWS", 64)
+    rows, asked, vectors, queries = tables
+    cells, real = [], batch_search._run
+    monkeypatch.setattr(batch_search, "_run", lambda parts, *a: cells.append(parts.rdd.getNumPartitions()) or real(parts, *a))
+    found = batch_search.search_many(vectors, queries, top_k=6, document="filename", scope="scope")
+    assert {(r["query_id"], r["rank"]): r["vector_id"] for r in found.collect()} == {
+        k: v[0] for k, v in brute(rows, asked, 6, "cosine", 0.0, True).items()}
+    assert cells == [40, 40]  # five parts, eight groups
