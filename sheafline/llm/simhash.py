@@ -112,37 +112,29 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, id_column: str
     return rows.join(shared, "fingerprint", "left").select("doc_id", "fingerprint", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-# --- groups of similar documents: a wider radius, and similarity of five-word shingles ------------------
+# --- groups of similar documents: similarity of five-word shingles --------------------------------------
 
 
-# Words of a shingle, and bits of the fingerprint that judges candidates. Candidates differ in at most ``RADIUS`` of the first 64 of those
-# bits, which the covering tables always find, or agree in one of ``BANDS`` bands of ``BAND`` least hashes of their shingles each: of pairs with Jaccard similarity 0.8 all but (1 - 0.8^5)^28 = 15 in a million do, wherever their
-# words differ, and fewer of more similar ones.
-SHINGLE, WIDE, BANDS, BAND = 5, 256, 28, 5
+# Words of a shingle. Candidates differ in at most ``RADIUS`` bits of their SimHashes, which the covering tables always find, or agree in
+# one of ``BANDS`` bands of ``BAND`` least hashes of their shingles each: of pairs with Jaccard similarity 0.8 all but
+# (1 - 0.8^4)^52 = 1.3 in 10^12 do, wherever their words differ, and fewer of more similar ones. That is in the range in which hashes of
+# 64 bits fall together, which name the shingles and the sets.
+SHINGLE, BANDS, BAND = 5, 52, 4
 # Shingle hashes that all least hashes are taken over at once.
 LEAST_BLOCK = 1 << 11
-# Sets of equal size and Jaccard similarity 0.8 have the cosine 8/9, and so 38.6 of 256 bits apart, others fewer; five standard
-# deviations of that number are added, so that this leaves out only pairs that are surely below the limit. The others are
-# compared by their shingles.
+# All candidates of at least this Jaccard similarity are links. Only what is certainly below is ruled out without comparing the shingles.
 SIMILARITY = 0.8
-# Sets smaller than this are not judged by fingerprints of 256 bits, whose bits then hang on single shingles.
-LEAST_WIDE = 32
 # Bits of a sketch that says for each part of all shingles whether a set holds an odd number of them: two sets differ in at least
 # as many shingles as their sketches do in bits.
 ODD = 512
 # Members of a bucket that are compared with all others of it in the first round.
 LEADERS = 6
-_TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
+# What the hashes are mixed with before the SimHash and the sketch.
+_TURN, _ODD_TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x27D4EB2F165667C5)
 # What the hashes are mixed with, an odd number for each order.
 _ORDERS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND), dtype=np.uint64) | np.uint64(1)
 
 
-def wide_limit(similarity: float = SIMILARITY) -> int:
-    """Bits of ``WIDE`` that two texts of this Jaccard similarity or more hardly ever differ in."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(WIDE * share + 5 * math.sqrt(WIDE * share * (1 - share)))
-
-
 def _majority(hashes: np.ndarray) -> int:
     """The bits set in over half of the hashes, as a signed number."""
     ones = np.zeros(BITS, dtype=np.int64)
@@ -178,7 +170,7 @@ def bands_of(hashes: np.ndarray) -> list[int]:
 
 def odd_sketch(hashes: np.ndarray) -> list[int]:
     """``ODD`` bits, as signed numbers: whether an odd number of the hashes falls in each part."""
-    part = (hashes ^ _TURNS[3]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - (ODD - 1).bit_length())
+    part = (hashes ^ _ODD_TURN) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - (ODD - 1).bit_length())
     odd = np.bincount(part.astype(np.int64), minlength=ODD) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
 
@@ -189,13 +181,13 @@ def differing(similarity: float) -> float:
 
 
 def prints_of(text: str) -> tuple[int, list[int], list[int], list[int], int]:
-    """Of the set of a text's distinct five-word shingles: a number of its own, its bands, a fingerprint of 256 bits, which
-    stands for Jaccard similarity, its odd sketch, and its size. A text without words has no bands."""
+    """Of the set of a text's distinct five-word shingles: a number of its own, its bands, its SimHash (in a list of one), its odd sketch,
+    and its size. A text without words has no bands."""
     hashes = shingle_hashes(text)
     node = xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - 2**63
     if not len(hashes):
-        return node, [], [0] * len(_TURNS), [0] * (ODD // 64), 0
-    return node, bands_of(hashes), [_majority(_turned(hashes, t)) for t in _TURNS], odd_sketch(hashes), len(hashes)
+        return node, [], [0], [0] * (ODD // 64), 0
+    return node, bands_of(hashes), [_majority(_turned(hashes, _TURN))], odd_sketch(hashes), len(hashes)
 
 
 def _prints(text: Column) -> Column:
@@ -271,8 +263,8 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def buckets_of(rows: DataFrame) -> DataFrame:
     """``node, t, bucket``: where the nodes of ``rows`` (``node, bands, wide, size``) meet.
 
-    The first 64 bits of the wide fingerprint are the SimHash of the five-word shingles, and any two of them within ``RADIUS`` bits agree under
-    one of its covering masks. The bands are for sets that are similar but whose fingerprints are farther apart. A text without
+    The first number of ``wide`` is the SimHash of the five-word shingles, and any two of them within ``RADIUS`` bits agree under one of the
+    covering masks. The bands are for sets that are similar but whose fingerprints are farther apart. A text without
     words meets nothing.
     """
     covered = F.transform(covering_tables(), lambda x: F.element_at("wide", 1).bitwiseAND(x["mask"]))
@@ -283,24 +275,22 @@ def buckets_of(rows: DataFrame) -> DataFrame:
 def similar_groups(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """``node, group`` for those nodes of ``rows`` (``node, bands, wide, odd, size``, distinct) that are linked to others.
 
-    Nodes whose SimHashes agree under a covering mask, or that agree in a band, meet in a bucket. Any two that meet, and whose odd sketches (for certain) and wide fingerprints (all but
-    certainly) do not rule it out, are compared by all their shingles (``sets_of`` makes ``node, hashes`` of a table of nodes) and linked at ``similarity`` or more."""
+    Nodes whose SimHashes agree under a covering mask, or that agree in a band, meet in a bucket. Any two that meet, and whose sizes and odd
+    sketches do not rule it out for certain, are compared by all their shingles (``sets_of`` makes ``node, hashes`` of a table of nodes) and
+    linked at ``similarity`` or more."""
     dealt = buckets_of(rows)
 
-    def apart(x: str, y: str, name: str) -> Column:
-        return F.aggregate(F.zip_with(f"{x}.{name}", f"{y}.{name}", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
-
     def may_link(x: str, y: str) -> Column:
-        both = F.col(f"{x}.size") + F.col(f"{y}.size")
-        return (apart(x, y, "odd") <= both * differing(similarity) + 1e-9) & (
-            (F.least(f"{x}.size", f"{y}.size") < LEAST_WIDE) | (apart(x, y, "wide") <= wide_limit(similarity)))
+        one, other = F.col(f"{x}.size"), F.col(f"{y}.size")
+        apart = F.aggregate(F.zip_with(f"{x}.odd", f"{y}.odd", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+        return (F.least(one, other) >= F.greatest(one, other) * similarity - 1e-9) & (apart <= (one + other) * differing(similarity) + 1e-9)
 
     def verified(pairs: DataFrame) -> DataFrame:
         near = stored(pairs, "candidates")
         needed = near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))).distinct()
         return alike(near, stored(sets_of(needed), "sets"), similarity)
 
-    sketches = rows.select("node", F.struct("odd", "wide", "size").alias("sketch"))
+    sketches = rows.select("node", F.struct("odd", "size").alias("sketch"))
     return linked_in_buckets(dealt, verified, sketches, may_link).withColumnRenamed("component", "group")
 
 

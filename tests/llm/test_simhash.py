@@ -212,3 +212,27 @@ def test_fingerprints_within_two_bits_are_candidates_without_a_common_band(spark
     assert got == {2 * k + c: 2 * k for k in range(40) if k % 4 for c in range(2)}
     empty = spark.createDataFrame([(1, [], [0] * 4, [0] * 8, 0)], table.schema)
     assert simhash.buckets_of(empty).count() == 0
+
+
+def test_only_what_is_certainly_unlike_is_ruled_out(spark):
+    rnd, rows, sets = random.Random(9), [], {}
+    for k in range(12):  # pairs that share a band and nearly all shingles, whose fingerprints differ in half of their bits
+        band, shared = rnd.getrandbits(62), [rnd.getrandbits(62) for _ in range(200)]
+        for c in range(2):
+            node = 2 * k + c
+            wide = [simhash._signed(rnd.getrandbits(64)) for _ in range(4)]
+            own = [rnd.getrandbits(62) for _ in range(10 if k % 3 else 60)]  # similarities 0.91 and 0.63
+            rows.append((node, [band] + [rnd.getrandbits(62) for _ in range(simhash.BANDS - 1)], wide,
+                         simhash.odd_sketch(np.array(shared + own, dtype=np.uint64)), 200 + len(own)))
+            sets[node] = shared + own
+    table = spark.createDataFrame(rows, "node long, bands array<long>, wide array<long>, odd array<long>, size long")
+    held = spark.createDataFrame(list(sets.items()), "node long, hashes array<long>")
+    got = {r["node"]: r["group"] for r in simhash.similar_groups(table, lambda needed: held.join(needed, "node"), 0.8).collect()}
+    assert got == {2 * k + c: 2 * k for k in range(12) if k % 3 for c in range(2)}
+
+
+def test_bands_miss_no_more_than_hashes_fall_together():
+    for similarity in (0.8, 0.85, 0.9, 0.99):
+        assert (1 - similarity**simhash.BAND) ** simhash.BANDS < 2e-12
+    hashes = np.unique(np.random.default_rng(1).integers(0, 2**64, 400, dtype=np.uint64))
+    assert len(set(simhash.bands_of(hashes))) == simhash.BANDS == len(simhash._ORDERS[0]) // simhash.BAND
